@@ -101,13 +101,14 @@ def rollup_check(
     archive: DataFrame, partials: DataFrame, keys: Sequence[str], expected_keys: int | None = None
 ) -> DataFrame:
     """One row: archive total, rollup total, logical keys, and whether they match."""
-    total = archive.agg(F.count(F.lit(1)).alias("archive_events"))
     rolled = read_sum_rollup(partials, keys).agg(
+        F.lit(None).cast("bigint").alias("archive_events"),
         F.coalesce(F.sum("events"), F.lit(0).cast("bigint")).alias("rollup_events"),
         F.count(F.lit(1)).alias("logical_keys"),
     )
+    total = archive.agg(F.count(F.lit(1)).alias("archive_events"))
+    both = rolled.unionByName(total, allowMissingColumns=True)
     same = F.col("archive_events") == F.col("rollup_events")
     if expected_keys is not None:
         same = same & (F.col("logical_keys") == expected_keys)
-    # Both sides are exactly one row, so this pairing cannot grow.
-    return total.join(rolled, F.lit(True)).withColumn("same", same)
+    return both.agg(*[F.max(c).alias(c) for c in rolled.columns]).withColumn("same", same)

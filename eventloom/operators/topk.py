@@ -28,12 +28,10 @@ def latest_chronological(df: DataFrame, n: int, *order: str) -> DataFrame:
     return newest.orderBy(*[F.asc(c) for c in order])
 
 
-def limited(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    """First ``n`` rows plus whether more existed, from an exact total in ``groups``."""
-    total = df.agg(F.count(F.lit(1)).alias("groups"))
-    return df.orderBy(*order).limit(n).join(F.broadcast(total), F.lit(True)).withColumn(
-        "truncated", F.col("groups") > n
-    )
+def limited(df: DataFrame, n: int, *order: Column | str) -> tuple[DataFrame, DataFrame]:
+    """First ``n`` rows, and the exact number of groups with whether rows were left out."""
+    totals = df.agg(F.count(F.lit(1)).alias("groups")).withColumn("truncated", F.col("groups") > n)
+    return df.orderBy(*order).limit(n), totals
 
 
 def hour_axis(counts: DataFrame, hour: str, value: str) -> DataFrame:

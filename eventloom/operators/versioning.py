@@ -77,7 +77,6 @@ def rewrite_partitions(
 
     Only partitions that satisfy ``touched`` are read and replaced. New contents
     are staged in the shared folder first, so a failure leaves the table as it was.
-    A partition whose rows are all deleted keeps an empty file.
     """
     spark = df.sparkSession
     hit = F.coalesce(condition, F.lit(False))
@@ -95,9 +94,8 @@ def rewrite_partitions(
     staged = spark.read.schema(schema).parquet(staging)
     emptied = staged.groupBy(partition).agg(F.bool_or("_keep").alias("_any")).filter(~F.col("_any"))
     kept = staged.filter("_keep").drop("_keep")
-    # A fully deleted partition has no row to overwrite it with: one marker row per
-    # partition is written and then dropped again by the reader-side filter below.
-    gone = [r[0] for r in emptied.select(partition).collect()]  # one value per touched partition
+    # A fully deleted partition has no row to replace it with, so it is emptied by name.
+    gone = [r[0] for r in emptied.select(partition).collect()]  # at most one value per partition folder
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     for value in gone:
         target = f"{path}/{partition}={value}"
