@@ -6,12 +6,12 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StructType
 
 
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(" ".join(text.split()))
+def _ddl(text: str) -> str:
+    return " ".join(text.split())
 
 
 # --- fixed values: table columns and types -------------------------------------------------
-TABLES: dict[str, StructType] = {
+TABLES: dict[str, str] = {
     "app_events": _ddl(
         """schema_version SMALLINT, event_id STRING, session_id STRING, event_time TIMESTAMP, event_date DATE,
         ingested_at TIMESTAMP, event_type STRING, section STRING, city_id STRING, user_id STRING,
@@ -182,3 +182,8 @@ MONTH_COLUMN = {
 def enum_rank(column: Column | str, values: list[str]) -> Column:
     """Sort position of an enumerated value: stored codes order these, not their text."""
     return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column) if isinstance(column, str) else column)
+
+
+def schema(table: str) -> StructType:
+    """Explicit schema of a table; needs an active session."""
+    return StructType.fromDDL(TABLES[table])
