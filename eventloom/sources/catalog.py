@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # --- fixed values ------------------------------------------------------------------------
 RESTAURANT_NAMES = [
@@ -10,16 +10,40 @@ RESTAURANT_NAMES = [
     "Cuchara Norte", "Pasta de Casa", "Curry del Barrio", "Huerta y Pan", "La Mesa Roja", "Nómada Bowl",
 ]
 FALLBACK_PRODUCTS = ["Vegetable bowl", "House menu", "Salad of the day"]
+PRICES_MINOR = [
+    878, 701, 1213, 1151, 1107, 935, 859, 1766, 828, 1514, 715, 711,
+    841, 1097, 1126, 1684, 704, 1799, 1057, 1766, 1509, 1101, 1569, 1219,
+    663, 976, 1515, 1346, 1219, 968, 1090, 1339, 859, 839, 1428, 848,
+]
+LOCATIONS = [
+    (40.409187, -3.707129), (40.415285, -3.695665), (40.419471, -3.695732), (40.420997, -3.694752),
+    (40.409601, -3.706063), (40.420972, -3.699216), (40.409884, -3.695808), (40.420615, -3.701866),
+    (40.421676, -3.693199), (40.415507, -3.699647), (40.415132, -3.699802), (40.414846, -3.702057),
+]
 SLOTS = len(FALLBACK_PRODUCTS)
 WANTED = len(RESTAURANT_NAMES) * SLOTS
-MIN_PRICE, MAX_PRICE = 650, 1800
+
+
+def seed_restaurants(spark: SparkSession, version: int) -> DataFrame:
+    """The 12 fictional restaurants; places are labelled synthetic."""
+    rows = F.array(*[
+        F.struct(
+            F.lit(f"fictional-madrid-{n}").alias("restaurant_id"), F.lit(name).alias("name"),
+            F.lit(lat).alias("latitude"), F.lit(lon).alias("longitude"),
+        )
+        for n, (name, (lat, lon)) in enumerate(zip(RESTAURANT_NAMES, LOCATIONS), start=1)
+    ])
+    return spark.range(1).select(F.explode(rows).alias("r")).select(
+        "r.restaurant_id", "r.name", F.lit("madrid").alias("city_id"), "r.latitude", "r.longitude",
+        F.lit("synthetic").alias("location_kind"), F.lit("synthetic").alias("source_kind"),
+        F.lit(version).cast("bigint").alias("version"),
+    )
 
 
 def seed_products(public: DataFrame, version: int) -> DataFrame:
     """36 products: public names when exactly 36 exist, the fallback names otherwise.
 
-    ``name_kind`` and ``source_row`` record which. Prices are fictional and derived
-    from the product identity, so a rerun gives the same catalog.
+    ``name_kind`` and ``source_row`` record which. Prices are fictional and fixed.
     """
     spark = public.sparkSession
     slots = spark.range(WANTED).select(
@@ -42,7 +66,7 @@ def seed_products(public: DataFrame, version: int) -> DataFrame:
         product_id.alias("product_id"),
         "restaurant_id",
         F.coalesce("product_name", fallback).alias("product_name"),
-        (F.pmod(F.xxhash64(product_id), F.lit(MAX_PRICE - MIN_PRICE + 1)) + MIN_PRICE).cast("int").alias("price_minor"),
+        F.element_at(F.array(*[F.lit(p) for p in PRICES_MINOR]), (F.col("n") + 1).cast("int")).alias("price_minor"),
         F.lit("EUR").alias("currency"),
         F.lit("synthetic").alias("price_kind"),
         F.when(found, "public_historical").otherwise("synthetic").alias("name_kind"),
