@@ -118,7 +118,7 @@ def export_run(spark: SparkSession, tables: Mapping[str, DataFrame], run_id: str
                 f"{partial}/{name}", header=True, compression="gzip", escape='"'
             )
         written = read_export(spark, partial, name).agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(~(F.col("simulation_run_id") <=> run_id)).alias("foreign")
+            F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("simulation_run_id").eqNullSafe(run_id)).alias("foreign")
         ).first() if before["rows"] else {"rows": 0, "foreign": 0}
         if written["rows"] != before["rows"] or written["foreign"] or table_stats(logical).first() != before:
             raise ValueError(f"{name}: the export differs or its source changed; kept in {partial}")
@@ -170,7 +170,7 @@ def verify_export(spark: SparkSession, folder: str, run_id: str) -> dict:
         if info["rows"] == 0:
             continue
         found = read_export(spark, folder, name).agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(~(F.col("simulation_run_id") <=> run_id)).alias("foreign")
+            F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("simulation_run_id").eqNullSafe(run_id)).alias("foreign")
         ).first()
         if found["rows"] != info["rows"] or found["foreign"]:
             raise ValueError(f"{folder}/{name}: rows differ from the manifest")
