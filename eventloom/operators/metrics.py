@@ -109,7 +109,8 @@ def active_members(
     Reducing to one row per (group, member) with flags replaces several distinct
     counts, which would copy every input row once per condition.
     """
-    members = df.groupBy(*by, member).agg(*[flag(c).alias(name) for name, c in conditions.items()])
+    pairs = df.groupBy(*by, member)
+    members = pairs.agg(*[flag(c).alias(n) for n, c in conditions.items()]) if conditions else pairs.count()
     return members.groupBy(*by).agg(
         F.count(member).alias(total), *[F.count_if(F.col(name) & F.col(member).isNotNull()).alias(name) for name in conditions]
     )

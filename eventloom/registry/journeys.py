@@ -42,22 +42,22 @@ for _name, _seconds in {"30m": 1800, "6h": 21_600, "12h": 43_200, "24h": 86_400}
     def _levels(spark, sf_dir, seconds=_seconds):
         steps = [F.col("event_type") == s for s in STEPS]
         return plain(level_histogram(
-            window_funnel(ev(spark, sf_dir), ["user_id"], F.unix_millis("at"), steps, seconds * 1000)
+            window_funnel(ev(spark, sf_dir), ["user_id"], F.unix_millis("moment"), steps, seconds * 1000)
         ))
 
     query(f"funnel_levels_{_name}", _histogram(
-        with_sql("ev") + ", " + funnel_sql("ev", "user_id", "epoch_ms(at)", "event_type", STEPS, _seconds * 1000, True)
+        with_sql("ev") + ", " + funnel_sql("ev", "user_id", "epoch_ms(moment)", "event_type", STEPS, _seconds * 1000, True)
     ))(_levels)
 
 
 @query("funnel_by_error_flag", with_sql("ev") + ", " + funnel_sql(
-    "ev", "user_id", "epoch_ms(at)", "event_type", STEPS, 86_400_000, True
+    "ev", "user_id", "epoch_ms(moment)", "event_type", STEPS, 86_400_000, True
 ) + """, flagged AS (SELECT user_id, bool_or(event_type = 'error' AND k < 3) AS flag FROM ev GROUP BY user_id)
 SELECT flag, level, count(*) AS sessions FROM levels JOIN flagged ON sid = user_id GROUP BY ALL""")
 def _by_flag(spark, sf_dir):
     steps = [F.col("event_type") == s for s in STEPS]
     levels = window_funnel(
-        ev(spark, sf_dir), ["user_id"], F.unix_millis("at"), steps, 86_400_000,
+        ev(spark, sf_dir), ["user_id"], F.unix_millis("moment"), steps, 86_400_000,
         flags={"flag": (F.col("event_type") == "error") & (F.col("k") < 3)},
     )
     return plain(levels.groupBy("flag", "level").agg(F.count(F.lit(1)).alias("sessions")))

@@ -19,24 +19,24 @@ from eventloom.registry.views import (
     activity, app_events, app_states, archive, day, ev, ms, order_events, plain, positions, purchases, table, union_all, with_sql,
 )
 
-_USER_LATEST = with_sql("ev") + f"""SELECT user_id, arg_max(event_type, row(at, event_id)) AS event_type,
-    arg_max(value, row(at, event_id)) AS value, {ms('max(at)')} AS last_seen FROM ev GROUP BY user_id"""
+_USER_LATEST = with_sql("ev") + f"""SELECT user_id, arg_max(event_type, row(moment, event_id)) AS event_type,
+    arg_max(value, row(moment, event_id)) AS value, {ms('max(moment)')} AS last_seen FROM ev GROUP BY user_id"""
 
 
 @query("latest_state_user", _USER_LATEST)
 def latest_state_user(spark, sf_dir):
-    states = latest_state(ev(spark, sf_dir), ["user_id"], ["event_type", "value", "at"], ["at", "event_id"])
-    return plain(states.withColumnRenamed("at", "last_seen"))
+    states = latest_state(ev(spark, sf_dir), ["user_id"], ["event_type", "value", "moment"], ["moment", "event_id"])
+    return plain(states.withColumnRenamed("moment", "last_seen"))
 
 
 @query("latest_state_merged", _USER_LATEST)
 def latest_state_merged(spark, sf_dir):
     """Partial states per day, merged in two rounds with some of them repeated."""
-    days = ev(spark, sf_dir).withColumn("batch", F.dayofmonth("at"))
-    partial = partial_state(days, ["batch", "user_id"], ["event_type", "value", "at"], ["at", "event_id"])
+    days = ev(spark, sf_dir).withColumn("batch", F.dayofmonth("moment"))
+    partial = partial_state(days, ["batch", "user_id"], ["event_type", "value", "moment"], ["moment", "event_id"])
     weekly = merge_states(partial.withColumn("week", F.floor(F.col("batch") / 7)), ["week", "user_id"])
     both = union_all([partial.drop("batch"), weekly.drop("week")])
-    return plain(read_state(both, ["user_id"]).withColumnRenamed("at", "last_seen"))
+    return plain(read_state(both, ["user_id"]).withColumnRenamed("moment", "last_seen"))
 
 
 @query("final_activity", with_sql("act") + f"SELECT event_id, customer_id, reason, {ms('ingested_at')} AS ingested_at FROM act")
@@ -138,16 +138,16 @@ def rollup_equals_detail(spark, sf_dir):
 @query("rollup_hourly_sketch")
 def rollup_hourly_sketch(spark, sf_dir):
     """Approximate users per day from mergeable hourly sketches."""
-    hourly = hll_rollup(ev(spark, sf_dir).withColumn("hour", F.date_trunc("HOUR", "at")), ["hour"], "user_id")
+    hourly = hll_rollup(ev(spark, sf_dir).withColumn("hour", F.date_trunc("HOUR", "moment")), ["hour"], "user_id")
     daily = read_hll_rollup(hourly.withColumn("day", F.to_date("hour")), ["day"], name="users_approx")
     return plain(daily)
 
 
-@query("rollup_sketch_error", with_sql("ev") + f"""SELECT {day('CAST(at AS DATE)')} AS day, count(DISTINCT user_id) AS users, true AS within_5_pct
+@query("rollup_sketch_error", with_sql("ev") + f"""SELECT {day('CAST(moment AS DATE)')} AS day, count(DISTINCT user_id) AS users, true AS within_5_pct
     FROM ev GROUP BY 1""")
 def rollup_sketch_error(spark, sf_dir):
     """The sketch against the exact count, per day."""
-    days = ev(spark, sf_dir).withColumn("day", F.to_date("at"))
+    days = ev(spark, sf_dir).withColumn("day", F.to_date("moment"))
     exact = read_id_rollup(id_rollup(days, ["day"], "user_id"), ["day"], "user_id", "users")
     approx = read_hll_rollup(hll_rollup(days, ["day"], "user_id"), ["day"], name="approx")
     error = F.abs(F.col("approx") - F.col("users")) / F.col("users")
@@ -200,7 +200,7 @@ def fingerprint_lineitem(spark, sf_dir):
 def canonical(spark, sf_dir):
     """Group count and key uniqueness of a latest-state answer."""
     e = ev(spark, sf_dir)
-    states = latest_state(e, ["user_id"], ["event_type", "at"], ["at", "event_id"])
+    states = latest_state(e, ["user_id"], ["event_type", "moment"], ["moment", "event_id"])
     expected = states.count()  # one number
     return plain(compare.canonical_check(states, "user_id", expected).select("keys", "rows", "valid"))
 

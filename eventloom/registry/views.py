@@ -95,7 +95,7 @@ _NEEDS: dict[str, list[str]] = {}
 # events with parsed props and millisecond times ------------------------------------------------
 
 SQL["ev"] = (
-    "SELECT event_id, user_id, event_type, value, ts, date_trunc('milliseconds', ts) AS at, "
+    "SELECT event_id, user_id, event_type, value, ts, date_trunc('milliseconds', ts) AS moment, "
     "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
 )
 
@@ -103,13 +103,13 @@ SQL["ev"] = (
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", "ts",
-        F.date_trunc("MILLISECOND", "ts").alias("at"),
+        F.date_trunc("MILLISECOND", "ts").alias("moment"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
 
 
-def _late(at: Column, seconds: int) -> Column:
-    return at + F.make_dt_interval(secs=F.lit(seconds))
+def _late(moment: Column, seconds: int) -> Column:
+    return moment + F.make_dt_interval(secs=F.lit(seconds))
 
 
 def _with_copies(df: DataFrame, every: int, number: str) -> DataFrame:
@@ -135,8 +135,8 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(RUN).alias("simulation_run_id"),
         tag("c", c("user_id")).alias("customer_id"),
         F.concat(tag("s", c("user_id")), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-        c("at").alias("event_time"),
-        _late(c("at"), 1).__add__(F.make_dt_interval(secs=c("_late"))).alias("ingested_at"),
+        c("moment").alias("event_time"),
+        _late(c("moment"), 1).__add__(F.make_dt_interval(secs=c("_late"))).alias("ingested_at"),
         tag("Customer ", c("user_id")).alias("customer_label"),
         tag("goal", c("user_id") % 3).alias("objective"),
         ((c("user_id") % 20) * 100).cast("int").alias("budget_minor"),
@@ -157,8 +157,8 @@ def _activity_sql(late: int) -> str:
     reason = "'retry'" if late else "'reason' || k"
     where = " WHERE event_id % 7 = 0" if late else ""
     return f"""SELECT CAST(event_id AS VARCHAR) AS event_id, '{RUN}' AS simulation_run_id, 'c' || user_id AS customer_id,
-        's' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, at AS event_time,
-        at + INTERVAL {1 + late} SECOND AS ingested_at, 'Customer ' || user_id AS customer_label,
+        's' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, moment AS event_time,
+        moment + INTERVAL {1 + late} SECOND AS ingested_at, 'Customer ' || user_id AS customer_label,
         'goal' || (user_id % 3) AS objective, (user_id % 20) * 100 AS budget_minor,
         {sql_choose('event_type', _ACTION)} AS action, {reason} AS reason, 'rest' || (k % 12) AS restaurant_id,
         'prod' || (k % 36) AS product_id, CASE WHEN event_type = 'purchase' THEN 'o' || event_id END AS order_id,
@@ -180,8 +180,8 @@ def positions(spark: SparkSession, sf_dir: str, runs: int = 1) -> DataFrame:
         F.lit(1).cast("smallint").alias("schema_version"),
         c("event_id").cast("string").alias("event_id"),
         tag("run-", c("user_id") % runs).alias("simulation_run_id"),
-        c("at").alias("event_time"),
-        (_late(c("at"), 1) + F.make_dt_interval(secs=c("_late"))).alias("ingested_at"),
+        c("moment").alias("event_time"),
+        (_late(c("moment"), 1) + F.make_dt_interval(secs=c("_late"))).alias("ingested_at"),
         F.lit("madrid").alias("city_id"),
         tag("k", c("user_id") % 50).alias("courier_id"),
         tag("o", c("event_id") % 500).alias("order_id"),
@@ -197,7 +197,7 @@ def positions(spark: SparkSession, sf_dir: str, runs: int = 1) -> DataFrame:
 def _positions_sql(late: int, runs: int) -> str:
     where = " WHERE event_id % 11 = 0" if late else ""
     return f"""SELECT CAST(event_id AS VARCHAR) AS event_id, 'run-' || (user_id % {runs}) AS simulation_run_id,
-        at AS event_time, at + INTERVAL {1 + late} SECOND AS ingested_at, 'madrid' AS city_id,
+        moment AS event_time, moment + INTERVAL {1 + late} SECOND AS ingested_at, 'madrid' AS city_id,
         'k' || (user_id % 50) AS courier_id, 'o' || (event_id % 500) AS order_id,
         40.0::DOUBLE + CAST(event_id % 1000 AS DOUBLE) / 1000 AS latitude,
         -3.0::DOUBLE - CAST(user_id % 100 AS DOUBLE) / 100 AS longitude,
@@ -233,13 +233,13 @@ def order_events(spark: SparkSession, sf_dir: str, runs: int = 1) -> DataFrame:
         step(2, "delivered", 2, courier, status == "F"),
         step(3, "cancelled", 1, none, (status == "O") & (c("o_orderkey") % 11 == 0)),
     ))
-    at = c("o_orderdate") + F.make_dt_interval(days=c("s.days"))
+    moment = c("o_orderdate") + F.make_dt_interval(days=c("s.days"))
     return o.withColumn("s", F.explode(steps)).select(
         F.lit(1).cast("smallint").alias("schema_version"),
         F.concat(tag("oe", c("o_orderkey")), F.lit("-"), c("s.n").cast("string")).alias("event_id"),
         tag("run-", c("o_orderkey") % runs).alias("simulation_run_id"),
-        at.alias("event_time"),
-        _late(at, 2).alias("ingested_at"),
+        moment.alias("event_time"),
+        _late(moment, 2).alias("ingested_at"),
         F.lit("madrid").alias("city_id"),
         tag("o", c("o_orderkey")).alias("order_id"),
         c("s.courier_id").alias("courier_id"),
@@ -335,9 +335,9 @@ def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("smallint").alias("schema_version"),
         c("event_id").cast("string").alias("event_id"),
         tag("s", c("event_id") % 100).alias("session_id"),
-        c("at").alias("event_time"),
-        F.to_date("at").alias("event_date"),
-        (_late(c("at"), 1) + F.make_dt_interval(secs=c("_late"))).alias("ingested_at"),
+        c("moment").alias("event_time"),
+        F.to_date("moment").alias("event_date"),
+        (_late(c("moment"), 1) + F.make_dt_interval(secs=c("_late"))).alias("ingested_at"),
         choose(c("event_type"), _APP_TYPE).alias("event_type"),
         tag("sec", c("k") % 4).alias("section"),
         tag("city", c("user_id") % 5).alias("city_id"),
@@ -355,8 +355,8 @@ def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _app_sql(late: int) -> str:
     where = " WHERE event_id % 9 = 0" if late else ""
     kinds = "[" + ", ".join(f"'{k}'" for k in schemas.SOURCE_KINDS) + "]"
-    return f"""SELECT CAST(event_id AS VARCHAR) AS event_id, 's' || (event_id % 100) AS session_id, at AS event_time,
-        CAST(at AS DATE) AS event_date, at + INTERVAL {1 + late} SECOND AS ingested_at, {sql_choose('event_type', _APP_TYPE)} AS event_type,
+    return f"""SELECT CAST(event_id AS VARCHAR) AS event_id, 's' || (event_id % 100) AS session_id, moment AS event_time,
+        CAST(moment AS DATE) AS event_date, moment + INTERVAL {1 + late} SECOND AS ingested_at, {sql_choose('event_type', _APP_TYPE)} AS event_type,
         'sec' || (k % 4) AS section, 'city' || (user_id % 5) AS city_id,
         CASE WHEN event_id % 3 = 0 THEN 'delivery-miniapp' ELSE 'app' END AS source,
         {kinds}[event_id % 4 + 1] AS source_kind, '{RUN}' AS simulation_run_id, 'o' || event_id AS order_id FROM ev{where}"""
@@ -380,7 +380,7 @@ def app_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(df: DataFrame) -> DataFrame:
-    return df.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))).cast("bigint"))
+    return df.withColumn("version", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
 
 
 def demo_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -590,13 +590,13 @@ _ARCHIVE_TYPE = {"view": "clicks", "click": "clicks", "purchase": "orders"}
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return ev(spark, sf_dir).select(
-        c("user_id").alias("session_id"), c("k").alias("article_id"), c("at").alias("event_time"),
+        c("user_id").alias("session_id"), c("k").alias("article_id"), c("moment").alias("event_time"),
         choose(c("event_type"), _ARCHIVE_TYPE, "carts").alias("event_type"), F.lit(0).alias("event_position"),
     )
 
 
 SQL["archive"] = (
-    f"SELECT user_id AS session_id, k AS article_id, at AS event_time, {sql_choose('event_type', _ARCHIVE_TYPE, 'carts')} "
+    f"SELECT user_id AS session_id, k AS article_id, moment AS event_time, {sql_choose('event_type', _ARCHIVE_TYPE, 'carts')} "
     "AS event_type FROM ev"
 )
 _NEEDS["archive"] = ["ev"]
@@ -609,7 +609,7 @@ _SECCION = {"signup": "busqueda", "view": "restaurante", "click": "carrito", "er
 def first_app(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return ev(spark, sf_dir).select(
-        c("event_id").cast("string").alias("event_id"), c("at").alias("ts"),
+        c("event_id").cast("string").alias("event_id"), c("moment").alias("ts"),
         F.concat(tag("s", c("user_id")), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"), "user_id",
         F.when(c("user_id") % 2 == 0, "app_real").otherwise("simulado").alias("origen"),
         choose(c("event_type"), _SECCION).alias("seccion"), c("event_type").alias("accion"),
@@ -618,7 +618,7 @@ def first_app(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL["first_app"] = f"""SELECT event_id AS n, at AS ts, 's' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, user_id,
+SQL["first_app"] = f"""SELECT event_id AS n, moment AS ts, 's' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, user_id,
     CASE WHEN user_id % 2 = 0 THEN 'app_real' ELSE 'simulado' END AS origen, {sql_choose('event_type', _SECCION)} AS seccion,
     'q' || (k % 20) AS busqueda, 'd' || (k % 3) AS dispositivo, 'x' || (user_id % 5) AS distrito FROM ev"""
 _NEEDS["first_app"] = ["ev"]
