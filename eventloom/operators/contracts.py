@@ -62,44 +62,63 @@ def reason_counts(checked: DataFrame) -> DataFrame:
 
 
 class RawEvent:
-    """Typed access to one JSON event held as text, keeping JSON types apart."""
+    """Typed access to JSON events held as text, keeping JSON types apart.
 
-    def __init__(self, payload: str):
-        self.text = F.col(payload)
-        self.variant = F.try_parse_json(self.text)
+    Each step is its own projection: the text is parsed once, each field is cut out
+    once, and the rules read finished columns.
+    """
+
+    def __init__(self, df: DataFrame, payload: str, texts: Sequence[str], wholes: Sequence[str] = (),
+                 numbers: Sequence[str] = (), moments: Sequence[str] = ()):
+        self.payload = payload
+        self.names = [*texts, *wholes, *numbers, *moments]
+        c = F.col
+        step = df.select("*", F.try_parse_json(c(payload)).alias("_v"), F.json_object_keys(c(payload)).alias("_keys"))
+        step = step.select("*", *[F.try_variant_get("_v", f"$.{n}", "variant").alias(f"_f_{n}") for n in self.names])
+        step = step.select("*", *[F.schema_of_variant(f"_f_{n}").alias(f"_k_{n}") for n in self.names])
 
-    def keys(self) -> Column:
-        return F.json_object_keys(self.text)
+        def typed(name: str, kinds: str, target: str) -> Column:
+            return F.when(c(f"_k_{name}").rlike(f"^({kinds})"), F.try_variant_get(f"_f_{name}", "$", target))
 
-    def is_object(self) -> Column:
-        return self.variant.isNotNull() & self.keys().isNotNull()
+        step = step.select(
+            "*",
+            *[typed(n, "STRING", "string").alias(f"_t_{n}") for n in [*texts, *moments]],
+            *[typed(n, "BIGINT", "bigint").alias(f"_t_{n}") for n in wholes],
+            *[typed(n, "BIGINT|DECIMAL|DOUBLE|FLOAT", "double").alias(f"_t_{n}") for n in numbers],
+        )
+        zone = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
+        # ISO times that name their zone, cut to milliseconds.
+        self.df = step.withColumns({
+            f"_t_{n}": F.when(c(f"_t_{n}").rlike(zone), F.date_trunc("MILLISECOND", c(f"_t_{n}").try_cast("timestamp")))
+            for n in moments
+        }) if moments else step
 
-    def kind(self, name: str) -> Column:
-        """JSON type name; NULL when missing, VOID for null."""
-        return F.schema_of_variant(F.try_variant_get(self.variant, f"$.{name}", "variant"))
+    def value(self, name: str) -> Column:
+        """The field in its own type, NULL when it is missing, null or of another type."""
+        return F.col(f"_t_{name}")
 
-    def text_of(self, name: str) -> Column:
-        return F.when(self.kind(name) == "STRING", F.try_variant_get(self.variant, f"$.{name}", "string"))
+    def missing(self, name: str) -> Column:
+        """Missing or null."""
+        return F.coalesce(F.col(f"_k_{name}") == "VOID", F.lit(True))
 
-    def whole(self, name: str) -> Column:
-        return F.when(self.kind(name) == "BIGINT", F.try_variant_get(self.variant, f"$.{name}", "bigint"))
+    def not_an_object(self) -> Column:
+        return F.col("_v").isNull() | F.col("_keys").isNull()
 
-    def number(self, name: str) -> Column:
-        numeric = self.kind(name).rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
-        return F.when(numeric, F.try_variant_get(self.variant, f"$.{name}", "double"))
+    def lacks(self, names: Sequence[str]) -> Column:
+        return F.size(F.array_except(F.array(*map(F.lit, names)), F.col("_keys"))) > 0
 
-    def moment(self, name: str) -> Column:
-        """ISO time that names its zone, cut to milliseconds; NULL otherwise."""
-        text = self.text_of(name)
-        zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$")
-        return F.when(zoned, F.date_trunc("MILLISECOND", text.try_cast("timestamp")))
+    def has_other_than(self, names: Sequence[str]) -> Column:
+        return F.size(F.array_except(F.col("_keys"), F.array(*map(F.lit, names)))) > 0
 
-    def absent_or_null(self, name: str) -> Column:
-        return self.kind(name).isNull() | (self.kind(name) == "VOID")
+    def finish(self, rules: Sequence[Rule], fields: dict[str, Column]) -> DataFrame:
+        row = F.struct(F.col("reasons"), *[v.alias(n) for n, v in fields.items()])
+        # One row in, one row out. Filters on the result are not copied below this
+        # step, where each copy would parse the text again.
+        return check(self.df, rules).select(self.payload, F.inline(F.array(row)))
 
 
-def _good_text(value: Column) -> Column:
-    return F.coalesce(F.length(value).between(1, MAX_TEXT) & ~F.contains(value, F.lit("\0")), F.lit(False))
+def _bad_text(value: Column) -> Column:
+    return ~F.coalesce(F.length(value).between(1, MAX_TEXT) & ~F.contains(value, F.lit("\0")), F.lit(False))
 
 
 def _out_of_time(at: Column, as_of: Column, extra_seconds: int = 0) -> Column:
@@ -109,96 +128,84 @@ def _out_of_time(at: Column, as_of: Column, extra_seconds: int = 0) -> Column:
 
 def parse_app_events(df: DataFrame, as_of: Column, payload: str = "payload") -> DataFrame:
     """Browsing events from JSON text: typed columns plus ``reasons``."""
-    raw = RawEvent(payload)
-    texts = {c: raw.text_of(c) for c in APP_REQUIRED if c != "schema_version"}
-    kind, action = texts["source_kind"], texts["event_type"]
-    optional = {c: raw.text_of(c) for c in APP_OPTIONAL}
-    at = raw.moment("event_time")
+    required = [c for c in APP_REQUIRED if c not in ("schema_version", "event_time")]
+    raw = RawEvent(df, payload, [*required, *APP_OPTIONAL], wholes=["schema_version"], moments=["event_time"])
+    v = raw.value
+    kind, action = v("source_kind"), v("event_type")
+    yes = lambda cond: F.coalesce(cond, F.lit(False))
     rules: list[Rule] = [
-        ("not_an_object", ~raw.is_object()),
-        ("missing_field", ~F.forall(F.array(*map(F.lit, APP_REQUIRED)), lambda f: F.array_contains(raw.keys(), f))),
-        ("unknown_field", F.size(F.array_except(raw.keys(), F.array(*map(F.lit, APP_REQUIRED + APP_OPTIONAL)))) > 0),
-        ("schema_version", raw.whole("schema_version") != 1),
-        *[(f"text:{c}", ~_good_text(v)) for c, v in texts.items()],
-        *[(f"text:{c}", ~raw.absent_or_null(c) & ~_good_text(v)) for c, v in optional.items()],
-        *[(f"uuid:{c}", ~is_uuid(texts[c])) for c in ("event_id", "session_id")],
-        *[
-            (f"uuid:{c}", ~raw.absent_or_null(c) & ~F.coalesce(is_uuid(optional[c]), F.lit(False)))
-            for c in ("simulation_run_id", "order_id")
-        ],
+        ("not_an_object", raw.not_an_object()),
+        ("missing_field", raw.lacks(APP_REQUIRED)),
+        ("unknown_field", raw.has_other_than(APP_REQUIRED + APP_OPTIONAL)),
+        ("schema_version", v("schema_version") != 1),
+        *[(f"text:{c}", _bad_text(v(c))) for c in required],
+        *[(f"text:{c}", ~raw.missing(c) & _bad_text(v(c))) for c in APP_OPTIONAL],
+        *[(f"uuid:{c}", ~is_uuid(v(c))) for c in ("event_id", "session_id")],
+        *[(f"uuid:{c}", ~raw.missing(c) & ~yes(is_uuid(v(c)))) for c in ("simulation_run_id", "order_id")],
         ("event_type", ~action.isin(schemas.ACTIONS)),
         ("source_kind", ~kind.isin(schemas.SOURCE_KINDS)),
-        ("event_time", _out_of_time(at, as_of)),
-        ("run_required", F.coalesce(kind == "synthetic", F.lit(False)) & optional["simulation_run_id"].isNull()),
+        ("event_time", _out_of_time(v("event_time"), as_of)),
+        ("run_required", yes(kind == "synthetic") & v("simulation_run_id").isNull()),
         (
             "source_record_required",
-            F.coalesce(kind.isin("public_historical", "historical_replay"), F.lit(False))
-            & optional["source_record_id"].isNull(),
+            yes(kind.isin("public_historical", "historical_replay")) & v("source_record_id").isNull(),
         ),
-        ("restaurant_required", F.coalesce(action.isin(NEEDS_RESTAURANT), F.lit(False)) & optional["restaurant_id"].isNull()),
-        ("product_required", F.coalesce(action.isin(NEEDS_PRODUCT), F.lit(False)) & optional["product_id"].isNull()),
+        ("restaurant_required", yes(action.isin(NEEDS_RESTAURANT)) & v("restaurant_id").isNull()),
+        ("product_required", yes(action.isin(NEEDS_PRODUCT)) & v("product_id").isNull()),
     ]
-    uuids = {"event_id", "session_id", "simulation_run_id", "order_id"}
-    fields = {**texts, **optional, "event_time": at, "schema_version": raw.whole("schema_version").cast("smallint")}
-    checked = check(df, rules)
-    return checked.select(
-        payload, "reasons", *[(F.lower(v) if c in uuids else v).alias(c) for c, v in fields.items()]
-    )
+    fields = {c: v(c) for c in [*required, *APP_OPTIONAL, "event_time"]}
+    for c in ("event_id", "session_id", "simulation_run_id", "order_id"):
+        fields[c] = F.lower(v(c))
+    fields["schema_version"] = v("schema_version").cast("smallint")
+    return raw.finish(rules, fields)
 
 
 def parse_telemetry(df: DataFrame, stream: str, as_of: Column, payload: str = "payload") -> DataFrame:
     """Courier positions or order snapshots from JSON text: typed columns plus ``reasons``."""
-    raw = RawEvent(payload)
     names = TELEMETRY_FIELDS[stream]
+    is_order = stream == "order_events"
     ids = ["event_id", "simulation_run_id", "courier_id", "order_id"]
-    texts = ["city_id", "source"] + (["restaurant_id"] if stream == "order_events" else [])
-    at = raw.moment("event_time")
-    field_set = F.array(*map(F.lit, names))
-    exact = (F.size(F.array_except(raw.keys(), field_set)) == 0) & (F.size(F.array_except(field_set, raw.keys())) == 0)
-    fields: dict[str, Column] = {
-        "schema_version": raw.whole("schema_version").cast("smallint"),
-        **{c: F.lower(raw.text_of(c)) for c in ids},
-        **{c: raw.text_of(c) for c in texts},
-        "source_kind": raw.text_of("source_kind"),
-        "event_time": at,
-    }
-    rules: list[Rule] = [
-        ("not_an_object", ~raw.is_object()),
-        ("fields", ~exact),
-        ("schema_version", raw.whole("schema_version") != 1),
-        *[(f"uuid:{c}", ~is_uuid(raw.text_of(c))) for c in ids],
-        *[(f"text:{c}", ~_good_text(raw.text_of(c))) for c in texts],
-        ("source_kind", raw.text_of("source_kind") != "synthetic"),
-        ("event_time", _out_of_time(at, as_of)),
-    ]
-    if stream == "courier_positions":
+    texts = ["city_id", "source"] + (["restaurant_id"] if is_order else [])
+    if is_order:
         limits = [
-            ("latitude", -90, 90), ("longitude", -180, 180),
-            ("speed_kmh", 0, MAX_SPEED_KMH), ("accuracy_m", 0, MAX_ACCURACY_M),
+            ("pickup_lat", -90, 90), ("pickup_lon", -180, 180), ("dropoff_lat", -90, 90), ("dropoff_lon", -180, 180),
         ]
     else:
         limits = [
-            ("pickup_lat", -90, 90), ("pickup_lon", -180, 180), ("dropoff_lat", -90, 90), ("dropoff_lon", -180, 180),
+            ("latitude", -90, 90), ("longitude", -180, 180),
+            ("speed_kmh", 0, MAX_SPEED_KMH), ("accuracy_m", 0, MAX_ACCURACY_M),
         ]
-        created, promised = raw.moment("order_created_at"), raw.moment("promised_delivery_at")
-        amount = raw.whole("amount_minor")
-        fields |= {
-            "status": raw.text_of("status"), "currency": raw.text_of("currency"), "amount_minor": amount.cast("int"),
-            "order_created_at": created, "promised_delivery_at": promised,
-        }
+    raw = RawEvent(
+        df, payload, [*ids, *texts, "source_kind", *(["status", "currency"] if is_order else [])],
+        wholes=["schema_version", *(["amount_minor"] if is_order else [])], numbers=[n for n, _, _ in limits],
+        moments=["event_time", *(["order_created_at", "promised_delivery_at"] if is_order else [])],
+    )
+    v = raw.value
+    rules: list[Rule] = [
+        ("not_an_object", raw.not_an_object()),
+        ("fields", raw.lacks(names) | raw.has_other_than(names)),
+        ("schema_version", v("schema_version") != 1),
+        *[(f"uuid:{c}", ~is_uuid(v(c))) for c in ids],
+        *[(f"text:{c}", _bad_text(v(c))) for c in texts],
+        ("source_kind", v("source_kind") != "synthetic"),
+        ("event_time", _out_of_time(v("event_time"), as_of)),
+        *[(f"range:{n}", F.isnan(v(n)) | ~v(n).between(low, high)) for n, low, high in limits],
+    ]
+    if is_order:
+        created, promised = v("order_created_at"), v("promised_delivery_at")
         rules += [
-            ("status", ~raw.text_of("status").isin(schemas.STATUSES)),
-            ("currency", raw.text_of("currency") != "EUR"),
-            ("amount_minor", ~amount.between(0, MAX_AMOUNT_MINOR)),
+            ("status", ~v("status").isin(schemas.STATUSES)),
+            ("currency", v("currency") != "EUR"),
+            ("amount_minor", ~v("amount_minor").between(0, MAX_AMOUNT_MINOR)),
             ("order_created_at", _out_of_time(created, as_of)),
             ("promised_delivery_at", _out_of_time(promised, as_of, 86_400)),
-            ("order_times", (created > at) | (promised < created)),
+            ("order_times", (created > v("event_time")) | (promised < created)),
         ]
-    for name, low, high in limits:
-        number = raw.number(name)
-        rules.append((f"range:{name}", F.isnan(number) | ~number.between(low, high)))
-        fields[name] = number
-    return check(df, rules).select(payload, "reasons", *[fields[c].alias(c) for c in names])
+    fields = {c: F.lower(v(c)) if c in ids else v(c) for c in names}
+    fields["schema_version"] = v("schema_version").cast("smallint")
+    if is_order:
+        fields["amount_minor"] = v("amount_minor").try_cast("int")
+    return raw.finish(rules, fields)
 
 
 def table_rules(table: str) -> list[Rule]:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventloom.paths import child_names, path_exists
 
+SKETCH_LOG2 = 14
+
 
 def sum_rollup(df: DataFrame, keys: Sequence[str], events: str = "events") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(events))
@@ -33,8 +35,8 @@ def read_id_rollup(states: DataFrame, keys: Sequence[str], member: str, name: st
 
 
 def hll_rollup(df: DataFrame, keys: Sequence[str | Column], member: str, name: str = "sketch") -> DataFrame:
-    """Approximate-distinct state, a few KB per key whatever the traffic."""
-    return df.groupBy(*keys).agg(F.hll_sketch_agg(member, 12).alias(name))
+    """Approximate-distinct state, at most 16 KB per key whatever the traffic; error near 1 %."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(member, SKETCH_LOG2).alias(name))
 
 
 def read_hll_rollup(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventloom import schemas
 from eventloom.functions.scalars import within_last
 from eventloom.operators.funnel import level_histogram, window_funnel
-from eventloom.operators.rollups import hll_rollup, read_hll_rollup
+from eventloom.operators.rollups import SKETCH_LOG2, hll_rollup, read_hll_rollup
 
 STEPS = ["busqueda", "restaurante", "carrito", "pago", "pedido"]
 WINDOW_SECONDS = 1800
@@ -17,7 +17,7 @@ PANEL_KEYS = ["hora", "origen", "seccion", "dispositivo", "distrito"]
 def sessions_by_origin(events: DataFrame) -> DataFrame:
     return events.groupBy("origen").agg(
         F.count(F.lit(1)).alias("eventos"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("session_id", 12)).alias("sesiones"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("session_id", SKETCH_LOG2)).alias("sesiones"),
     ).orderBy(schemas.enum_rank("origen", schemas.ORIGINS))
 
 
