@@ -74,17 +74,21 @@ class RawEvent:
         self.names = [*texts, *wholes, *numbers, *moments]
         c = F.col
         step = df.select("*", F.try_parse_json(c(payload)).alias("_v"), F.json_object_keys(c(payload)).alias("_keys"))
-        step = step.select("*", *[F.try_variant_get("_v", f"$.{n}", "variant").alias(f"_f_{n}") for n in self.names])
-        step = step.select("*", *[F.schema_of_variant(f"_f_{n}").alias(f"_k_{n}") for n in self.names])
+        # The type text of the whole object names the type of every field. A nested
+        # object could repeat a name, but its own field is then no scalar and fails.
+        step = step.select("*", F.schema_of_variant("_v").alias("_types"))
+        step = step.select(
+            "*", *[F.regexp_extract("_types", f"[<,] ?{n}: ([A-Z]+)", 1).alias(f"_k_{n}") for n in self.names]
+        )
 
-        def typed(name: str, kinds: str, target: str) -> Column:
-            return F.when(c(f"_k_{name}").rlike(f"^({kinds})"), F.try_variant_get(f"_f_{name}", "$", target))
+        def typed(name: str, kinds: Sequence[str], target: str) -> Column:
+            return F.when(c(f"_k_{name}").isin(*kinds), F.try_variant_get("_v", f"$.{name}", target)).alias(f"_t_{name}")
 
         step = step.select(
             "*",
-            *[typed(n, "STRING", "string").alias(f"_t_{n}") for n in [*texts, *moments]],
-            *[typed(n, "BIGINT", "bigint").alias(f"_t_{n}") for n in wholes],
-            *[typed(n, "BIGINT|DECIMAL|DOUBLE|FLOAT", "double").alias(f"_t_{n}") for n in numbers],
+            *[typed(n, ["STRING"], "string") for n in [*texts, *moments]],
+            *[typed(n, ["BIGINT"], "bigint") for n in wholes],
+            *[typed(n, ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "double") for n in numbers],
         )
         zone = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
         # ISO times that name their zone, cut to milliseconds.
@@ -99,7 +103,7 @@ class RawEvent:
 
     def missing(self, name: str) -> Column:
         """Missing or null."""
-        return F.coalesce(F.col(f"_k_{name}") == "VOID", F.lit(True))
+        return F.coalesce(F.col(f"_k_{name}").isin("", "VOID"), F.lit(True))
 
     def not_an_object(self) -> Column:
         return F.col("_v").isNull() | F.col("_keys").isNull()

@@ -9,10 +9,12 @@ from eventloom.operators.rollups import read_id_rollup
 from eventloom.operators.versioning import newest_of
 from eventloom.streaming.ingest import ROLLUP_KEYS
 
+PURCHASE = ["checkout_event_id", "amount_minor", "items", "decision_mode"]
+
 
 def detail_matches_rollup(app_events: DataFrame, states: DataFrame) -> DataFrame:
     """Logical events per dimension against the exact-ID states."""
-    detail = newest_of("app_events", app_events).groupBy(*ROLLUP_KEYS).agg(F.count(F.lit(1)).alias("events"))
+    detail = newest_of("app_events", app_events, ["section"]).groupBy(*ROLLUP_KEYS).agg(F.count(F.lit(1)).alias("events"))
     return same_rows(detail, read_id_rollup(states, ROLLUP_KEYS, "event_id"))
 
 
@@ -23,13 +25,13 @@ def actions_of_source(app_events: DataFrame, source: str) -> DataFrame:
 
 def purchase_clicks(purchases: DataFrame, app_events: DataFrame, decision_mode: str = "manual") -> DataFrame:
     """Purchases with the click that submitted them."""
-    bought = newest_of("customer_orders", purchases.filter(F.col("decision_mode") == decision_mode))
-    clicks = newest_of("app_events", app_events).select(F.col("event_id").alias("checkout_event_id"), "event_type")
+    bought = newest_of("customer_orders", purchases.filter(F.col("decision_mode") == decision_mode), PURCHASE)
+    clicks = newest_of("app_events", app_events, []).select(F.col("event_id").alias("checkout_event_id"), "event_type")
     return bought.join(clicks, "checkout_event_id").select("order_id", "amount_minor", "items", "event_type")
 
 
 def status_history(order_events: DataFrame, order_id: str) -> DataFrame:
-    return newest_of("order_events", order_events.filter(F.col("order_id") == order_id)).select(
+    return newest_of("order_events", order_events.filter(F.col("order_id") == order_id), ["status", "courier_id"]).select(
         "status", "courier_id", "event_time"
     ).orderBy("event_time")
 

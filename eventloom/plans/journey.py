@@ -23,7 +23,7 @@ def run_activity(activity: DataFrame, run_id: str, kind: str = "all") -> DataFra
     """
     filters.journey_kind(kind)
     run = activity.filter(F.col("simulation_run_id") == run_id)
-    logical = newest_of("customer_activity", run)
+    logical = newest_of("customer_activity", run, ["session_id", "action"])
     if kind == "all":
         return logical
     modelled = run.groupBy("customer_id").agg(F.max(F.col("decision_mode") == schemas.MODEL_MODE).alias("_ai"))

@@ -64,9 +64,8 @@ def board_orders(order_latest: DataFrame, run_id: str) -> DataFrame:
 def enrich_orders(orders: DataFrame, purchases: DataFrame, run_id: str) -> DataFrame:
     """Add the purchase behind each order, whatever its age."""
     wanted = _run(purchases, run_id).join(orders.select("order_id"), "order_id", "left_semi")
-    link = newest_of("customer_orders", wanted).select(
-        "order_id", "customer_id", "session_id", "checkout_event_id", "items", "decision_mode"
-    )
+    details = ["customer_id", "session_id", "checkout_event_id", "items", "decision_mode"]
+    link = newest_of("customer_orders", wanted, details).select("order_id", *details)
     return any_left_join(orders, link, ["order_id"])
 
 
@@ -123,10 +122,9 @@ def order_state(order_latest: DataFrame, run_id: str, order_id: str) -> DataFram
 
 def courier_track(positions: DataFrame, run_id: str, courier_id: str, n: int = TRACK_POINTS) -> DataFrame:
     """Last points of one courier in time order."""
-    mine = newest_of("courier_positions", _run(positions, run_id).filter(F.col("courier_id") == courier_id))
-    return latest_chronological(
-        mine.select("latitude", "longitude", "order_id", "event_time", "event_id"), n, "event_time", "event_id"
-    )
+    point = ["latitude", "longitude", "order_id"]
+    mine = newest_of("courier_positions", _run(positions, run_id).filter(F.col("courier_id") == courier_id), point)
+    return latest_chronological(mine.select(*point, "event_time", "event_id"), n, "event_time", "event_id")
 
 
 def map_pins(courier_latest: DataFrame, order_latest: DataFrame, purchases: DataFrame, customer_latest: DataFrame, run_id: str) -> DataFrame:
@@ -179,14 +177,22 @@ def customer_flow(activity: DataFrame, run_id: str) -> DataFrame:
 
 def recent_activity(activity: DataFrame, run_id: str, n: int = ACTIVITY_SHOWN) -> DataFrame:
     """The latest model decisions and, apart from them, the latest other actions."""
-    logical = newest_of("customer_activity", _run(activity, run_id))
+    shown = [
+        "event_id", "customer_label", "customer_id", "session_id", "event_time", "action", "reason", "decision_mode",
+        "model", "order_id", "restaurant_id", "product_id",
+    ]
+    logical = newest_of("customer_activity", _run(activity, run_id), shown)
     return limit_by(
-        logical, n, [F.col("decision_mode") == schemas.MODEL_MODE], [F.desc("event_time"), F.desc("event_id")]
+        logical.select(*shown), n, [F.col("decision_mode") == schemas.MODEL_MODE], [F.desc("event_time"), F.desc("event_id")]
     ).orderBy(F.desc("event_time"), F.desc("event_id"))
 
 
 def recent_purchases(purchases: DataFrame, run_id: str, n: int = ORDERS_SHOWN) -> DataFrame:
-    logical = newest_of("customer_orders", _run(purchases, run_id))
+    shown = [
+        "order_id", "customer_id", "session_id", "checkout_event_id", "restaurant_id", "items", "amount_minor",
+        "decision_mode", "event_time",
+    ]
+    logical = newest_of("customer_orders", _run(purchases, run_id), shown).select(*shown)
     return logical.orderBy(F.desc("event_time"), "order_id").limit(n)
 
 
@@ -249,7 +255,7 @@ def navigation_totals(states: DataFrame, source_kind: str, city_id: str) -> Data
 
 
 def recent_events(app_events: DataFrame, n: int = 30) -> DataFrame:
-    return newest_of("app_events", app_events).select(
+    return newest_of("app_events", app_events, ["source"]).select(
         "event_id", "session_id", "event_time", "ingested_at", "event_type", "city_id", "source", "source_kind"
     ).orderBy(F.desc("ingested_at"), F.desc("event_id")).limit(n)
 

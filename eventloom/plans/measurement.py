@@ -21,7 +21,7 @@ PHASE = ["design", "concurrency", "repetition"]
 def app_day_detail(app_events: DataFrame, day: str, source_kind: str, city_id: str) -> DataFrame:
     """Logical events per section and type of one day, from the event history."""
     where = (F.col("source_kind") == source_kind) & (F.col("city_id") == city_id) & (F.col("event_date") == F.lit(day).cast("date"))
-    return newest_of("app_events", app_events.filter(where)).groupBy(*SECTION_KEYS).agg(
+    return newest_of("app_events", app_events.filter(where), ["section"]).groupBy(*SECTION_KEYS).agg(
         F.count_distinct("event_id").alias("events")
     )
 
@@ -42,7 +42,7 @@ def archive_prepared(partials: DataFrame) -> DataFrame:
 
 def latest_from_history(positions: DataFrame, run_id: str, city_id: str) -> DataFrame:
     where = (F.col("simulation_run_id") == run_id) & (F.col("city_id") == city_id)
-    return latest_state(positions.filter(where), ["courier_id"], schemas.LATEST_PAYLOAD["courier_positions"])
+    return latest_state(positions.filter(where), ["courier_id"], schemas.LATEST_PAYLOAD["courier_positions"], long_history=True)
 
 
 def latest_from_state(states: DataFrame, run_id: str, city_id: str) -> DataFrame:
