@@ -255,7 +255,7 @@ def classify_batch(batch: DataFrame, ledger: DataFrame, key: str = "event_id", d
         F.max(digest).alias("_max"),
         F.min_by(F.struct(*rest), digest).alias("_row"),
     )
-    known = ledger.select(key, F.col(digest).alias("_known")).join(batch.select(key), key, "left_semi").distinct()
+    known = ledger.select(key, F.col(digest).alias("_known")).join(batch.select(key).distinct(), key, "left_semi").distinct()
     joined = ids.join(known, key, "left")
     conflict = (F.col("_min") != F.col("_max")) | (F.col("_known") != F.col("_min"))
     status = F.when(F.coalesce(conflict, F.lit(False)), "conflict").when(F.col("_known").isNotNull(), "duplicate")

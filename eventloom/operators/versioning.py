@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom import schemas
 from eventloom.paths import path_exists
-from eventloom.session import scratch_path
+from eventloom.session import scratch_path, stage_once
 
 
 def newest(df: DataFrame, keys: Sequence[str], version: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -57,26 +57,36 @@ def read_state(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def latest_state(
-    df: DataFrame, keys: Sequence[str], payload: Sequence[str], weight: Sequence[str] = tuple(schemas.LATEST_WEIGHT),
-    long_history: bool = False,
+    df: DataFrame, keys: Sequence[str], payload: Sequence[str], weight: Sequence[str] = tuple(schemas.LATEST_WEIGHT)
 ) -> DataFrame:
-    """Latest payload per entity straight from its history.
+    """Latest payload per entity straight from its history, in one pass.
 
-    ``long_history`` says that entities are few against their rows. The newest time
-    per entity is then found first, a hash aggregation over two narrow columns, and
-    only rows at that time are compared in full; merging whole payloads has to sort
-    every row. With a few rows per entity the single pass is the faster one.
+    Rows of an entity combine on the map side, so little is shuffled, but each task
+    sorts what it read.
     """
-    if long_history:
-        newest_time = df.groupBy(*keys).agg(F.max(weight[0]).alias("_newest"))
-        df = df.join(newest_time, list(keys)).filter(F.col(weight[0]).eqNullSafe(F.col("_newest"))).drop("_newest")
     return partial_state(df, keys, payload, weight).select(*keys, "state.*")
 
 
+def latest_from_long_history(
+    df: DataFrame, keys: Sequence[str], payload: Sequence[str], weight: Sequence[str] = tuple(schemas.LATEST_WEIGHT),
+    broadcast_rows: int = 200_000,
+) -> DataFrame:
+    """``latest_state`` for entities that are few against their rows.
+
+    The newest time per entity is found first, a hash aggregation over narrow
+    columns, and stored. When it turns out small enough to broadcast, only the rows
+    at that time are compared in full, without sorting or shuffling the history.
+    With more entities than ``broadcast_rows`` the single pass answers.
+    """
+    newest_time = stage_once(df.groupBy(*keys).agg(F.max(weight[0]).alias("_newest")), "newest")
+    if newest_time.count() > broadcast_rows:
+        return latest_state(df, keys, payload, weight)
+    at_newest = F.col(weight[0]).eqNullSafe(F.col("_newest"))
+    return latest_state(df.join(F.broadcast(newest_time), list(keys)).filter(at_newest), keys, payload, weight)
+
+
 def latest_of(stream: str, df: DataFrame) -> DataFrame:
-    return latest_state(
-        df, schemas.LATEST_KEYS[stream], schemas.LATEST_PAYLOAD[stream], long_history=stream in schemas.LONG_HISTORY
-    )
+    return latest_state(df, schemas.LATEST_KEYS[stream], schemas.LATEST_PAYLOAD[stream])
 
 
 def with_tombstones(df: DataFrame, keys: Sequence[str], version: str, deleted: str = "is_deleted") -> DataFrame:

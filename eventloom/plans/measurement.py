@@ -9,7 +9,7 @@ from eventloom.functions.aggregates import content_fingerprint
 from eventloom.operators.compare import compare_designs
 from eventloom.operators.quantiles import median, nearest_rank
 from eventloom.operators.rollups import read_id_rollup, read_sum_rollup, sum_rollup
-from eventloom.operators.versioning import latest_state, newest_of, read_state
+from eventloom.operators.versioning import latest_from_long_history, newest_of, read_state
 
 SECTION_KEYS = ["section", "event_type"]
 PHASE = ["design", "concurrency", "repetition"]
@@ -42,7 +42,7 @@ def archive_prepared(partials: DataFrame) -> DataFrame:
 
 def latest_from_history(positions: DataFrame, run_id: str, city_id: str) -> DataFrame:
     where = (F.col("simulation_run_id") == run_id) & (F.col("city_id") == city_id)
-    return latest_state(positions.filter(where), ["courier_id"], schemas.LATEST_PAYLOAD["courier_positions"], long_history=True)
+    return latest_from_long_history(positions.filter(where), ["courier_id"], schemas.LATEST_PAYLOAD["courier_positions"])
 
 
 def latest_from_state(states: DataFrame, run_id: str, city_id: str) -> DataFrame:

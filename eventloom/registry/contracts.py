@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.scalars import name_uuid
 from eventloom.operators import contracts
 from eventloom.registry import query
-from eventloom.registry.views import app_events, ev, order_events, plain, positions, table, tag, with_sql
+from eventloom.registry.views import app_events, ev, plain, positions, table, tag, with_sql
 from eventloom.streaming.ingest import parse_stream
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -122,11 +122,15 @@ def table_checks(spark, sf_dir):
     return plain(contracts.reason_counts(contracts.check(rows, contracts.table_rules("courier_positions"))))
 
 
-@query("order_status_checks", "SELECT CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS rows WHERE false")
+@query("order_status_checks", _reasons({"status_valid": "o_orderstatus = 'P'", "currency_eur": "o_orderpriority = '1-URGENT'"}, "orders"))
 def status_checks(spark, sf_dir):
-    """Stored order snapshots break no rule."""
-    rows = contracts.check(order_events(spark, sf_dir), contracts.table_rules("order_events"))
-    return plain(contracts.reason_counts(rows))
+    """Stored constraints over rows of which some have no known status or another currency."""
+    c = F.col
+    rows = table(spark, sf_dir, "orders").select(
+        F.when(c("o_orderstatus") == "F", "delivered").when(c("o_orderstatus") == "O", "created").otherwise(c("o_orderstatus")).alias("status"),
+        F.when(c("o_orderpriority") == "1-URGENT", "USD").otherwise("EUR").alias("currency"),
+    )
+    return plain(contracts.reason_counts(contracts.check(rows, contracts.table_rules("order_events"))))
 
 
 # Acceptance -----------------------------------------------------------------------------------

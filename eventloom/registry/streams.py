@@ -141,7 +141,7 @@ def stream_counters(spark, sf_dir):
 def replay_order(spark, sf_dir):
     """The first 500 events of the archive, replayed 100 per micro-batch."""
     from eventloom.registry.views import archive
-    from eventloom.sources.tables import stage_once
+    from eventloom.session import stage_once
 
     prepared = stage_once(replay.ordered_slice(archive(spark, sf_dir), 500), "replay")
     out = scratch_path(spark, "replayed")

@@ -145,8 +145,6 @@ LATEST_PAYLOAD = {
     ],
 }
 LATEST_WEIGHT = ["event_time", "event_id"]
-# Entities that send events for as long as they exist; an order has one row per status.
-LONG_HISTORY = ["courier_positions", "customer_activity"]
 
 # --- fixed values: closed sets, in the order of their stored codes ----------------------------
 SOURCE_KINDS = ["synthetic", "demo_live", "public_historical", "historical_replay"]

@@ -66,3 +66,10 @@ def pin(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def stage_once(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, its size then known."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

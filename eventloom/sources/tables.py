@@ -8,7 +8,6 @@ from eventloom import schemas
 from eventloom.functions.scalars import month_key, plus_days
 from eventloom.operators.sequences import continuity
 from eventloom.paths import path_exists, rename
-from eventloom.session import scratch_path
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -32,8 +31,11 @@ def write_table(df: DataFrame, table: str, path: str, partitions: int | None = N
     if table in schemas.MONTH_COLUMN:
         out = out.withColumn("event_month", month_key(schemas.MONTH_COLUMN[table]))
         order = ["event_month", *order]
-    ranged = out.repartitionByRange(partitions, *order) if partitions else out.repartitionByRange(*order)
-    writer = ranged.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    # Copies with one and the same key still spread, by the task that read them.
+    spread = out.withColumn("_task", F.spark_partition_id())
+    ranges = [*order, "_task"]
+    ranged = spread.repartitionByRange(partitions, *ranges) if partitions else spread.repartitionByRange(*ranges)
+    writer = ranged.drop("_task").sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if table in schemas.MONTH_COLUMN:
         writer = writer.partitionBy("event_month")
     writer.parquet(path)
@@ -138,9 +140,3 @@ def drop_scenario(df: DataFrame, path: str, scenario: int) -> DataFrame:
     here: Column = F.col("scenario") == scenario
     return rewrite_partitions(df, path, "scenario", here, here)
 
-
-def stage_once(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

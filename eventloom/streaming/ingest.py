@@ -205,7 +205,7 @@ def compact_table(spark: SparkSession, lake: Lake, stream: str, month: int, thro
     Rows keep their content; the newest batch id of the fold names the new folder.
     Run it between micro-batches and only over committed batches.
     """
-    from eventloom.sources.tables import stage_once
+    from eventloom.session import stage_once
 
     ddl = schemas.TABLES[stream] + ", event_month INT, batch_id BIGINT"
     old = spark.read.schema(ddl).parquet(lake.table(stream)).filter((F.col("event_month") == month) & (F.col("batch_id") <= through))
