@@ -141,17 +141,18 @@ def stream_counters(spark, sf_dir):
 def replay_order(spark, sf_dir):
     """The first 500 events of the archive, replayed 100 per micro-batch."""
     from eventloom.registry.views import archive
-    from eventloom.session import stage_once
 
-    prepared = stage_once(replay.ordered_slice(archive(spark, sf_dir), 500), "replay")
-    out = scratch_path(spark, "replayed")
-    stream = replay.replay_stream(spark, prepared, 100, test_batches=True)
+    source, out = scratch_path(spark, "replay"), scratch_path(spark, "replayed")
+    replay.write_replay_files(replay.ordered_slice(archive(spark, sf_dir), 500), source, 100)
+    stream = replay.replay_files(spark, source)
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    running = stream.writeStream.option("checkpointLocation", scratch_path(spark, "ck")).foreachBatch(write).start()
-    while running.isActive and (running.lastProgress is None or running.lastProgress["batchId"] < 6):
-        running.awaitTermination(1)
-    running.stop()
-    return plain(spark.read.parquet(out).select("session_id", "event_type", "event_time"))
+    stream.writeStream.option("checkpointLocation", scratch_path(spark, "ck")).foreachBatch(write).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    stored = spark.read.parquet(out)
+    if stored.groupBy("batch_id").count().filter("count <> 100").count():
+        raise AssertionError("every micro-batch replays one file")
+    return plain(stored.select("session_id", "event_type", "event_time"))

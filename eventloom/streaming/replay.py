@@ -31,5 +31,17 @@ def replay_stream(spark: SparkSession, prepared: DataFrame, rate: int, test_batc
     )
 
 
+def write_replay_files(prepared: DataFrame, path: str, rows_per_file: int) -> None:
+    """The prepared slice as consecutive files; one task writes them so that their times follow the order."""
+    prepared.coalesce(1).sortWithinPartitions("seq").write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def replay_files(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Stream of prepared files, some per micro-batch; it ends with the last file under ``availableNow``."""
+    schema = spark.read.parquet(path).schema
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return files.withColumn("ingested_at", F.current_timestamp())
+
+
 def start_replay(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()

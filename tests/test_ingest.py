@@ -157,6 +157,21 @@ def test_replay_keeps_order_and_times(spark, tmp_path, after):
     assert {r.article_id for r in got} == set(range(10, 20))
 
 
+def test_replay_files_are_consecutive(spark, tmp_path, after):
+    rows = [(i % 3, i, after(100 - i), "clicks", 0) for i in range(20)]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    replay.write_replay_files(replay.ordered_slice(spark.createDataFrame(rows, schemas.schema("otto_archive")), 12), src, 4)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    replay.replay_files(spark, src).writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(write).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    spans = spark.read.parquet(out).groupBy("batch_id").agg(F.min("seq"), F.max("seq")).orderBy("batch_id").collect()
+    assert [tuple(r)[1:] for r in spans] == [(0, 3), (4, 7), (8, 11)]
+
+
 def test_windows_agree_on_stream_and_table(spark, tmp_path, after, collect):
     src = str(tmp_path / "src")
     df = spark.createDataFrame([(after(s), k) for s, k in [(0, "a"), (3, "a"), (5, "b"), (11, "a")]], "ts TIMESTAMP, k STRING")
