@@ -68,11 +68,12 @@ def main() -> None:
             rows[name] = n
 
     # Archive of labelled copies, its daily rollup, and the reads over them.
-    archive = views.archive(spark, SF_DIR)
+    stored_archive, scale = scratch_path(spark, "archive"), scratch_path(spark, "scale")
+    tables.write_table(views.archive(spark, SF_DIR), "otto_archive", stored_archive, partitions=int(CPUS))
+    archive = tables.read_table(spark, "otto_archive", stored_archive).drop("event_month")
     base = archive.count()
-    scale = scratch_path(spark, "scale")
     start = time.perf_counter()
-    tables.write_table(tables.scale_copies(archive, COPIES), "otto_scale_benchmark", scale)
+    tables.write_copies(archive.repartition(int(CPUS)), scale, COPIES)
     queries["scale_build"], rows["scale_build"] = round(time.perf_counter() - start, 4), base * COPIES
     big = tables.read_table(spark, "otto_scale_benchmark", scale)
     dated = big.withColumn("event_date", F.to_date("event_time"))

@@ -9,6 +9,7 @@ last slot are ordered, so a group's size never decides how much one task holds.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,8 +29,6 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
     )
-    if not keys:
-        keys, counts = ["_all"], counts.withColumn("_all", F.lit(1))
     wanted = F.array(*[F.struct(F.lit(name).alias("q"), rank.cast("bigint").alias("r")) for name, rank in ranks.items()])
     targets = (
         counts.groupBy(*keys)
@@ -40,7 +39,19 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
     group = [*keys, "_q"]
 
     def candidates(t: DataFrame) -> DataFrame:
-        return counts.join(t, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        if keys:
+            return counts.join(t, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        # Without keys there is one target per rank: its bounds become plain filters.
+        found = [r for r in t.collect() if r["_lo"] is not None]  # one row per rank
+        parts = [
+            counts.filter(F.col("_v").between(F.lit(r["_lo"]), F.lit(r["_hi"]))).select(
+                "*", *[F.lit(r[c]).alias(c) for c in ("n", "_lo", "_hi", "_q", "_r")]
+            )
+            for r in found
+        ]
+        return reduce(DataFrame.unionByName, parts) if parts else counts.limit(0).select(
+            "*", F.col("_c").alias("n"), F.col("_v").alias("_lo"), F.col("_v").alias("_hi"), F.lit("").alias("_q"), F.col("_c").alias("_r")
+        )
 
     for _ in range(ROUNDS):
         slots = candidates(targets).groupBy(*group, "n", "_r", _slot(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_s")).agg(
@@ -58,10 +69,9 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
     found = candidates(targets).withColumn("_upto", upto).filter(
         (F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_c") < F.col("_r"))
     )
-    wide = found.groupBy(*keys, "n").agg(
+    return found.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in ranks]
     )
-    return wide.drop("_all") if keys == ["_all"] else wide
 
 
 def quantile_exact(df: DataFrame, keys: Sequence[str], value: str, p: float = 0.5, name: str = "quantile") -> DataFrame:

@@ -13,6 +13,9 @@ from eventloom.operators.versioning import latest_from_long_history, newest_of,
 
 SECTION_KEYS = ["section", "event_type"]
 PHASE = ["design", "concurrency", "repetition"]
+EVIDENCE = {
+    "query_duration_ms": "median_server_ms", "read_rows": "median_read_rows", "read_bytes": "median_read_bytes",
+}
 
 
 # Two designs, one answer --------------------------------------------------------------------
@@ -125,14 +128,16 @@ def log_coverage(samples: DataFrame, log: DataFrame) -> DataFrame:
 def phase_evidence(samples: DataFrame, log: DataFrame) -> DataFrame:
     """Median server time, rows and bytes, and peak memory of successful requests."""
     joined = join_logs(samples.filter("ok"), log).filter(F.col("query_duration_ms").isNotNull())
-    out = joined.groupBy(*PHASE).agg(
-        F.bround(F.max("memory_usage") / 1048576, 3).alias("peak_query_memory_mib")
+    peak = joined.groupBy(*PHASE).agg(F.bround(F.max("memory_usage") / 1048576, 3).alias("peak_query_memory_mib"))
+    # The three measures become rows, so one pass finds all medians.
+    measures = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.col(column).cast("double").alias("value")) for column, name in EVIDENCE.items()
+    ])
+    rows = joined.select(*PHASE, F.explode(measures).alias("m")).select(*PHASE, "m.name", "m.value")
+    medians = median(rows, [*PHASE, "name"], "value").groupBy(*PHASE).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("median"))).alias(name) for name in EVIDENCE.values()]
     )
-    for column, name in [
-        ("query_duration_ms", "median_server_ms"), ("read_rows", "median_read_rows"), ("read_bytes", "median_read_bytes"),
-    ]:
-        out = out.join(median(joined, PHASE, column, name).drop("n"), PHASE, "left")
-    return out
+    return peak.join(medians, PHASE, "left")
 
 
 def boundary_verdict(phases: DataFrame, repetitions: int) -> DataFrame:

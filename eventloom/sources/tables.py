@@ -124,6 +124,16 @@ def scale_copies(
     )
 
 
+def write_copies(archive: DataFrame, path: str, scenarios: int = 5) -> None:
+    """Store the copies in scenario and month folders, without a shuffle.
+
+    A task that reads a stretch of the archive writes that stretch once per scenario.
+    Scenario folders make counts and repairs of one scenario touch nothing else.
+    """
+    copies = scale_copies(archive, scenarios).withColumn("event_month", month_key("event_time"))
+    copies.write.mode("append").partitionBy("scenario", "event_month").parquet(path)
+
+
 def missing_scenarios(copies: DataFrame, expected_rows: int, scenarios: int = 5) -> DataFrame:
     """State of every scenario: absent, partial or complete."""
     axis = copies.sparkSession.range(scenarios).select(F.col("id").cast("smallint").alias("scenario"))

@@ -68,6 +68,18 @@ def test_drop_scenario(spark, tmp_path, collect):
     assert collect(left.select("scenario").distinct()) == [(0,), (2,)]
 
 
+def test_copies_are_written_without_a_shuffle(spark, tmp_path, after):
+    rows = [(1, i, after(i), "clicks", 0) for i in range(10)]
+    path = str(tmp_path / "copies")
+    tables.write_copies(spark.createDataFrame(rows, schemas.schema("otto_archive")), path, 3)
+    stored = tables.read_table(spark, "otto_scale_benchmark", path)
+    assert {r.scenario: (r.n, r.s) for r in stored.groupBy("scenario").agg(F.count("session_id").alias("n"), F.min("session_id").alias("s")).collect()} == {
+        k: (10, 1 + k * 20_000_000) for k in range(3)
+    }
+    assert "Exchange" not in tables.scale_copies(stored.select("session_id", "article_id", "event_time", "event_type"))._jdf.queryExecution().executedPlan().toString()
+    assert (tmp_path / "copies" / "scenario=1" / "event_month=202612").exists()
+
+
 def test_row_numbers_over_splits(spark, tmp_path):
     for f, n in (("a", 5000), ("b", 700)):
         (tmp_path / f).write_text("".join(f"{f}{i}\n" for i in range(1, n + 1)))
@@ -211,6 +223,8 @@ def test_quantiles_equal_sorting(spark):
             assert near[g] == ordered[max(0, math.ceil(p * len(vs)) - 1)]
     assert {r.g: r["median"] for r in quantiles.median(df, ["g"], "v").collect()} == {g: statistics.median(vs) for g, vs in data.items()}
     assert quantiles.quantile_exact(spark.createDataFrame([(1,), (2,), (3,), (4,)], "v INT"), [], "v").first()["quantile"] == 3
+    assert quantiles.quantile_exact(spark.createDataFrame([], "v INT"), [], "v").isEmpty()
+    assert quantiles.quantile_exact(spark.createDataFrame([], "g INT, v INT"), ["g"], "v").isEmpty()
 
 
 def test_phase_summary_and_verdict(spark):
