@@ -7,6 +7,7 @@ projection, so validation never shuffles and reports every broken rule of a row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,25 +72,25 @@ class RawEvent:
     def __init__(self, df: DataFrame, payload: str, texts: Sequence[str], wholes: Sequence[str] = (),
                  numbers: Sequence[str] = (), moments: Sequence[str] = ()):
         self.payload = payload
-        self.names = [*texts, *wholes, *numbers, *moments]
         c = F.col
+        targets = {**dict.fromkeys([*texts, *moments], "STRING"), **dict.fromkeys(wholes, "BIGINT"), **dict.fromkeys(numbers, "DOUBLE")}
+        ddl = "STRUCT<" + ", ".join(f"{n}: {t}" for n, t in targets.items()) + ">"
         step = df.select("*", F.try_parse_json(c(payload)).alias("_v"), F.json_object_keys(c(payload)).alias("_keys"))
-        # The type text of the whole object names the type of every field. A nested
-        # object could repeat a name, but its own field is then no scalar and fails.
-        step = step.select("*", F.schema_of_variant("_v").alias("_types"))
+        # The type text of the object, OBJECT<a: BIGINT, b: STRING>, names every field's
+        # type. A nested object could repeat a name, but its own field is then no
+        # scalar and fails.
         step = step.select(
-            "*", *[F.regexp_extract("_types", f"[<,] ?{n}: ([A-Z]+)", 1).alias(f"_k_{n}") for n in self.names]
+            "*",
+            F.concat(F.lit(", "), F.substring(F.schema_of_variant("_v"), len("OBJECT<") + 1, 1 << 30)).alias("_types"),
+            F.try_variant_get("_v", "$", ddl).alias("_row"),
         )
+        accepted = {"STRING": ["STRING"], "BIGINT": ["BIGINT"], "DOUBLE": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"]}
 
-        def typed(name: str, kinds: Sequence[str], target: str) -> Column:
-            return F.when(c(f"_k_{name}").isin(*kinds), F.try_variant_get("_v", f"$.{name}", target)).alias(f"_t_{name}")
+        def typed(name: str, target: str) -> Column:
+            fits = reduce(Column.__or__, [self.has_type(name, kind) for kind in accepted[target]])
+            return F.when(fits, c(f"_row.{name}")).alias(f"_t_{name}")
 
-        step = step.select(
-            "*",
-            *[typed(n, ["STRING"], "string") for n in [*texts, *moments]],
-            *[typed(n, ["BIGINT"], "bigint") for n in wholes],
-            *[typed(n, ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "double") for n in numbers],
-        )
+        step = step.select("*", *[typed(n, t) for n, t in targets.items()])
         zone = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
         # ISO times that name their zone, cut to milliseconds.
         self.df = step.withColumns({
@@ -101,9 +102,13 @@ class RawEvent:
         """The field in its own type, NULL when it is missing, null or of another type."""
         return F.col(f"_t_{name}")
 
+    @staticmethod
+    def has_type(name: str, kind: str) -> Column:
+        return F.contains(F.col("_types"), F.lit(f", {name}: {kind}"))
+
     def missing(self, name: str) -> Column:
         """Missing or null."""
-        return F.coalesce(F.col(f"_k_{name}").isin("", "VOID"), F.lit(True))
+        return F.coalesce(~self.has_type(name, "") | self.has_type(name, "VOID"), F.lit(True))
 
     def not_an_object(self) -> Column:
         return F.col("_v").isNull() | F.col("_keys").isNull()

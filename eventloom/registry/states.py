@@ -235,9 +235,9 @@ def semi_and_anti(spark, sf_dir):
 
 
 @query("actions_of_source", with_sql("app_events") + """SELECT event_type, count(DISTINCT event_id) AS events FROM app_events
-    WHERE source = 'delivery-miniapp' GROUP BY 1""")
+    WHERE source = 'miniapp' GROUP BY 1""")
 def actions_of_source(spark, sf_dir):
-    return plain(audits.actions_of_source(app_events(spark, sf_dir), "delivery-miniapp"))
+    return plain(audits.actions_of_source(app_events(spark, sf_dir), "miniapp"))
 
 
 @query("purchase_clicks", with_sql("buys", "app") + """SELECT b.order_id, b.amount_minor, 1 AS items, a.event_type FROM buys b

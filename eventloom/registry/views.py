@@ -344,7 +344,7 @@ def app_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag("u", c("user_id")).alias("user_id"),
         tag("rest", c("k") % 12).alias("restaurant_id"),
         tag("prod", c("k") % 36).alias("product_id"),
-        F.when(c("event_id") % 3 == 0, "delivery-miniapp").otherwise("app").alias("source"),
+        F.when(c("event_id") % 3 == 0, "miniapp").otherwise("app").alias("source"),
         F.element_at(kinds, (c("event_id") % 4 + 1).cast("int")).alias("source_kind"),
         tag("rec", c("event_id")).alias("source_record_id"),
         F.lit(RUN).alias("simulation_run_id"),
@@ -358,7 +358,7 @@ def _app_sql(late: int) -> str:
     return f"""SELECT CAST(event_id AS VARCHAR) AS event_id, 's' || (event_id % 100) AS session_id, moment AS event_time,
         CAST(moment AS DATE) AS event_date, moment + INTERVAL {1 + late} SECOND AS ingested_at, {sql_choose('event_type', _APP_TYPE)} AS event_type,
         'sec' || (k % 4) AS section, 'city' || (user_id % 5) AS city_id,
-        CASE WHEN event_id % 3 = 0 THEN 'delivery-miniapp' ELSE 'app' END AS source,
+        CASE WHEN event_id % 3 = 0 THEN 'miniapp' ELSE 'app' END AS source,
         {kinds}[event_id % 4 + 1] AS source_kind, '{RUN}' AS simulation_run_id, 'o' || event_id AS order_id FROM ev{where}"""
 
 
