@@ -141,7 +141,7 @@ def _batch(df, cols):
 
 
 @query("batch_accepted", """SELECT count(*) + count(*) FILTER (WHERE event_id % 9 = 0) AS received, count(*) FILTER (WHERE event_id % 2 = 1) AS accepted,
-    count(*) + count(*) FILTER (WHERE event_id % 9 = 0) - count(*) FILTER (WHERE event_id % 2 = 1) AS duplicates, 0 AS conflicts, 'queued' AS state FROM events""")
+    count(*) + count(*) FILTER (WHERE event_id % 9 = 0) - count(*) FILTER (WHERE event_id % 2 = 1) AS duplicates, 0::BIGINT AS conflicts, 'queued' AS state FROM events""")
 def batch_accepted(spark, sf_dir):
     """Half of the identities are in the ledger, some come twice, none conflicts."""
     cols = ["event_id", "event_time", "event_type", "section"]
@@ -150,7 +150,7 @@ def batch_accepted(spark, sf_dir):
     return plain(contracts.batch_summary(contracts.classify_batch(batch, ledger)))
 
 
-@query("batch_rejected", """SELECT count(*) AS received, 0 AS accepted, 0 AS duplicates, count(*) FILTER (WHERE event_id % 10 = 0) AS conflicts, 'rejected' AS state FROM events""")
+@query("batch_rejected", """SELECT count(*) AS received, 0::BIGINT AS accepted, 0::BIGINT AS duplicates, count(*) FILTER (WHERE event_id % 10 = 0) AS conflicts, 'rejected' AS state FROM events""")
 def batch_rejected(spark, sf_dir):
     """Same identity, other content: nothing of the batch is accepted."""
     cols = ["event_id", "event_type", "value"]
@@ -160,7 +160,7 @@ def batch_rejected(spark, sf_dir):
 
 
 @query("batch_statuses", with_sql("ev") + """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'conflict' WHEN event_id % 2 = 0 THEN 'duplicate' ELSE 'new' END AS status,
-    CASE WHEN event_id % 9 = 0 THEN 2 ELSE 1 END AS copies FROM ev""")
+    CASE WHEN event_id % 9 = 0 THEN 2 ELSE 1 END::BIGINT AS copies FROM ev""")
 def batch_statuses(spark, sf_dir):
     cols = ["event_id", "event_type", "value"]
     e = ev(spark, sf_dir)

@@ -172,7 +172,7 @@ def scale_totals(spark, sf_dir):
 _U = with_sql("users")
 
 
-@query("arm_rates", _U + """SELECT treatment, count(*) AS users, round(avg(exposure), 6) AS exposure_rate, round(avg(visit), 6) AS visit_rate,
+@query("arm_rates", _U + """SELECT treatment::BIGINT AS treatment, count(*) AS users, round(avg(exposure), 6) AS exposure_rate, round(avg(visit), 6) AS visit_rate,
     round(avg(conversion), 6) AS conversion_rate, round_even(100.0 * sum(conversion) / sum(visit), 2) AS conversion_after_visit_pct FROM users GROUP BY 1""")
 def arms(spark, sf_dir):
     return plain(arm_rates(uplift_users(spark, sf_dir)))

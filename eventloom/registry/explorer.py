@@ -58,7 +58,7 @@ _register("criteo_groups", uplift_users, "groups", _U + """SELECT CASE WHEN trea
     round(avg(visit) * 100, 6) AS visit_pct, round(avg(conversion) * 100, 6) AS purchase_pct FROM users GROUP BY 1""")
 
 
-@query("dataset_summary_arms", _U + """SELECT treatment, count(*) AS users, round(avg(exposure), 6) AS exposure_rate, round(avg(visit), 6) AS visit_rate,
+@query("dataset_summary_arms", _U + """SELECT treatment::BIGINT AS treatment, count(*) AS users, round(avg(exposure), 6) AS exposure_rate, round(avg(visit), 6) AS visit_rate,
     round(avg(conversion), 6) AS conversion_rate FROM users GROUP BY 1""")
 def summary_arms(spark, sf_dir):
     return plain(explorer.dataset_summaries(uplift_users(spark, sf_dir), None)["criteo"])

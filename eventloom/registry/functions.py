@@ -23,7 +23,7 @@ def time_functions(spark, sf_dir):
     ))
 
 
-@query("time_differences", """SELECT l_orderkey, l_linenumber, l_partkey, epoch_ms(l_shipdate) - epoch_ms(o_orderdate) AS millis,
+@query("time_differences", """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, epoch_ms(l_shipdate) - epoch_ms(o_orderdate) AS millis,
     epoch_ms(l_shipdate) // 1000 - epoch_ms(o_orderdate) // 1000 AS seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def time_differences(spark, sf_dir):
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -50,7 +50,7 @@ def parse_times(spark, sf_dir):
     ))
 
 
-@query("clean_numbers", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS digits,
+@query("clean_numbers", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END::BIGINT AS digits,
     CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) END AS unsigned, CASE WHEN p_size % 3 <> 0 THEN round(p_retailprice, 6) END AS number FROM part""")
 def clean_numbers(spark, sf_dir):
     c = F.col
@@ -89,7 +89,7 @@ def ratios(spark, sf_dir):
     ))
 
 
-@query("enum_order", with_sql("app_events") + f"""SELECT source_kind, count(*) AS rows, list_position({schemas.SOURCE_KINDS}, source_kind) AS code
+@query("enum_order", with_sql("app_events") + f"""SELECT source_kind, count(*) AS rows, list_position({schemas.SOURCE_KINDS}, source_kind)::BIGINT AS code
     FROM app_events GROUP BY 1""")
 def enum_order(spark, sf_dir):
     """Enumerated values order by their stored code."""
@@ -124,7 +124,7 @@ def having(spark, sf_dir):
     ).filter("_p > 10").drop("_p"))
 
 
-@query("group_five_keys", """SELECT l_returnflag, l_linestatus, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity, l_suppkey % 10 AS shard, count(*) AS n,
+@query("group_five_keys", """SELECT l_returnflag, l_linestatus, l_linenumber::BIGINT AS l_linenumber, CAST(l_quantity AS BIGINT) AS quantity, l_suppkey % 10 AS shard, count(*) AS n,
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY ALL""")
 def five_keys(spark, sf_dir):
     c = F.col
@@ -143,7 +143,9 @@ def chronological(spark, sf_dir):
     return plain(latest_chronological(ev(spark, sf_dir).select("event_id", "event_type", "moment"), 240, "moment", "event_id"))
 
 
-@query("name_identities")
+@query("name_identities", """WITH h AS (SELECT c_custkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)
+    SELECT c_custkey, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3),
+    substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS identity FROM h""")
 def name_identities(spark, sf_dir):
     """Deterministic identities; the namespace is the published DNS one."""
     c = table(spark, sf_dir, "customer")
@@ -158,12 +160,14 @@ def distance(spark, sf_dir):
     return plain(ev(spark, sf_dir).select("event_id", S.metres_between(lat, lon, F.lit(40.4), F.lit(-3.7)).alias("metres")), 2)
 
 
-@query("readable_sizes")
+@query("readable_sizes", """SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN format('{:,.2f}', n_chars / 1048576.0::DOUBLE) || ' GiB'
+    WHEN n_chars >= 1024 THEN format('{:,.2f}', n_chars / 1024.0::DOUBLE) || ' MiB' WHEN n_chars >= 1 THEN format('{:,.2f}', n_chars::DOUBLE) || ' KiB'
+    ELSE '0.00 B' END AS size FROM documents""")
 def readable_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.readable_size(F.col("n_chars") * 1024).alias("size"))
 
 
-@query("map_lookup", with_sql("ev") + "SELECT event_id, k AS hits, 0 AS missing FROM ev")
+@query("map_lookup", with_sql("ev") + "SELECT event_id, k AS hits, 0::BIGINT AS missing FROM ev")
 def map_lookup(spark, sf_dir):
     counters = F.create_map(F.lit("hits"), F.col("k"))
     return plain(ev(spark, sf_dir).select(
@@ -179,7 +183,7 @@ def plausible(spark, sf_dir):
     return plain(e.agg(F.count_if(ok).alias("plausible"), F.count(F.lit(1)).alias("points")))
 
 
-@query("uuid_check", "SELECT count(*) AS identities, count(*) AS valid, 0 AS names_valid FROM customer")
+@query("uuid_check", "SELECT count(*) AS identities, count(*) AS valid, 0::BIGINT AS names_valid FROM customer")
 def uuid_check(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     made = S.name_uuid("6ba7b810-9dad-11d1-80b4-00c04fd430c8", tag("c", F.col("c_custkey")))

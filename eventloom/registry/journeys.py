@@ -101,7 +101,7 @@ for _kind in _KIND:
         return plain(journey.journey_funnel(activity(spark, sf_dir), RUN, kind))
 
     query(f"journey_funnel_{_kind}", _journey_sql(_kind) + f""", labels AS ({_labels})
-    SELECT step, label, count(*) FILTER (WHERE level >= step) AS sessions,
+    SELECT step::BIGINT AS step, label, count(*) FILTER (WHERE level >= step) AS sessions,
     round_even(100.0 * count(*) FILTER (WHERE level >= step) / nullif(count(*) FILTER (WHERE level >= 1), 0), 2) AS share_pct
     FROM labels, levels GROUP BY step, label""")(_funnel)
 

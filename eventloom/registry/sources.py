@@ -232,7 +232,7 @@ def schema_evolution(spark, sf_dir):
 
 
 @query("seed_catalog", with_sql("catalog") + """, n AS (SELECT source_row FROM catalog WHERE country_code = 'AF' ORDER BY source_row LIMIT 36)
-    SELECT 'public_historical' AS name_kind, count(*) AS products, 36 AS distinct_products, CAST(sum(source_row) AS BIGINT) AS source_rows FROM n""")
+    SELECT 'public_historical' AS name_kind, count(*) AS products, 36::BIGINT AS distinct_products, CAST(sum(source_row) AS BIGINT) AS source_rows FROM n""")
 def seed_catalog(spark, sf_dir):
     public = catalog(spark, sf_dir).withColumn("city_code", F.lit("MAD")).withColumn(
         "country_code", F.when(F.col("country_code") == "AF", "ES").otherwise(F.col("country_code"))

@@ -44,11 +44,11 @@ def final_activity(spark, sf_dir):
     return plain(newest_of("customer_activity", activity(spark, sf_dir)).select("event_id", "customer_id", "reason", "ingested_at"))
 
 
-@query("final_lineitem", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, {ms('l_shipdate')} AS l_shipdate FROM lineitem
+@query("final_lineitem", f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, l_quantity, {ms('l_shipdate')} AS l_shipdate FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
     ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1""")
 def final_lineitem(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").drop("l_discount", "l_tax", "l_returnflag", "l_linestatus")
     rows = newest(li, ["l_orderkey", "l_linenumber"], "l_shipdate", ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     return plain(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
 
@@ -84,7 +84,7 @@ def customer_latest(spark, sf_dir):
     return plain(out.select("customer_id", "session_id", "action", "event_time"))
 
 
-@query("latest_history_vs_prepared", """SELECT 0 AS different_rows, true AS same""")
+@query("latest_history_vs_prepared", "SELECT 0::BIGINT AS different_rows, true AS same")
 def latest_history_vs_prepared(spark, sf_dir):
     """The prepared states give exactly the answer of the history."""
     history = positions(spark, sf_dir)
@@ -130,7 +130,7 @@ def rollup_exact_ids(spark, sf_dir):
     return plain(daily_counts(app_states(spark, sf_dir)))
 
 
-@query("rollup_equals_detail", "SELECT 0 AS different_rows, true AS same")
+@query("rollup_equals_detail", "SELECT 0::BIGINT AS different_rows, true AS same")
 def rollup_equals_detail(spark, sf_dir):
     return plain(audits.detail_matches_rollup(app_events(spark, sf_dir), app_states(spark, sf_dir)))
 
@@ -240,7 +240,7 @@ def actions_of_source(spark, sf_dir):
     return plain(audits.actions_of_source(app_events(spark, sf_dir), "miniapp"))
 
 
-@query("purchase_clicks", with_sql("buys", "app") + """SELECT b.order_id, b.amount_minor, 1 AS items, a.event_type FROM buys b
+@query("purchase_clicks", with_sql("buys", "app") + """SELECT b.order_id, b.amount_minor, 1::BIGINT AS items, a.event_type FROM buys b
     JOIN app a ON a.event_id = b.checkout_event_id WHERE b.decision_mode = 'manual'""")
 def purchase_clicks(spark, sf_dir):
     out = audits.purchase_clicks(purchases(spark, sf_dir), app_events(spark, sf_dir))

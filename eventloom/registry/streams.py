@@ -129,7 +129,7 @@ def stream_ingest(spark, sf_dir):
 
 
 @query("stream_ingest_counters", with_sql("ev") + f"""SELECT 2 * count(*) FILTER (WHERE {_OK}) AS received, count(*) FILTER (WHERE {_OK}) AS accepted,
-    count(*) FILTER (WHERE {_OK}) AS duplicates, 0 AS conflicts, 2 * count(*) FILTER (WHERE NOT ({_OK})) AS invalid FROM ev""")
+    count(*) FILTER (WHERE {_OK}) AS duplicates, 0::BIGINT AS conflicts, 2 * count(*) FILTER (WHERE NOT ({_OK})) AS invalid FROM ev""")
 def stream_counters(spark, sf_dir):
     lake = _ingested(spark, sf_dir)
     counters = spark.read.parquet(lake.metrics)

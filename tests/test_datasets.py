@@ -165,6 +165,22 @@ def test_catalog_seed(spark, products):
     assert catalog.seed_restaurants(spark, 1).count() == 12
 
 
+def test_uplift_file(spark, tmp_path):
+    path = tmp_path / "u.csv.gz"
+    names = [f"f{i}" for i in range(12)] + ["treatment", "conversion", "visit", "exposure"]
+    with gzip.open(path, "wt") as out:
+        out.write(",".join(names) + "\n" + ",".join(["0.5"] * 12 + ["1", "0", "1", "1"]) + "\n")
+    row = readers.read_uplift(spark, str(path)).first()
+    assert (row.f11, row.treatment, row.conversion, row.exposure) == (0.5, 1, 0, 1)
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    from eventloom.session import pin, shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert pin(spark.range(3)).count() == 3
+
+
 # Dashboards -------------------------------------------------------------------------------
 
 
