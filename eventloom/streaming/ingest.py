@@ -22,7 +22,7 @@ from eventloom.operators.contracts import (
 from eventloom.operators.rollups import id_rollup, write_batch_state
 from eventloom.operators.versioning import partial_state
 from eventloom.paths import table_exists
-from eventloom.session import pin
+from eventloom.session import pin, stage_once
 
 LEDGER_SCHEMA = "event_id STRING, digest STRING, batch_id BIGINT"
 ROLLUP_KEYS = ["source_kind", "event_date", "city_id", "section", "event_type"]
@@ -199,22 +199,35 @@ def start_ingest(
     return writer.trigger(**trigger).start()
 
 
-def compact_table(spark: SparkSession, lake: Lake, stream: str, month: int, through: int) -> None:
-    """Fold the batch folders of one month up to ``through`` into a single one.
+def _fold(spark: SparkSession, path: str, ddl: str, through: int, month: int | None = None) -> None:
+    """Merge the batch folders up to ``through`` into the folder of ``through``.
 
-    Rows keep their content; the newest batch id of the fold names the new folder.
-    Run it between micro-batches and only over committed batches.
+    The merged rows are staged first; then they replace the last folder, and the
+    folders they came from are emptied. Run it between micro-batches and only over
+    committed batches. If it is interrupted between these steps, rows appear twice,
+    which logical reads and the ledger join ignore.
     """
-    from eventloom.session import stage_once
-
-    ddl = schemas.TABLES[stream] + ", event_month INT, batch_id BIGINT"
-    old = spark.read.schema(ddl).parquet(lake.table(stream)).filter((F.col("event_month") == month) & (F.col("batch_id") <= through))
+    old = spark.read.schema(ddl + ", batch_id BIGINT").parquet(path).filter(F.col("batch_id") <= through)
+    parts: list[str] = []
+    if month is not None:
+        old, parts = old.filter(F.col("event_month") == month), ["event_month"]
     folded = stage_once(old.drop("batch_id"), "compact")
     emptied = [r[0] for r in old.select("batch_id").distinct().collect() if r[0] != through]  # one value per folder
-    _write_batch(folded, lake.table(stream), through, ["event_month"])
-    empty = spark.createDataFrame([], schemas.schema(stream))
+    _write_batch(folded, path, through, parts)
+    empty = folded.drop("event_month").limit(0)
+    prefix = path if month is None else f"{path}/event_month={month}"
     for batch_id in emptied:
-        empty.write.mode("overwrite").parquet(f"{lake.table(stream)}/event_month={month}/batch_id={batch_id}")
+        empty.write.mode("overwrite").parquet(f"{prefix}/batch_id={batch_id}")
+
+
+def compact_table(spark: SparkSession, lake: Lake, stream: str, month: int, through: int) -> None:
+    """Fold one month of a table; rows keep their content."""
+    _fold(spark, lake.table(stream), schemas.TABLES[stream] + ", event_month INT", through, month)
+
+
+def compact_ledger(spark: SparkSession, lake: Lake, through: int) -> None:
+    """Fold the accepted identities of many small batches."""
+    _fold(spark, lake.ledger, "event_id STRING, digest STRING", through)
 
 
 def append_live_clicks(clicks: DataFrame) -> DataFrame:

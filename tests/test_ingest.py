@@ -121,6 +121,8 @@ def test_compaction_keeps_rows(spark, lake, collect):
         send(spark, lake, n, app(n + 1))
     before = collect(lake.read(spark, "app_events"), "event_id")
     ingest.compact_table(spark, lake, "app_events", 202610, 2)
+    ingest.compact_ledger(spark, lake, 2)
+    assert lake.read_ledger(spark).select("batch_id").distinct().count() == 1 and lake.read_ledger(spark).count() == 3
     assert collect(lake.read(spark, "app_events"), "event_id") == before
     assert send(spark, lake, 3, app(1), app(9))["accepted"] == 1
 
