@@ -120,9 +120,11 @@ def main() -> None:
     payloads = registry.contracts.gps_payloads(spark, SF_DIR)
     lines = scratch_path(spark, "lines")
     payloads.select(F.regexp_replace("payload", r"^\{", '{"_stream":"courier_positions",').alias("value")).repartition(int(CPUS)).write.text(lines)
-    start = time.perf_counter()
-    ingest.ingest_batch(spark.read.text(lines), 0, ingest.Lake(scratch_path(spark, "lake")), F.lit("2024-02-01").cast("timestamp"))
-    queries["ingest_batch"], rows["ingest_batch"] = round(time.perf_counter() - start, 4), payloads.count()
+    as_of = F.lit("2024-02-01").cast("timestamp")
+    queries["ingest_batch"] = timed(
+        lambda: ingest.ingest_batch(spark.read.text(lines), 0, ingest.Lake(scratch_path(spark, "lake")), as_of), repeats=1
+    )
+    rows["ingest_batch"] = payloads.count()
 
     for name in REPORTS:
         measure(name, lambda name=name: registry.QUERIES[name](spark, SF_DIR))
