@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, simhash, substrings
+from eventloom.llm import bpe, decontaminate, simhash, substrings
 
 from eventloom.llm.sql import OP2_SQL
 
@@ -49,6 +50,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op7_repeated_substrings")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeated(table(spark, sf_dir, "documents"))
