@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, decontaminate, simhash, substrings
+from eventloom.llm import bpe, decontaminate, minhash, simhash, substrings
 
 from eventloom.llm.sql import OP2_SQL
 
@@ -60,6 +60,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_minhash_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_comparison(table(spark, sf_dir, "documents"))
+
+
 @query("op7_repeated_substrings")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeated(table(spark, sf_dir, "documents"))
