@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, decontaminate, minhash, simhash, substrings
+from eventloom.llm import bpe, decontaminate, minhash, secrets, simhash, substrings
 
-from eventloom.llm.sql import OP2_SQL
+from eventloom.llm.sql import OP2_SQL, OP3_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+@query("op3_secret_ownership", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return found.select(
+        "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+        F.size("live").cast("long").alias("n_live"), F.size("copied").cast("long").alias("n_copied"),
+    )
+
+
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from eventloom.llm import secrets
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS row_id,
@@ -27,3 +31,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (row_id) LEFT JOIN items USING (row_id)
 """
+
+
+def _spans(name: str, pattern: str, group: int, kind: int, keep: str) -> str:
+    """One row per match: place from the lengths of the texts between the same matches."""
+    return rf"""
+{name}_all AS (
+  SELECT row_id, regexp_extract_all(text, $re${pattern}$re$) AS m, regexp_extract_all(text, $re${pattern}$re$, {group}) AS v,
+    regexp_split_to_array(text, $re${pattern}$re$) AS gaps
+  FROM d WHERE regexp_matches(text, $re${pattern}$re$)),
+{name} AS (
+  SELECT * FROM (
+    SELECT row_id, {kind} AS kind, v[i] AS value,
+      list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start,
+      list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS stop
+    FROM (SELECT row_id, m, v, gaps, unnest(generate_series(1, len(m))) AS i FROM {name}_all)) WHERE {keep}),"""
+
+
+_LIVE = """length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+      AND len(list_distinct(string_split(value, ''))) >= 8"""
+
+OP3_SQL = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(lang, '') AS lang FROM documents),"""
+    + _spans("assigns", secrets.ASSIGN, 2, 0, "length(value) >= 8") + _spans("keys", secrets.ACCESS, 0, 1, "length(value) >= 16")
+    + _spans("hexes", secrets.HEX, 0, 2, "true") + _spans("bares", secrets.BARE, 0, 3, _LIVE)
+    + rf"""
+base AS (SELECT * FROM assigns UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM hexes),
+free AS (
+  SELECT * FROM bares t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = t.row_id AND b.start < t.stop AND t.start < b.stop)),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM free),
+spread AS (
+  SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, lang)) AS repositories
+  FROM found JOIN d USING (row_id) GROUP BY value),
+judged AS (
+  SELECT found.*, owners, owners = 1 AND {_LIVE} AS live, kind < 3 AS is_base FROM found JOIN spread USING (value)),
+rows AS (
+  SELECT row_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (is_base) AS base,
+    string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)
+      FILTER (is_base OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= 3) AS n_copied
+  FROM judged GROUP BY row_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN rows USING (row_id)
+"""
+)
