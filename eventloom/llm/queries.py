@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, decontaminate, minhash, secrets, simhash, substrings
+from eventloom.llm import bpe, decontaminate, minhash, secrets, simhash, substrings, urlgraph
 
-from eventloom.llm.sql import OP2_SQL, OP3_SQL
+from eventloom.llm.sql import OP2_SQL, OP3_SQL, OP9_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: Fixed values of the query.
+URL_RULES = [
+    urlgraph.Rule("block", "net", "/"), urlgraph.Rule("allow", "example.net", "/en/"),
+    urlgraph.Rule("block", "example.com", "/de/"), urlgraph.Rule("allow", "org", "/fr/"),
+]
+
+
+@query("op9_url_trust", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlgraph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import secrets
+from eventloom.llm import secrets, urlgraph
 
 OP2_SQL = r"""
 WITH d AS (
@@ -78,3 +78,56 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN rows USING (row_id)
 """
 )
+
+
+def _rounds(n: int) -> str:
+    """Rounds of trust and distrust, each from the one before."""
+    return "".join(f"""
+s{i} AS MATERIALIZED (
+  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+    SELECT e.dst AS host, 0.85::DOUBLE * s.trust * e.n / e.total_out AS trust, 0::DOUBLE AS distrust FROM s{i - 1} s JOIN edges e ON e.src = s.host
+    UNION ALL
+    SELECT e.src, 0::DOUBLE, 0.85::DOUBLE * s.distrust * e.n / e.total_in FROM s{i - 1} s JOIN edges e ON e.dst = s.host
+    UNION ALL
+    SELECT host, (1 - 0.85::DOUBLE) * trust, (1 - 0.85::DOUBLE) * distrust FROM s0) GROUP BY host),""" for i in range(1, n + 1))
+
+
+OP9_SQL = (
+    r"""
+WITH p AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p),
+hosts AS (
+  SELECT host, count(*) AS n, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS allowed,
+    count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS blocked
+  FROM r WHERE host <> '' GROUP BY host),
+steps AS (SELECT host AS src, substr(host, strpos(host, '.') + 1) AS dst, n FROM hosts WHERE len(string_split(host, '.')) > 2),
+hrefs AS (
+  SELECT host AS src, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, 1 AS n
+  FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, $re$"""
+    + urlgraph.LINK + r"""$re$, 1))) AS h FROM r)),
+links AS (
+  SELECT src, dst, sum(n) AS n FROM (SELECT * FROM steps UNION ALL SELECT dst, src, n FROM steps UNION ALL SELECT * FROM hrefs)
+  WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+edges AS MATERIALIZED (
+  SELECT src, dst, n, sum(n) OVER (PARTITION BY src) AS total_out, sum(n) OVER (PARTITION BY dst) AS total_in FROM links),
+s0 AS MATERIALIZED (
+  SELECT host, allowed / greatest((SELECT sum(allowed) FROM hosts), 1)::DOUBLE AS trust,
+    blocked / greatest((SELECT sum(blocked) FROM hosts), 1)::DOUBLE AS distrust
+  FROM hosts WHERE allowed + blocked > 0),"""
+    + _rounds(urlgraph.ROUNDS)
+    + f"""
+v AS (SELECT host, trust + distrust > 0 AND round(distrust / (trust + distrust), 9) > 0.5 AS bad FROM s{urlgraph.ROUNDS})
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN v USING (host)
+"""
+)
