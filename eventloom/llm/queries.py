@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, decontaminate, minhash, secrets, simhash, substrings, urlgraph
+from eventloom.llm import bpe, decontaminate, minhash, secrets, simhash, substrings, urlgraph, warc
 
-from eventloom.llm.sql import OP2_SQL, OP3_SQL, OP9_SQL
+from eventloom.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP9_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,15 @@ def hex64(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+@query("op1_warc_revisits", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve_revisits(warc.crawl_records(table(spark, sf_dir, "pages")))
+    written = F.array_join(
+        F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n",
+    )
+    return resolved.select("record_id", "canonical_url", "outcome", "resolved_id", "digest", written.alias("headers"))
+
+
 @query("op2_benchmark_windows", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -131,3 +131,42 @@ SELECT page_id, host, path, rule, CASE
 FROM r LEFT JOIN v USING (host)
 """
 )
+
+OP1_SQL = r"""
+WITH u AS (
+  SELECT *, regexp_replace(regexp_replace(url, '^[^:/?#]*://', ''), '#[\s\S]*$', '') AS rest, contains(url, '://') AS whole FROM pages),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(
+      translate(regexp_extract(rest, '^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^.*@', ''),
+      ':(80|443)?$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?]*\?([\s\S]*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)')), '&') AS kept
+  FROM u),
+c AS (
+  SELECT page_id, CASE WHEN whole THEN host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END ELSE url END AS canonical_url,
+    '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || CAST(floor(page_id / 7) AS BIGINT) AS day, page_id % 6 AS form,
+    md5(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS size
+  FROM parts),
+asks AS (
+  SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id * 1000 + CASE WHEN form = 5 THEN -500 ELSE 500 END AS time, page_id,
+    CASE WHEN form = 1 THEN 'W/' || tag WHEN form IN (2, 4) THEN NULL WHEN form = 3 THEN '"changed"' ELSE tag END AS etag,
+    CASE WHEN form = 2 THEN day END AS modified
+  FROM c),
+m AS (
+  SELECT a.*, b.page_id AS found, b.tag AS stored_tag, b.day AS stored_day, b.digest AS stored_digest, b.size AS stored_size
+  FROM asks a ASOF LEFT JOIN (SELECT *, page_id * 1000 AS time FROM c) b ON a.canonical_url = b.canonical_url AND a.time > b.time),
+j AS (
+  SELECT *, CASE WHEN found IS NULL THEN 'no_response'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = stored_tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN modified IS NOT NULL THEN CASE WHEN modified = stored_day THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'no_validator' END AS outcome
+  FROM m)
+SELECT record_id, canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN found * 2 END AS resolved_id,
+  CASE WHEN outcome = 'resolved' THEN stored_digest END AS digest,
+  CASE WHEN outcome = 'resolved' THEN
+    concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || stored_size, 'content-type: text/html', 'date: again ' || page_id,
+      'etag: ' || coalesce(etag, stored_tag), 'expires: never', 'last-modified: ' || coalesce(modified, stored_day))
+  ELSE concat_ws(chr(10), 'content-length: 0', 'date: again ' || page_id, 'etag: ' || etag, 'expires: never', 'last-modified: ' || modified) END AS headers
+FROM j
+"""
