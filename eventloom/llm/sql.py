@@ -170,3 +170,28 @@ SELECT record_id, canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN fo
   ELSE concat_ws(chr(10), 'content-length: 0', 'date: again ' || page_id, 'etag: ' || etag, 'expires: never', 'last-modified: ' || modified) END AS headers
 FROM j
 """
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT * FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM d) WHERE trim(line) <> ''),
+firsts AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, place) AS rank FROM (
+    SELECT line, min(doc_id) AS doc_id, arg_min(place, (doc_id, place)) AS place FROM lines GROUP BY line)),
+variants AS (
+  SELECT rank, hash(line) AS v FROM firsts WHERE length(line) >= 20
+  UNION
+  SELECT rank, hash(substr(line, 1, i - 1) || substr(line, i + 1))
+  FROM (SELECT rank, line, unnest(generate_series(1, length(line))) AS i FROM firsts WHERE length(line) >= 20)),
+pairs AS (SELECT DISTINCT x.rank AS x, y.rank AS y FROM variants x JOIN variants y ON x.v = y.v AND x.rank < y.rank),
+late AS (
+  SELECT DISTINCT y.rank FROM pairs JOIN firsts a ON a.rank = pairs.x JOIN firsts y ON y.rank = pairs.y WHERE levenshtein(a.line, y.line) <= 1),
+kept AS (SELECT doc_id, place, line FROM firsts WHERE rank NOT IN (SELECT rank FROM late)),
+blanks AS (SELECT * FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM d) WHERE trim(line) = ''),
+texts AS (
+  SELECT doc_id, count(*) FILTER (trim(line) <> '') AS n_kept, string_agg(line, chr(10) ORDER BY place) AS text
+  FROM (SELECT doc_id, place, line FROM kept UNION ALL SELECT doc_id, place, line FROM blanks) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
+  sha256(CASE WHEN coalesce(n_kept, 0) = 0 AND coalesce(n_lines, 0) > 0 THEN '' ELSE text END) AS text_sha256
+FROM d LEFT JOIN texts USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
