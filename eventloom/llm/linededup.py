@@ -118,7 +118,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return close.select(F.col("y_a").alias("line_a"), F.col("y_b").alias("line_b")).distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, carried: str | None = None) -> DataFrame:
     """(doc_id, text_key, text, n_lines, n_kept) for every row of ``docs`` (columns ``doc_id``, ``text``): the lines to keep.
 
     Lines are what stands between line feeds. A line goes if an equal line stands earlier, by ascending
@@ -129,10 +129,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines that are not blank.
 
     NULL texts stay NULL, with no lines. Rows with the same id and text are the same document: they come out
-    alike, as often as they went in. Lines of any length are compared whole. Other columns are not read; an
-    empty table gives no rows.
+    alike, as often as they went in. Lines of any length are compared whole. Other columns are not read, but
+    the column named ``carried`` comes out too; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    extra = [carried] if carried else []
+    whole, docs = docs.select("doc_id", "text", *extra), docs.select("doc_id", "text")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
     lines = _lines(docs).select(*_hash("line"), order.alias("at"), _half_keys("line").alias("keys"))
     firsts = stage_once(lines.groupBy("line_a", "line_b").agg(F.min("at").alias("first"), F.first("keys").alias("keys")), "first-lines")
@@ -140,7 +141,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = firsts.select("line_a", "line_b", "first").join(late, ["line_a", "line_b"], "left_anti")
     kept = kept.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).agg(F.collect_list("first.place").alias("kept"))
     kept = stage_once(kept, "kept-lines")
-    rows = docs.withColumn("text_key", text_key("text"))
+    rows = whole.withColumn("text_key", text_key("text"))
     joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["text_key"] == kept["_key"]), "left")
     parts = F.split("text", "\n", -1)
     blanks = F.filter(F.transform(F.col("parts"), lambda line, i: F.when(blank(line), i)), lambda i: i.isNotNull())
@@ -155,4 +156,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return joined.select(
         "doc_id", "text_key", F.when(is_text, text).alias("text"), F.when(is_text, n_lines).otherwise(0).cast("long").alias("n_lines"),
         F.when(is_text, n_kept).otherwise(0).cast("long").alias("n_kept"),
+        *extra,
     )
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns and rows, each text without the lines that ``dedup_lines`` removes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_others"))
+    out = dedup_lines(whole, carried="_others")
+    return out.select(*[f"`{c}`" if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in docs.columns])

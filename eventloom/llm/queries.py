@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, decontaminate, linededup, minhash, secrets, simhash, substrings, urlgraph, warc
+from eventloom.llm import bpe, decontaminate, linededup, minhash, secrets, simhash, substrings, toxicity, urlgraph, warc
 
 from eventloom.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP4_SQL, OP9_SQL
 
@@ -97,6 +97,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op8_toxicity_chain")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), "toxic")
+
+
 #: Fixed values of the query.
 URL_RULES = [
     urlgraph.Rule("block", "net", "/"), urlgraph.Rule("allow", "example.net", "/en/"),
