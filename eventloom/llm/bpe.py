@@ -213,7 +213,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, column: str = "text")
     with open(rank_file, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     others = [c for c in docs.columns if c not in (column, "ids")]
-    picked = docs.select(*[F.col(f"`{c}`") for c in others], F.col(column).alias("_text"))
+    text = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so it clashes with none
+    picked = docs.select(*[F.col(f"`{c}`") for c in others], F.col(column).alias(text))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "ids ARRAY<INT>"])
     return picked.mapInArrow(_encoder(raw, pattern), fields)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.simhash import text_key
+from eventloom.llm.simhash import text_key, whole_rows
 from eventloom.llm.words import BASE, MASK, alnum_table, blocks, mix, split_words, window_hashes, word_hashes
 from eventloom.session import stage_once
 
@@ -203,5 +203,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(),
         "contaminated",
     )
-    keyed = docs.withColumn("_row_key", text_key("text"))
-    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_row_key"] == hit["_key"]), "left_anti").drop("_row_key")
+    keyed = whole_rows(docs)
+    clean = keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_row_key"] == hit["_key"]), "left_anti")
+    return clean.select("_whole.*")

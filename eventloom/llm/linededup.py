@@ -46,37 +46,37 @@ def _half_keys(line: str) -> Column:
     return F.when(size >= MIN_CHARS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _variants(line: str) -> Column:
-    """Hashed keys of a line itself and of the line without any one character, by the block of the deletion.
-
-    A key is made of the block's number, the hash of what is before it, the block's text without the
-    character, and the hash of what follows; the undeleted line offers, per block, the cut that a line with one
-    more character there has after its deletion.
-    """
+def _blocks(line: str) -> Column:
+    """Blocks of a line: number, hash of what is before it, its text, hash of what follows, and ``whole``, the key of
+    the line as it is, cut as a line with one more character in this block is cut after its deletion."""
     column = F.col(line)
-    number = F.sequence(F.lit(0), F.floor(F.length(line) / BLOCK).cast("int"))
 
-    def keys(b: Column) -> Column:
+    def block(b: Column) -> Column:
         start = b * BLOCK
         before = F.xxhash64(F.substring(column, F.lit(1), start))
-        block = F.substring(column, start + 1, F.lit(BLOCK))
-        after = F.xxhash64(F.substring(column, start + BLOCK + 1, F.length(column)))
-        whole = F.xxhash64(
-            b, before, F.substring(column, start + 1, F.lit(BLOCK - 1)), F.xxhash64(F.substring(column, start + BLOCK, F.length(column))),
+        rest = F.xxhash64(F.substring(column, start + BLOCK, F.length(column)))
+        return F.struct(
+            b.alias("b"), before.alias("before"), F.substring(column, start + 1, F.lit(BLOCK)).alias("block"),
+            F.xxhash64(F.substring(column, start + BLOCK + 1, F.length(column))).alias("after"),
+            F.xxhash64(b, before, F.substring(column, start + 1, F.lit(BLOCK - 1)), rest).alias("whole"),
         )
-        parts = F.struct(b.alias("b"), before.alias("before"), block.alias("block"), after.alias("after"), whole.alias("whole"))
-        places = F.when(F.length(block) > 0, F.sequence(F.lit(1), F.length(block))).otherwise(F.array().cast("array<int>"))
-        deleted = F.transform(
-            F.transform(places, lambda i: F.struct(i.alias("i"), parts.alias("p"))),
-            lambda s: F.xxhash64(
-                s["p"]["b"], s["p"]["before"],
-                F.concat(F.substring(s["p"]["block"], F.lit(1), s["i"] - 1), F.substring(s["p"]["block"], s["i"] + 1, F.lit(BLOCK))),
-                s["p"]["after"],
-            ),
-        )
-        return F.concat(F.array(whole), deleted)
 
-    return F.flatten(F.transform(number, keys))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(line) / BLOCK).cast("int")), block)
+
+
+def _variants(p: str) -> Column:
+    """Hashed keys of a line itself and of the line without any one character of the block ``p``.
+
+    A key is made of the block's number, the hash of what is before it, the block's text without the character,
+    and the hash of what follows.
+    """
+    block = F.col(f"{p}.block")
+    places = F.when(F.length(block) > 0, F.sequence(F.lit(1), F.length(block))).otherwise(F.array().cast("array<int>"))
+    deleted = F.transform(places, lambda i: F.xxhash64(
+        F.col(f"{p}.b"), F.col(f"{p}.before"), F.concat(F.substring(block, F.lit(1), i - 1), F.substring(block, i + 1, F.lit(BLOCK))),
+        F.col(f"{p}.after"),
+    ))
+    return F.array_distinct(F.concat(F.array(F.col(f"{p}.whole")), deleted))
 
 
 def _slot(key: str) -> Column:
@@ -105,7 +105,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = _among(_lines(docs).filter(F.length("line") >= MIN_CHARS).select(F.xxhash64("line").alias("line_a"), "line"), "line_a", wanted)
     texts = texts.groupBy("line_a", F.xxhash64(F.lit("second"), "line").alias("line_b")).agg(F.first("line").alias("line"))
     texts = stage_once(texts.join(firsts.select("line_a", "line_b", "first"), ["line_a", "line_b"]), "near-texts")
-    keyed = texts.select("line_a", "line_b", "first", F.explode(F.array_distinct(_variants("line"))).alias("variant"))
+    cut = texts.select("line_a", "line_b", "first", F.explode(_blocks("line")).alias("p"))
+    keyed = cut.select("line_a", "line_b", "first", F.explode(_variants("p")).alias("variant"))
     left = keyed.select("variant", F.struct("first", "line_a", "line_b").alias("x"))
     right = keyed.select("variant", F.struct("first", "line_a", "line_b").alias("y"))
     met = stage_once(left.join(right, "variant").filter(F.col("x.first") < F.col("y.first")).select("x", "y").distinct(), "near-pairs")

@@ -68,6 +68,11 @@ def text_key(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.col(column).isNull())
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, _row_key, _whole): all columns of a row as one struct, so that no name of theirs can clash."""
+    return docs.select("doc_id", text_key("text").alias("_row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+
+
 def _balls(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
@@ -155,7 +160,7 @@ def keep_one_per_group(docs: DataFrame, **params) -> DataFrame:
     rows = simhash_groups(docs, **params)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     winners = rows.groupBy("group").agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_key").alias("_key"))
-    keyed = docs.withColumn("_row_key", text_key("text"))
+    keyed = whole_rows(docs)
     winners = stage_once(winners, "winners")
     kept = keyed.join(winners, keyed["doc_id"].eqNullSafe(winners["_id"]) & (keyed["_row_key"] == winners["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")
+    return kept.dropDuplicates(["doc_id", "_row_key"]).select("_whole.*")
