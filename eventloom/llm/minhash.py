@@ -90,7 +90,8 @@ def _chunks(docs: DataFrame, chunks: int) -> DataFrame:
     cuts = sorted({float(c) for c in docs.approxQuantile("doc_id", shares, 0.25 / chunks)}) if shares else []
     splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
     doubles = docs.withColumn("_at", F.col("doc_id").cast("double"))
-    return Bucketizer(splits=splits, inputCol="_at", outputCol="chunk", handleInvalid="keep").transform(doubles).drop("_at")
+    placed = Bucketizer(splits=splits, inputCol="_at", outputCol="chunk", handleInvalid="keep").transform(doubles).drop("_at")
+    return placed.withColumn("chunk", F.coalesce("chunk", F.lit(float(len(splits)))))
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
