@@ -169,3 +169,85 @@ def edited_comparison(docs: DataFrame, shingle: int = SHINGLE, permutations: int
         "near_edited DOUBLE, near_next DOUBLE"
     )
     return _in_order(docs).mapInArrow(_pairwise(shingle, permutations), schema)
+
+
+# --- near copies ----------------------------------------------------------------------------------------------------
+
+
+def _band_keys(shingle: int, permutations: int):
+    """(doc_id, text_key, bands) rows; a text without words has the single band 0."""
+
+    def scan(batches):
+        for batch in batches:
+            for low, high in blocks(batch.column(2), 4 << 20):
+                piece = batch.slice(low, high - low)
+                prints = signatures(piece.column(2), shingle, permutations)[:, :BANDS * ROWS].astype(np.uint64)
+                keys = np.zeros((len(prints), BANDS), np.uint64)
+                for j in range(ROWS):
+                    keys = mix(keys * np.uint64(31) + prints[:, j::ROWS] + np.uint64(1))
+                keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
+                flat = pa.array(keys.ravel().view(np.int64))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * BANDS), flat)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), bands], names=["doc_id", "text_key", "bands"])
+
+    return scan
+
+
+def _shingle_sets(shingle: int):
+    """(text_key, shingles) rows: the distinct shingle values of each text."""
+
+    def scan(batches):
+        for batch in batches:
+            for low, high in blocks(batch.column(1), 4 << 20):
+                piece = batch.slice(low, high - low)
+                values, first = shingle_values(piece.column(1), shingle)
+                sets = [np.unique(values[a:b]).astype(np.int64) for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+
+    return scan
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the similarity."""
+    pairs = stage_once(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+    texts = docs.select(text_key("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = stage_once(texts.mapInArrow(_shingle_sets(shingle), "text_key BIGINT, shingles ARRAY<BIGINT>"), "shingles")
+    left = sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("of_b"))
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    both = F.size("of_a") + F.size("of_b") - shared
+    alike = F.when(both > 0, shared / both).otherwise(1.0)
+    return stage_once(pairs.join(left, "a").join(right, "b").filter(alike >= similarity).select("a", "b"), "verified")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: the least id among texts linked to the row's, itself included.
+
+    Texts whose sets of word shingles have at least the Jaccard similarity are linked. Candidates share a band
+    of the signature; their Jaccard similarity is computed from the sets. First every text meets the least of
+    each of its bands; what these verified stars connect need not be compared again, so a large group of near
+    copies doesn't yield all its pairs. Then texts of one band that are not yet connected are compared.
+
+    Equal texts count once. NULL texts and texts without words are alike. NULL ids stay, and are never the
+    least unless alone; repeated rows repeat. Other columns are not read; an empty table gives no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    rows = rows.mapInArrow(_band_keys(shingle, permutations), "doc_id BIGINT, text_key BIGINT, bands ARRAY<BIGINT>")
+    rows = stage_once(rows, "bands")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    members = rows.select("text_key", F.explode("bands").alias("band")).distinct()
+    least = stage_once(members.groupBy("band").agg(F.min("text_key").alias("b"), F.max("text_key").alias("top")).filter("b <> top"), "heads")
+    met = stage_once(members.join(least.select("band", "b"), "band").select("band", F.col("text_key").alias("a"), "b"), "met")
+    stars = _verified(met.filter("a <> b").select("a", "b"), texts, similarity, shingle)
+    star = components(stars).select(F.col("node").alias("a"), F.col("label").alias("star"))
+    named = stage_once(met.join(star, "a", "left").select("band", "a", F.coalesce("star", "a").alias("star")), "named")
+    other = named.select("band", F.col("a").alias("b"), F.col("star").alias("star_b"))
+    rest = named.join(other, "band").filter("a < b AND star <> star_b").select("a", "b")
+    links = stars.unionByName(_verified(rest, texts, similarity, shingle))
+    labels = components(links).select(F.col("node").alias("text_key"), "label")
+    of_text = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+    of_text = stage_once(of_text.join(labels, "text_key", "left").select("text_key", "first_id", F.coalesce("label", "text_key").alias("label")), "texts")
+    firsts = stage_once(of_text.groupBy("label").agg(F.min("first_id").alias("component_id")), "firsts")
+    named = stage_once(of_text.join(firsts, "label").select("text_key", "component_id"), "classes")
+    return rows.join(named, "text_key").select("doc_id", "component_id")

@@ -91,6 +91,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_comparison(table(spark, sf_dir, "documents"))
 
 
+@query("minhash_near_copies")
+def minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 @query("op7_repeated_substrings")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeated(table(spark, sf_dir, "documents"))

@@ -63,9 +63,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fields.mapInArrow(scan, schema)
 
 
-def text_key(column: str) -> Column:
+def text_key(column: str | Column) -> Column:
     """Short stand-in for a text when rows are matched by id; the id decides, the key tells texts of one id apart."""
-    return F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.col(column).isNull())
+    text = F.col(column) if isinstance(column, str) else column
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
 def whole_rows(docs: DataFrame) -> DataFrame:

@@ -58,3 +58,27 @@ def test_signature_estimates_jaccard():
         s = minhash.signatures(pa.array([a, b]))
         want = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
         assert abs(float(minhash.likeness(s[:1], s[1:])[0]) - want) < 0.15
+
+
+def test_near_copies_equal_brute_force(frame, spark):
+    rng = random.Random(15)
+    docs = []
+    for i in range(12):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(3, 90))]
+        docs.append((len(docs) * 2 + 1, " ".join(base)))
+        for _ in range(rng.randint(0, 5)):
+            for _ in range(rng.randint(0, 2)):
+                base[rng.randrange(len(base))] = f"x{rng.randint(0, 99)}"
+            docs.append((len(docs) * 2 + 1, " ".join(base)))
+    docs += [(500, docs[0][1]), (500, docs[0][1]), (None, docs[1][1]), (601, None), (600, ""), (602, " \n"), (603, "one two"), (604, "One  two")]
+    sets = [shingles(t) for _, t in docs]
+    label = list(range(len(docs)))
+    for _ in docs:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or (a | b and len(a & b) / len(a | b) >= 0.8):
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {g: min((d for (d, _), k in zip(docs, label) if k == g and d is not None), default=None) for g in set(label)}
+    got = minhash.near_copies(frame(docs, "doc_id BIGINT, text STRING"))
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got.collect()))) == sorted(str((d, least[g])) for (d, _), g in zip(docs, label))
+    assert minhash.near_copies(spark.createDataFrame([], "doc_id BIGINT, text STRING, bands INT")).count() == 0
