@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom import schemas
-from eventloom.paths import path_exists
 from eventloom.session import scratch_path, stage_once
 
 
@@ -69,20 +68,21 @@ def latest_state(
 
 def latest_from_long_history(
     df: DataFrame, keys: Sequence[str], payload: Sequence[str], weight: Sequence[str] = tuple(schemas.LATEST_WEIGHT),
-    broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """``latest_state`` for entities that are few against their rows.
 
     The newest time per entity is found first, a hash aggregation over narrow
-    columns, and stored. When it turns out small enough to broadcast, only the rows
-    at that time are compared in full, without sorting or shuffling the history.
-    With more entities than ``broadcast_rows`` the single pass answers.
+    columns, and stored, so its size is known when the join is planned: a small
+    table is broadcast, a large one is not. Only the rows at that time are compared
+    in full. NULL keys are an entity like any other.
     """
-    newest_time = stage_once(df.groupBy(*keys).agg(F.max(weight[0]).alias("_newest")), "newest")
-    if newest_time.count() > broadcast_rows:
-        return latest_state(df, keys, payload, weight)
-    at_newest = F.col(weight[0]).eqNullSafe(F.col("_newest"))
-    return latest_state(df.join(F.broadcast(newest_time), list(keys)).filter(at_newest), keys, payload, weight)
+    stored = [f"_key{i}" for i, _ in enumerate(keys)]
+    newest_time = df.groupBy(*[F.col(k).alias(s) for k, s in zip(keys, stored)]).agg(F.max(weight[0]).alias("_newest"))
+    newest_time = stage_once(newest_time, "newest")
+    same = F.col(weight[0]).eqNullSafe(F.col("_newest"))
+    for k, s in zip(keys, stored):
+        same = same & F.col(k).eqNullSafe(F.col(s))
+    return latest_state(df.join(newest_time, same, "left_semi"), keys, payload, weight)
 
 
 def latest_of(stream: str, df: DataFrame) -> DataFrame:
@@ -117,17 +117,20 @@ def rewrite_partitions(
             *[F.when(hit, assign[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in assign else F.col(c)
               for c in part.columns]
         ).withColumn("_keep", F.lit(True))
+    # Folder names are the engine's: it escapes values and names the NULL folder, so they are taken from the files.
+    folders = spark.read.schema(df.schema).parquet(path).filter(touched).select(
+        F.col(partition).alias("_value"), F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("_folder"),
+    ).distinct()
     staging = scratch_path(spark, "rewrite")
     changed.write.partitionBy(partition).parquet(staging)
-    schema = changed.schema
-    staged = spark.read.schema(schema).parquet(staging)
+    staged = spark.read.schema(changed.schema).parquet(staging)
     emptied = staged.groupBy(partition).agg(F.bool_or("_keep").alias("_any")).filter(~F.col("_any"))
     kept = staged.filter("_keep").drop("_keep")
-    # A fully deleted partition has no row to replace it with, so it is emptied by name.
-    gone = [r[0] for r in emptied.select(partition).collect()]  # at most one value per partition folder
+    # A fully deleted partition has no row to replace it with, so its folder is emptied.
+    gone = emptied.join(folders, F.col(partition).eqNullSafe(F.col("_value"))).select(
+        F.url_decode(F.replace("_folder", F.lit("+"), F.lit("%2B"))).alias("folder"),
+    ).collect()  # one per emptied partition folder
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    for value in gone:
-        target = f"{path}/{partition}={value}"
-        if path_exists(spark, target):
-            spark.createDataFrame([], kept.drop(partition).schema).write.mode("overwrite").parquet(target)
+    for row in gone:
+        spark.createDataFrame([], kept.drop(partition).schema).write.mode("overwrite").parquet(row.folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom import schemas
 from eventloom.operators.versioning import newest_of, rewrite_partitions
 from eventloom.registry import query
 from eventloom.registry.views import (
@@ -13,6 +14,7 @@ from eventloom.registry.views import (
 from eventloom.session import scratch_path
 from eventloom.sources import catalog as demo_catalog
 from eventloom.sources import export, readers, tables
+from eventloom.sources import positions as gps
 
 # Nested and delimited inputs --------------------------------------------------------------------
 
@@ -301,3 +303,82 @@ def runs_report(spark, sf_dir):
     export.export_run(spark, streams, "run-0", f"{root}/first")
     report = export.runs_report(export.read_manifests(spark, root))
     return plain(report.select("run_id", "start", "customer_activity", "courier_positions", "total_rows"))
+
+
+@query("gps_import", with_sql("positions") + """SELECT courier_id, count(*) AS positions, CAST(round(sum(latitude), 3) AS DOUBLE) AS latitudes, CAST(round(sum(longitude), 3) AS DOUBLE) AS longitudes
+    FROM positions GROUP BY courier_id""")
+def gps_import(spark, sf_dir):
+    """Positions written as CSV files with two header orders, read by each file's own header."""
+    p = positions(spark, sf_dir)
+    path = scratch_path(spark, "gps")
+    as_text = p.select(*[F.col(c).cast("string").alias(c) for c in gps.COLUMNS])
+    even = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    as_text.filter(even).write.csv(path, header=True)
+    as_text.filter(~even).select(*reversed(gps.COLUMNS)).write.mode("append").csv(path, header=True, compression="gzip")
+    read = gps.read_positions(spark, path)
+    return plain(read.groupBy("courier_id").agg(
+        F.count(F.lit(1)).alias("positions"), F.round(F.sum("latitude"), 3).alias("latitudes"), F.round(F.sum("longitude"), 3).alias("longitudes"),
+    ))
+
+
+@query("delete_text_partition", """SELECT CASE WHEN event_type <> 'error' THEN event_type || ':a/b c' END AS kind, count(*) AS events
+    FROM events WHERE event_type NOT IN ('click', 'error') GROUP BY 1""")
+def delete_text_partition(spark, sf_dir):
+    """Whole partitions go whose folder names the engine escapes, and the NULL partition too."""
+    path = scratch_path(spark, "kinds")
+    kind = F.when(F.col("event_type") != "error", F.concat("event_type", F.lit(":a/b c")))
+    table(spark, sf_dir, "events").select("event_id", kind.alias("kind")).write.partitionBy("kind").parquet(path)
+    stored = spark.read.schema("event_id BIGINT, kind STRING").parquet(path)
+    gone = F.col("kind").isNull() | F.col("kind").startswith("click")
+    left = rewrite_partitions(stored, path, "kind", gone, gone)
+    return plain(left.groupBy("kind").agg(F.count(F.lit(1)).alias("events")))
+
+
+@query("catalog_rows", """SELECT p_partkey - 1 AS source_row, p_name || chr(10) || '"x", y' AS product_name, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS has_description,
+    CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS aux_store FROM part""")
+def catalog_rows(spark, sf_dir):
+    """Quoted catalog CSV with separators and line breaks inside its values."""
+    path = scratch_path(spark, "catalog")
+    c = F.col
+    known = {
+        "product_name": F.concat("p_name", F.lit('\n"x", y')), "product_description": F.when(c("p_partkey") % 3 != 0, F.lit("a, b\n\tc")),
+        "aux_store": F.when(c("p_partkey") % 2 == 0, "True").otherwise("False"), "HIER": F.lit("False"),
+    }
+    table(spark, sf_dir, "part").select(
+        (c("p_partkey") - 1).cast("string").alias("index"), *[known.get(n, F.lit("k")).alias(n) for n in readers.CATALOG_COLUMNS],
+    ).write.csv(path, header=True, quote='"', escape='"')
+    out = readers.read_catalog(spark, path)
+    return plain(out.select("source_row", "product_name", "has_description", "aux_store"))
+
+
+@query("uplift_gzip", "SELECT o_orderkey % 2 AS treatment, count(*) AS users, CAST(sum(o_custkey % 2) AS BIGINT) AS visits FROM orders GROUP BY 1")
+def uplift_gzip(spark, sf_dir):
+    """Gzip advertising CSV with an exact header, typed by its table."""
+    path = scratch_path(spark, "uplift")
+    names = [part.split()[0] for part in schemas.TABLES["criteo_uplift"].split(", ")]
+    known = {"treatment": F.col("o_orderkey") % 2, "visit": F.col("o_custkey") % 2}
+    table(spark, sf_dir, "orders").select(*[known.get(n, F.lit(0)).alias(n) for n in names]).write.csv(path, header=True, compression="gzip")
+    read = readers.read_uplift(spark, path)
+    return plain(read.groupBy("treatment").agg(F.count(F.lit(1)).alias("users"), F.sum("visit").cast("bigint").alias("visits")))
+
+
+@query("drop_scenario", "SELECT s AS scenario, count(*) AS rows FROM events, (SELECT unnest([0, 1, 2, 4]) AS s) GROUP BY s")
+def drop_scenario(spark, sf_dir):
+    """Five scenario copies are written and one is removed."""
+    path = scratch_path(spark, "copies")
+    tables.write_copies(archive(spark, sf_dir), path, 5)
+    left = tables.drop_scenario(tables.read_table(spark, "otto_scale_benchmark", path), path, 3)
+    return plain(left.groupBy("scenario").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@query("not_loaded", "SELECT 'present' AS name, count(*) AS rows FROM region UNION ALL SELECT 'absent', 0")
+def not_loaded(spark, sf_dir):
+    """A table that was never loaded answers empty, with its columns."""
+    path = scratch_path(spark, "loaded")
+    table(spark, sf_dir, "region").select(F.lit(1).alias("treatment")).write.parquet(path)
+    present, absent = (readers.load_or_empty(spark, "criteo_uplift", p) for p in (path, path + "-none"))
+    if absent.columns != present.columns:
+        raise AssertionError("an empty answer has the table's columns")
+    return plain(present.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("present").alias("name"), "rows").unionByName(
+        absent.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("absent").alias("name"), "rows")
+    ))

@@ -11,7 +11,7 @@ from eventloom.operators.rollups import (
     hll_rollup, id_rollup, read_hll_rollup, read_id_rollup, read_sum_rollup, rollup_check, sum_rollup,
 )
 from eventloom.operators.versioning import (
-    latest_of, latest_state, merge_states, newest, newest_of, partial_state, read_state, with_tombstones,
+    latest_from_long_history, latest_of, latest_state, merge_states, newest, newest_of, partial_state, read_state, with_tombstones,
 )
 from eventloom.plans import audits, measurement
 from eventloom.registry import query
@@ -84,6 +84,15 @@ def customer_latest(spark, sf_dir):
     return plain(out.select("customer_id", "session_id", "action", "event_time"))
 
 
+@query("latest_long_history", with_sql("ev") + f"""SELECT CASE WHEN user_id % 5 <> 0 THEN user_id END AS member, arg_max(event_type, row(moment, event_id)) AS event_type,
+    {ms('max(moment)')} AS last_seen FROM ev GROUP BY 1""")
+def latest_long_history(spark, sf_dir):
+    """Latest state straight from history; members without an id are one entity."""
+    e = ev(spark, sf_dir).withColumn("member", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+    out = latest_from_long_history(e, ["member"], ["event_type", "moment"], ["moment", "event_id"])
+    return plain(out.withColumnRenamed("moment", "last_seen"))
+
+
 @query("latest_history_vs_prepared", "SELECT 0::BIGINT AS different_rows, true AS same")
 def latest_history_vs_prepared(spark, sf_dir):
     """The prepared states give exactly the answer of the history."""

@@ -65,21 +65,30 @@ def stream_latest(spark, sf_dir):
     return plain(read_state(states, ["user_id"]).withColumnRenamed("moment", "last_seen"))
 
 
-@query("stream_tumbling", with_sql("ev") + f"""SELECT {ms("date_trunc('hour', moment)")} AS bucket, event_type, count(*) AS events, count(*) FILTER (WHERE k < 10) AS low FROM ev GROUP BY ALL""")
-def stream_tumbling(spark, sf_dir):
-    """Hourly windows over the stream; each micro-batch stores only the windows it changed."""
+_HOURLY = """, h AS (SELECT {at} AS moment, event_type, k FROM ev)
+    SELECT """ + ms("date_trunc('hour', moment)") + """ AS bucket, event_type, count(*) AS events, count(*) FILTER (WHERE k < 10) AS low FROM h GROUP BY ALL"""
+
+
+def _hourly(spark, source):
+    """Hourly windows of a drained stream: every micro-batch stores its part of each window it touches."""
     out = scratch_path(spark, "windows")
-    counts = windows.tumbling_counts(_source(spark, sf_dir), "moment", "1 hour", ["event_type"], "60 days", {"low": F.col("k") < 10})
+    windows.store_window_parts(source, out, scratch_path(spark, "ck"), "moment", "1 hour", ["event_type"], {"low": F.col("k") < 10}).awaitTermination()
+    return plain(windows.read_window_parts(read_batch_states(spark, out), ["event_type"], ["low"]))
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    counts.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, "ck")).foreachBatch(write).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    stored = spark.read.parquet(out)
-    newest = stored.groupBy("bucket", "event_type").agg(F.max_by(F.struct("events", "low"), "batch_id").alias("r"))
-    return plain(newest.select("bucket", "event_type", "r.*"))
+@query("stream_tumbling", with_sql("ev") + _HOURLY.format(at="moment"))
+def stream_tumbling(spark, sf_dir):
+    return _hourly(spark, _source(spark, sf_dir))
+
+
+_VERY_LATE = "CASE WHEN event_id % 5 = 0 THEN moment - INTERVAL 3653 DAY ELSE moment END"
+
+
+@query("stream_tumbling_late", with_sql("ev") + _HOURLY.format(at=_VERY_LATE))
+def stream_tumbling_late(spark, sf_dir):
+    """A fifth of the events arrives ten years late, among the others; none is lost."""
+    late = F.when(F.col("event_id") % 5 == 0, F.col("moment") - F.expr("INTERVAL 3653 DAYS")).otherwise(F.col("moment"))
+    return _hourly(spark, _source(spark, sf_dir).withColumn("moment", late))
 
 
 @query("window_tumbling", with_sql("ev") + f"""SELECT {ms("date_trunc('hour', moment)")} AS bucket, event_type, count(*) AS events FROM ev GROUP BY ALL""")

@@ -90,7 +90,10 @@ def file_digests(spark: SparkSession, folder: str, tables: list[str]) -> DataFra
 
 
 def read_export(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.csv(f"{folder}/{table}", header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST")
+    path = f"{folder}/{table}"
+    names = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').columns
+    schema = ", ".join(f"`{n}` STRING" for n in names)
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, multiLine=True, quote='"', escape='"', mode="FAILFAST")
 
 
 def _time_text(value: object) -> str | None:

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventloom import schemas
 from eventloom.functions.scalars import is_uuid, plausible_coordinate
+from eventloom.sources.headers import read_headed
 
 COLUMNS = [part.split()[0] for part in schemas.TABLES["courier_positions"].split(", ")]
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or CSV.gz with exactly the position columns, in any order."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST")
-    if sorted(raw.columns) != sorted(COLUMNS):
-        raise ValueError("The file must have exactly the position columns.")
+    """CSV or CSV.gz with exactly the position columns, in any order, which may differ from file to file."""
+    raw = read_headed(spark, path, COLUMNS, exact=True, multiLine=True, quote='"', escape='"')
     fields = schemas.schema("courier_positions")
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
 

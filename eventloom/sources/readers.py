@@ -11,6 +11,7 @@ from eventloom.functions.scalars import compact_date, digits_or_zero, number_or_
 from eventloom.operators.contracts import Rule
 from eventloom.operators.sequences import continuity
 from eventloom.paths import table_exists
+from eventloom.sources.headers import read_headed
 from eventloom.sources.rowindex import with_row_index
 
 # --- fixed values: published file layouts -----------------------------------------------
@@ -71,12 +72,8 @@ def flatten_sessions(sessions: DataFrame, known_types: list[str] = SESSION_TYPES
 
 
 def read_tsv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """Header TSV as text columns; a byte-order mark does not hide the first name."""
-    raw = spark.read.csv(path, sep="\t", header=True)
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    missing = set(required) - set(raw.columns)
-    if missing:
-        raise ValueError(f"Missing columns: {sorted(missing)}")
+    """Header TSV as text columns, each file by its own header."""
+    raw = read_headed(spark, path, required, sep="\t")
     return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in required])
 
 
@@ -252,12 +249,7 @@ def project_samples(raw: DataFrame, source_id: str, source_file: str, day: int)
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Quoted catalog CSV; descriptions may hold separators and line breaks."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    names = [c.lstrip("﻿") for c in raw.columns]
-    raw = raw.toDF("source_row", *names[1:])
-    missing = set(CATALOG_COLUMNS) - set(raw.columns)
-    if missing:
-        raise ValueError(f"Unexpected columns, missing {sorted(missing)}")
+    raw = read_headed(spark, path, CATALOG_COLUMNS, first="source_row", multiLine=True, quote='"', escape='"')
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     truth: Column = lambda c: F.coalesce(F.col(c) == "True", F.lit(False)).cast("smallint")
     return raw.select(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.functions.scalars import within_last
+from eventloom.operators.rollups import write_batch_state
 
 
 def tumbling_counts(
@@ -20,6 +22,26 @@ def tumbling_counts(
     return out.select(F.col("w.start").alias("bucket"), *by, "events", *(counts or {}))
 
 
+def store_window_parts(
+    source: DataFrame, path: str, checkpoint: str, at: str, width: str, by: Sequence[str], counts: Mapping[str, Column] | None = None,
+) -> StreamingQuery:
+    """Drain a stream into additive window counts, one folder per micro-batch.
+
+    Nothing is kept between batches and no watermark is needed, so rows of any age
+    count, and a replayed batch replaces its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch_state(tumbling_counts(batch, at, width, by, counts=counts), path, batch_id)
+
+    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def read_window_parts(parts: DataFrame, by: Sequence[str], counts: Sequence[str] = ()) -> DataFrame:
+    """Windows of all batches together."""
+    return parts.groupBy("bucket", *by).agg(*[F.sum(c).alias(c) for c in ("events", *counts)])
+
+
 def sliding_counts(
     df: DataFrame, at: str, width: str, step: str, watermark: str | None = None, counts: Mapping[str, Column] | None = None
 ) -> DataFrame:
