@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom import schemas
 from eventloom.functions.scalars import is_uuid
+from eventloom.session import pin
 
 Rule = tuple[str, Column]
 
@@ -71,7 +72,7 @@ class RawEvent:
 
     def __init__(self, df: DataFrame, payload: str, texts: Sequence[str], wholes: Sequence[str] = (),
                  numbers: Sequence[str] = (), moments: Sequence[str] = ()):
-        self.payload = payload
+        self.kept = [payload, *(["request"] if "request" in df.columns else [])]
         c = F.col
         targets = {**dict.fromkeys([*texts, *moments], "STRING"), **dict.fromkeys(wholes, "BIGINT"), **dict.fromkeys(numbers, "DOUBLE")}
         ddl = "STRUCT<" + ", ".join(f"{n}: {t}" for n, t in targets.items()) + ">"
@@ -123,7 +124,7 @@ class RawEvent:
         row = F.struct(F.col("reasons"), *[v.alias(n) for n, v in fields.items()])
         # One row in, one row out. Filters on the result are not copied below this
         # step, where each copy would parse the text again.
-        return check(self.df, rules).select(self.payload, F.inline(F.array(row)))
+        return check(self.df, rules).select(*self.kept, F.inline(F.array(row)))
 
 
 def _bad_text(value: Column) -> Column:
@@ -267,6 +268,66 @@ def classify_batch(batch: DataFrame, ledger: DataFrame, key: str = "event_id", d
     return joined.select(key, "_row.*", "copies", status.otherwise("new").alias("status"))
 
 
+def settle_requests(
+    batch: DataFrame, ledger: DataFrame, key: str = "event_id", digest: str = "digest", request: str = "request"
+) -> DataFrame:
+    """One row per request and identity with its status; requests are taken in their order, each as a whole.
+
+    A request that gives an identity other content than the ledger, than itself or than an earlier accepted
+    request is rejected, and only that request: its conflicting identities are ``conflict``, its others
+    ``rejected``. In accepted requests the first to bring an identity is ``new``, all others are
+    ``duplicate``. Disputed identities are settled in rounds over their few claims: whoever no earlier undecided
+    request contradicts is accepted, and rejects those who contradict it.
+    """
+    rest = [c for c in batch.columns if c not in (key, request)]
+    mine = batch.groupBy(request, key).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(digest).alias("_min"), F.max(digest).alias("_max"),
+        F.min_by(F.struct(*rest), digest).alias("_row"),
+    )
+    known = ledger.select(key, F.col(digest).alias("_known")).join(batch.select(key).distinct(), key, "left_semi").distinct()
+    broken = F.coalesce((F.col("_min") != F.col("_max")) | (F.col("_known") != F.col("_min")), F.lit(False))
+    mine = pin(mine.join(known, key, "left").withColumn("_broken", broken))
+    rejected = mine.filter("_broken").select(request).distinct()
+    fair = mine.join(rejected, request, "left_anti").select(request, key, F.col("_min").alias("_content"))
+    disputed = fair.groupBy(key).agg(F.min("_content").alias("_a"), F.max("_content").alias("_b")).filter("_a <> _b").select(key)
+    claims = pin(fair.join(disputed, key))
+    lost = claims.limit(0)
+    while not claims.isEmpty():
+        leads = claims.groupBy(key).agg(F.min(request).alias("_first"), F.min_by("_content", request).alias("_leading"))
+        led = claims.join(leads, key)
+        rivals = led.filter("_content <> _leading").groupBy(key).agg(F.min(request).alias("_rival"))
+        blocked = (F.col("_content") != F.col("_leading")) | F.coalesce(F.col("_rival") < F.col(request), F.lit(False))
+        winners = led.join(rivals, key, "left").groupBy(request).agg(F.bool_or(blocked).alias("_b")).filter("NOT _b").select(request)
+        winners = pin(winners)
+        settled = claims.join(winners, request).select(key, F.col("_content").alias("_settled")).distinct()
+        out = pin(claims.join(winners, request, "left_anti").join(settled, key).filter("_content <> _settled").select(request, key, "_content"))
+        lost = lost.unionByName(out)
+        claims = pin(claims.join(winners, request, "left_anti").join(out.select(request).distinct(), request, "left_anti"))
+    lost = lost.select(request, key).distinct().withColumn("_lost", F.lit(True))
+    out_of = rejected.unionByName(lost.select(request)).distinct().withColumn("_out", F.lit(True))
+    judged = mine.join(lost, [request, key], "left").join(out_of, request, "left")
+    taken = judged.filter("_out IS NULL").groupBy(key).agg(F.min(request).alias("_taker"))
+    judged = judged.join(taken, key, "left")
+    status = F.when(F.col("_broken") | F.col("_lost").isNotNull(), "conflict").when(F.col("_out").isNotNull(), "rejected").when(
+        F.col("_known").isNotNull() | (F.col("_taker") != F.col(request)), "duplicate",
+    ).otherwise("new")
+    return judged.select(request, key, "_row.*", "copies", status.alias("status"))
+
+
+def request_summary(settled: DataFrame) -> DataFrame:
+    """Counters over all requests of a batch; ``duplicates`` are copies in accepted requests beyond the new rows."""
+    zero = F.lit(0).cast("bigint")
+    total = lambda *kinds: F.coalesce(F.sum(F.when(F.col("status").isin(*kinds), F.col("copies"))), zero)
+    out = settled.agg(
+        F.coalesce(F.sum("copies"), zero).alias("received"), F.count_if(F.col("status") == "new").alias("accepted"),
+        total("new", "duplicate").alias("_taken"), F.count_if(F.col("status") == "conflict").alias("conflicts"),
+    )
+    state = F.when((F.col("conflicts") > 0) & (F.col("_taken") == 0), "rejected").when(F.col("accepted") > 0, "queued")
+    return out.select(
+        "received", "accepted", (F.col("_taken") - F.col("accepted")).alias("duplicates"), "conflicts", state.otherwise("already_accepted").alias("state"),
+    )
+
+
 def batch_summary(classified: DataFrame) -> DataFrame:
     """Counters of one batch; a single conflict rejects all of it."""
     zero = F.lit(0).cast("bigint")

@@ -145,6 +145,28 @@ def stream_counters(spark, sf_dir):
     return plain(counters.agg(*[F.sum(c).alias(c) for c in ("received", "accepted", "duplicates", "conflicts", "invalid")]))
 
 
+@query("stream_ingest_conflicts", with_sql("ev") + f""", ok AS (SELECT event_id, event_id % 40 AS part FROM ev WHERE {_OK}),
+    bad AS (SELECT DISTINCT part FROM ok WHERE event_id % 1000 = 0)
+    SELECT count(*) AS stored, count(*) AS accepted, count(*) FILTER (WHERE part NOT IN (SELECT part FROM bad)) AS duplicates,
+    count(*) FILTER (WHERE event_id % 1000 = 0) AS conflicts FROM ok""")
+def stream_conflicts(spark, sf_dir):
+    """All events arrive once, then again in 40 files, some of which change an event: only those files are refused."""
+    ensure_utc(spark)
+    source = scratch_path(spark, "json")
+    events = app_payloads(spark, sf_dir)
+    first = events.select(F.col("payload").alias("value"), F.lit(1000).alias("part"))
+    first.repartition(FILES).write.partitionBy("part").text(source)
+    other = F.replace("payload", F.lit('"city_id":"madrid"'), F.lit('"city_id":"other"'))
+    again = events.select(F.when(F.col("event_id") % 1000 == 0, other).otherwise(F.col("payload")).alias("value"), (F.col("event_id") % 40).alias("part"))
+    again.repartition(40, "part").write.partitionBy("part").mode("append").text(source)
+    lake = ingest.Lake(scratch_path(spark, "lake"))
+    ingest.start_ingest(spark, source, lake, scratch_path(spark, "ck"), files_per_trigger=100, interval=None).awaitTermination()
+    sums = spark.read.parquet(lake.metrics).select("accepted", "duplicates", "conflicts", F.lit(0).cast("bigint").alias("stored"))
+    stored = lake.read(spark, "app_events").agg(F.count(F.lit(1)).alias("stored"))
+    both = sums.unionByName(stored, allowMissingColumns=True)
+    return plain(both.agg(*[F.sum(c).alias(c) for c in ("stored", "accepted", "duplicates", "conflicts")]))
+
+
 @query("replay_order", with_sql("archive") + f"""SELECT session_id, event_type, {ms('event_time')} AS event_time FROM archive
     ORDER BY archive.event_time, session_id LIMIT 500""")
 def replay_order(spark, sf_dir):

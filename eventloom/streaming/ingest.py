@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,14 +18,16 @@ from pyspark.sql.streaming import StreamingQuery
 from eventloom import schemas
 from eventloom.functions.scalars import month_key
 from eventloom.operators.contracts import (
-    batch_summary, classify_batch, named_items, parse_app_events, parse_telemetry, with_digest,
+    named_items, parse_app_events, parse_telemetry, request_summary, settle_requests, with_digest,
 )
 from eventloom.operators.rollups import id_rollup, write_batch_state
 from eventloom.operators.versioning import partial_state
-from eventloom.paths import table_exists
+from eventloom.paths import table_exists, write_text
 from eventloom.session import pin, stage_once
 
-LEDGER_SCHEMA = "event_id STRING, digest STRING, batch_id BIGINT"
+#: The ledger lies in folders by a hash of the identity, so that a batch reads only those its identities fall in.
+LEDGER_BUCKETS = 64
+LEDGER_SCHEMA = "event_id STRING, digest STRING, bucket INT, batch_id BIGINT"
 ROLLUP_KEYS = ["source_kind", "event_date", "city_id", "section", "event_type"]
 
 
@@ -59,16 +62,36 @@ class Lake:
         ddl = schemas.TABLES[name] + ", event_month INT, batch_id BIGINT"
         return spark.read.schema(ddl).parquet(path).drop("batch_id")
 
+    def clock(self, batch_id: int) -> str:
+        return f"{self.root}/clocks/{batch_id}"
+
     def read_ledger(self, spark: SparkSession) -> DataFrame:
         if not table_exists(spark, self.ledger):
             return spark.createDataFrame([], LEDGER_SCHEMA)
         return spark.read.schema(LEDGER_SCHEMA).parquet(self.ledger)
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int, partitions: Sequence[str] = ()) -> None:
-    df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*partitions, "batch_id").parquet(path)
+def _write_batch(df: DataFrame, path: str, batch_id: int, partitions: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+    """Store a batch under its id; each partition's rows lie together, in the given order, so that readers can skip."""
+    rows = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    if partitions:
+        rows = rows.hint("rebalance", *[F.col(p) for p in partitions])
+    if order:
+        rows = rows.sortWithinPartitions(*partitions, *order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
+
+
+def ledger_bucket(event_id: Column | str) -> Column:
+    return F.pmod(F.xxhash64(event_id), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
+def batch_clock(spark: SparkSession, lake: Lake, batch_id: int) -> datetime:
+    """The batch's one clock: written before its first use, so a replay decides by the same time."""
+    path = lake.clock(batch_id)
+    if not table_exists(spark, path):
+        now = datetime.now(timezone.utc)
+        write_text(spark, path, now.replace(microsecond=now.microsecond // 1000 * 1000).isoformat())
+    return datetime.fromisoformat(spark.read.text(path).first().value)
 
 
 def _internal_rows(df: DataFrame, stream: str, payload: str) -> DataFrame:
@@ -88,7 +111,8 @@ def _internal_rows(df: DataFrame, stream: str, payload: str) -> DataFrame:
         ])
     else:
         row = F.from_json(payload, schemas.schema(stream))
-    parsed = df.select(payload, row.alias("_row")).select(payload, "_row.*")
+    kept = [payload, *(["request"] if "request" in df.columns else [])]
+    parsed = df.select(*kept, row.alias("_row")).select(*kept, "_row.*")
     missing = F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in ("event_id", "simulation_run_id", "event_time")])
     return parsed.withColumn("reasons", F.array_compact(missing))
 
@@ -113,47 +137,53 @@ def route(batch: DataFrame, payload: str = "value") -> DataFrame:
     )
     # The routing field is the only one dropped; the rest of the text stays as received.
     plain = F.regexp_replace(payload, r'"_stream"\s*:\s*"[a-z_]*"\s*,\s*|,\s*"_stream"\s*:\s*"[a-z_]*"', "")
-    return batch.select(known.alias("stream"), plain.alias("payload"))
+    extra = ["request"] if "request" in batch.columns else []
+    return batch.select(known.alias("stream"), plain.alias("payload"), *extra)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, lake: Lake, as_of: Column | None = None) -> dict:
     """Accept one micro-batch of JSON lines in ``value``; returns its counters.
 
-    A conflict, the same identity with other content, rejects the whole batch: it
-    goes to quarantine and the stream continues.
+    Rows of one ``request`` (a text that sorts in the order of arrival; without that column all rows are one
+    request) are accepted or rejected together: a conflict, the same identity with other content, sends its
+    request to quarantine, and no other. What is stored doesn't depend on how many requests a micro-batch holds.
     """
     spark = batch.sparkSession
-    as_of = F.current_timestamp() if as_of is None else as_of
-    routed = route(batch)
-    present = {r[0] for r in routed.select("stream").distinct().collect()}  # at most one per table
-    parsed = []
-    for stream in sorted(present) or schemas.STREAMS[:1]:
-        rows = parse_stream(routed.filter(F.col("stream") == stream), stream, as_of)
-        data = [c for c in rows.columns if c not in ("payload", "reasons")]
-        digested = with_digest(rows, data)
-        parsed.append(digested.select(
-            F.lit(stream).alias("stream"), "event_id", "digest", "reasons", "payload", F.to_json(F.struct(*data)).alias("row")
-        ))
-    # The stamp is taken once; all outputs below see the same rows and the same time.
-    stamped = pin(reduce(DataFrame.unionByName, parsed).withColumn("ingested_at", F.date_trunc("MILLISECOND", F.current_timestamp())))
+    clock = F.lit(batch_clock(spark, lake, batch_id))
+    as_of = clock if as_of is None else as_of
+    if "request" not in batch.columns:
+        batch = batch.withColumn("request", F.lit(""))
+    routed = route(batch).persist()
+    try:
+        present = {r[0] for r in routed.select("stream").distinct().collect()}  # at most one per table
+        parsed = []
+        for stream in sorted(present) or schemas.STREAMS[:1]:
+            rows = parse_stream(routed.filter(F.col("stream") == stream), stream, as_of)
+            data = [c for c in rows.columns if c not in ("payload", "request", "reasons")]
+            digested = with_digest(rows, data)
+            parsed.append(digested.select(
+                F.lit(stream).alias("stream"), "request", "event_id", "digest", "reasons", "payload", F.to_json(F.struct(*data)).alias("row")
+            ))
+        stamped = pin(reduce(DataFrame.unionByName, parsed).withColumn("ingested_at", clock))
+    finally:
+        routed.unpersist()
     bad = stamped.filter(F.size("reasons") > 0)
     good = stamped.filter(F.size("reasons") == 0).drop("reasons", "payload")
-    ledger = lake.read_ledger(spark).filter(F.col("batch_id") != batch_id)
-    classified = pin(classify_batch(good, ledger))
-    summary = batch_summary(classified)
-    counters = summary.first().asDict()
+    touched = [r[0] for r in good.select(ledger_bucket("event_id").alias("b")).distinct().collect()]  # at most LEDGER_BUCKETS
+    ledger = lake.read_ledger(spark).filter(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
+    settled = pin(settle_requests(good, ledger))
+    counters = request_summary(settled).first().asDict()
+    refused = settled.filter(F.col("status").isin("conflict", "rejected"))
     _write_batch(
-        bad.select("stream", "payload", "reasons", "ingested_at").unionByName(
-            classified.filter(F.lit(counters["conflicts"] > 0)).select(
-                "stream", F.col("row").alias("payload"),
-                F.when(F.col("status") == "conflict", F.array(F.lit("conflicting_content"))).otherwise(F.array(F.lit("batch_rejected"))).alias("reasons"),
-                "ingested_at",
-            )
-        ), lake.quarantine, batch_id,
+        bad.select("stream", "payload", "reasons", "ingested_at").unionByName(refused.select(
+            "stream", F.col("row").alias("payload"),
+            F.when(F.col("status") == "conflict", F.array(F.lit("conflicting_content"))).otherwise(F.array(F.lit("batch_rejected"))).alias("reasons"),
+            "ingested_at",
+        )), lake.quarantine, batch_id,
     )
     counters["invalid"] = bad.count()
-    if not counters["conflicts"]:
-        publish(classified.filter(F.col("status") == "new"), sorted(present), batch_id, lake)
+    if counters["accepted"]:
+        publish(settled.filter(F.col("status") == "new"), sorted(present), batch_id, lake)
     _write_batch(spark.createDataFrame([counters], "received BIGINT, accepted BIGINT, duplicates BIGINT, conflicts BIGINT, state STRING, invalid BIGINT"), lake.metrics, batch_id)
     return counters
 
@@ -169,9 +199,10 @@ def publish(accepted: DataFrame, streams: Sequence[str], batch_id: int, lake: La
             F.col("ingested_at") if c == "ingested_at" else F.to_date("_row.event_time").alias(c) if c == "event_date"
             else F.col(f"_row.{c}").alias(c) for c in names
         ])
-        _write_batch(typed.withColumn("event_month", month_key("event_time")), lake.table(stream), batch_id, ["event_month"])
+        _write_batch(typed.withColumn("event_month", month_key("event_time")), lake.table(stream), batch_id, ["event_month"], schemas.KEYS[stream])
         update_states(stream, typed, batch_id, lake)
-    _write_batch(accepted.select("event_id", "digest"), lake.ledger, batch_id)
+    ledger = accepted.select("event_id", "digest", ledger_bucket("event_id").alias("bucket"))
+    _write_batch(ledger, lake.ledger, batch_id, ["bucket"], ["event_id"])
 
 
 def update_states(stream: str, rows: DataFrame, batch_id: int, lake: Lake) -> None:
@@ -189,9 +220,11 @@ def start_ingest(
 ) -> StreamingQuery:
     """Ingest JSON lines from a folder; ``interval=None`` drains what is there and stops.
 
-    Files per trigger bound how much one micro-batch may hold.
+    A file is one request, taken in the order of writing. Files per trigger bound how much one micro-batch may
+    hold; they don't change what is stored.
     """
-    stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(source)
+    arrival = F.concat_ws("|", F.date_format("_metadata.file_modification_time", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.col("_metadata.file_path"))
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(source).select("value", arrival.alias("request"))
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, batch_id: ingest_batch(batch, batch_id, lake) and None
     )
@@ -199,35 +232,33 @@ def start_ingest(
     return writer.trigger(**trigger).start()
 
 
-def _fold(spark: SparkSession, path: str, ddl: str, through: int, month: int | None = None) -> None:
-    """Merge the batch folders up to ``through`` into the folder of ``through``.
+def _fold(spark: SparkSession, path: str, ddl: str, through: int, part: str, wanted: Column | None = None) -> None:
+    """Merge the batch folders up to ``through`` into the folder of ``through``, per value of ``part``.
 
     The merged rows are staged first; then they replace the last folder, and the
     folders they came from are emptied. Run it between micro-batches and only over
     committed batches. If it is interrupted between these steps, rows appear twice,
     which logical reads and the ledger join ignore.
     """
-    old = spark.read.schema(ddl + ", batch_id BIGINT").parquet(path).filter(F.col("batch_id") <= through)
-    parts: list[str] = []
-    if month is not None:
-        old, parts = old.filter(F.col("event_month") == month), ["event_month"]
+    old = spark.read.schema(f"{ddl}, {part} INT, batch_id BIGINT").parquet(path).filter(F.col("batch_id") <= through)
+    if wanted is not None:
+        old = old.filter(wanted)
     folded = stage_once(old.drop("batch_id"), "compact")
-    emptied = [r[0] for r in old.select("batch_id").distinct().collect() if r[0] != through]  # one value per folder
-    _write_batch(folded, path, through, parts)
-    empty = folded.drop("event_month").limit(0)
-    prefix = path if month is None else f"{path}/event_month={month}"
-    for batch_id in emptied:
-        empty.write.mode("overwrite").parquet(f"{prefix}/batch_id={batch_id}")
+    emptied = old.filter(F.col("batch_id") != through).select(part, "batch_id").distinct().collect()  # one per folder
+    _write_batch(folded, path, through, [part])
+    empty = folded.drop(part).limit(0)
+    for value, batch_id in emptied:
+        empty.write.mode("overwrite").parquet(f"{path}/{part}={value}/batch_id={batch_id}")
 
 
 def compact_table(spark: SparkSession, lake: Lake, stream: str, month: int, through: int) -> None:
     """Fold one month of a table; rows keep their content."""
-    _fold(spark, lake.table(stream), schemas.TABLES[stream] + ", event_month INT", through, month)
+    _fold(spark, lake.table(stream), schemas.TABLES[stream], through, "event_month", F.col("event_month") == month)
 
 
 def compact_ledger(spark: SparkSession, lake: Lake, through: int) -> None:
     """Fold the accepted identities of many small batches."""
-    _fold(spark, lake.ledger, "event_id STRING, digest STRING", through)
+    _fold(spark, lake.ledger, "event_id STRING, digest STRING", through, "bucket")
 
 
 def append_live_clicks(clicks: DataFrame) -> DataFrame:
