@@ -49,3 +49,12 @@ def content_fingerprint(*columns: Column | str) -> list[Column]:
         F.bit_xor(row_hash).alias("xor_hash"),
         F.sum(row_hash.cast("decimal(38,0)")).alias("sum_hash"),
     ]
+
+
+def portable_fingerprint(*columns: Column | str) -> list[Column]:
+    """Order-free digest that any engine with MD5 can repeat: rows, and the XOR and sum of the first 60 digest bits."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\\N")) for c in columns])
+    bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return [
+        F.count(F.lit(1)).alias("rows"), F.bit_xor(bits).alias("xor_bits"), F.sum(bits.cast("decimal(38,0)")).cast("string").alias("sum_bits"),
+    ]

@@ -46,19 +46,19 @@ def _kind(mode: Column) -> Column:
 # Couriers and orders ----------------------------------------------------------------------
 
 
-def couriers(courier_latest: DataFrame, run_id: str, as_of: Column) -> DataFrame:
+def couriers(courier_latest: DataFrame, run_id: str, as_of: Column, n: int = COURIERS_SHOWN) -> DataFrame:
     """Latest position per courier with its age and receipt delay."""
     return _run(courier_latest, run_id).select(
         "courier_id", "order_id", "city_id", "latitude", "longitude", "speed_kmh", "accuracy_m", "event_time", "ingested_at",
         millis_between(F.col("event_time"), as_of).alias("age_ms"),
         millis_between("event_time", "ingested_at").alias("receipt_delay_ms"),
-    ).orderBy("courier_id").limit(COURIERS_SHOWN)
+    ).orderBy("courier_id").limit(n)
 
 
-def board_orders(order_latest: DataFrame, run_id: str) -> DataFrame:
+def board_orders(order_latest: DataFrame, run_id: str, n: int = ORDERS_SHOWN) -> DataFrame:
     """Open orders first, assigned before unassigned, newest first."""
     unassigned = F.col("courier_id") == schemas.UNASSIGNED
-    return _run(order_latest, run_id).orderBy(_is_closed(), unassigned, F.desc("event_time"), "order_id").limit(ORDERS_SHOWN)
+    return _run(order_latest, run_id).orderBy(_is_closed(), unassigned, F.desc("event_time"), "order_id").limit(n)
 
 
 def enrich_orders(orders: DataFrame, purchases: DataFrame, run_id: str) -> DataFrame:
@@ -100,13 +100,37 @@ def position_rate(positions: DataFrame, run_id: str, as_of: Column, seconds: int
     ).orderBy("bucket")
 
 
+def snapshot(
+    courier_latest: DataFrame, order_latest: DataFrame, purchases: DataFrame, run_id: str, as_of: Column,
+    couriers_shown: int = COURIERS_SHOWN, orders_shown: int = ORDERS_SHOWN, purchases_shown: int = ORDERS_SHOWN,
+) -> DataFrame:
+    """One row: exact totals of the run, how many of each the lists show, whether any list is cut, and the clock."""
+    shown = {"couriers": couriers_shown, "orders": orders_shown, "purchases": purchases_shown}
+    bought = _run(purchases, run_id).select(*schemas.KEYS["customer_orders"]).distinct()
+    counted = None
+    for name, rows in (("couriers", _run(courier_latest, run_id)), ("orders", _run(order_latest, run_id)), ("purchases", bought)):
+        one = rows.agg(F.count(F.lit(1)).alias(name))
+        counted = one if counted is None else counted.unionByName(one, allowMissingColumns=True)
+    totals = counted.agg(*[F.max(c).alias(c) for c in shown])
+    cut = F.lit(False)
+    for name, n in shown.items():
+        cut = cut | (F.col(name) > n)
+    return totals.select(
+        *shown, *[F.least(F.col(c), F.lit(n)).alias(f"{c}_shown") for c, n in shown.items()], cut.alias("truncated"),
+        as_of.alias("snapshot_at"),
+    )
+
+
 def operations(
     courier_latest: DataFrame, order_latest: DataFrame, purchases: DataFrame, positions: DataFrame,
     activity: DataFrame, customer_latest: DataFrame, products: DataFrame, restaurants: DataFrame, run_id: str, as_of: Column,
+    couriers_shown: int = COURIERS_SHOWN, orders_shown: int = ORDERS_SHOWN,
 ) -> dict[str, DataFrame]:
+    """The whole live board; ``snapshot`` has its clock, exact totals and whether a list is cut."""
     return {
-        "couriers": couriers(courier_latest, run_id, as_of),
-        "orders": enrich_orders(board_orders(order_latest, run_id), purchases, run_id),
+        "snapshot": snapshot(courier_latest, order_latest, purchases, run_id, as_of, couriers_shown, orders_shown),
+        "couriers": couriers(courier_latest, run_id, as_of, couriers_shown),
+        "orders": enrich_orders(board_orders(order_latest, run_id, orders_shown), purchases, run_id),
         "metrics_by_kind": order_metrics_by_kind(order_latest, purchases, run_id, as_of),
         "positions_by_5s": position_rate(positions, run_id, as_of),
         **customers(activity, customer_latest, purchases, products, restaurants, run_id),

@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     """Import the modules that fill the registry."""
     from eventloom.registry import (  # noqa: F401
-        contracts, dashboards, explorer, functions, journeys, live, measurement, sources, states, streams,
+        checks, contracts, dashboards, explorer, functions, journeys, live, measurement, sources, states, streams,
     )
