@@ -16,12 +16,12 @@ from eventloom.session import scratch_path, stage_once
 
 
 def newest(df: DataFrame, keys: Sequence[str], version: str, ties: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the one with the greatest version, then the greatest ``ties``.
+    """One row per key: the one with the greatest version, then the greatest ``ties``, then by a hash of the row.
 
-    Keys stay grouping columns, so filters on them still reach the scan.
+    So every run picks the same row. Keys stay grouping columns, so filters on them still reach the scan.
     """
     rest = [c for c in df.columns if c not in keys]
-    merged = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *ties)).alias("_row"))
+    merged = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *ties, F.xxhash64(*rest))).alias("_row"))
     return merged.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
