@@ -1,77 +1,48 @@
 """Exact order statistics without gathering a group in one place.
 
-Values are first counted per (group, value). A rank is then found by narrowing:
-each round splits the remaining value range of a group into equal slots, adds up
-the counts per slot, and keeps the slot that holds the rank. Only the rows of that
-last slot are ordered, so a group's size never decides how much one task holds.
+Values are first counted per (group, value). The counts are then dealt out by ranges
+of (group, value), so a large group lies in many consecutive ranges. The totals per
+range say which range holds a rank; only that range's rows of the group are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLOTS = 1024
-ROUNDS = 2
-
-
-def _slot(value: Column, low: Column, high: Column) -> Column:
-    """Equal-width slot, monotone in ``value``; one slot when the range is a point."""
-    width = F.try_divide((value - low).cast("double") * SLOTS, (high - low).cast("double"))
-    return F.least(F.coalesce(F.floor(width), F.lit(0)), F.lit(SLOTS - 1)).cast("int")
+from eventloom.session import stage_once
 
 
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
-    """Value at each named 1-based rank per group; rank columns may use ``n``, the group size."""
+    """Value at each named 1-based rank per group; rank columns may use ``n``, the group size.
+
+    Groups with NULL keys are groups like any other; NULL values have no rank.
+    """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # Written first, as finding the ranges reads the counts once more.
+    counts = stage_once(counts, "counts")
+    ranged = stage_once(counts.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c"))
+    # One row per range and group here, so at most as many per group as there are ranges.
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    upto = F.sum("_c").over(group.orderBy("_range"))
     wanted = F.array(*[F.struct(F.lit(name).alias("q"), rank.cast("bigint").alias("r")) for name, rank in ranks.items()])
-    targets = (
-        counts.groupBy(*keys)
-        .agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .select(*keys, "n", "_lo", "_hi", F.explode(wanted).alias("_w"))
-        .select(*keys, "n", "_lo", "_hi", F.col("_w.q").alias("_q"), F.col("_w.r").alias("_r"))
-    )
-    group = [*keys, "_q"]
-
-    def candidates(t: DataFrame) -> DataFrame:
-        if keys:
-            return counts.join(t, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        # Without keys there is one target per rank: its bounds become plain filters.
-        found = [r for r in t.collect() if r["_lo"] is not None]  # one row per rank
-        parts = [
-            counts.filter(F.col("_v").between(F.lit(r["_lo"]), F.lit(r["_hi"]))).select(
-                "*", *[F.lit(r[c]).alias(c) for c in ("n", "_lo", "_hi", "_q", "_r")]
-            )
-            for r in found
-        ]
-        return reduce(DataFrame.unionByName, parts) if parts else counts.limit(0).select(
-            "*", F.col("_c").alias("n"), F.col("_v").alias("_lo"), F.col("_v").alias("_hi"), F.lit("").alias("_q"), F.col("_c").alias("_r")
-        )
-
-    for _ in range(ROUNDS):
-        slots = candidates(targets).groupBy(*group, "n", "_r", _slot(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_s")).agg(
-            F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        )
-        # At most SLOTS rows per group here.
-        upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_s"))
-        targets = (
-            slots.withColumn("_upto", upto)
-            .filter((F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_c") < F.col("_r")))
-            .withColumn("_r", F.col("_r") - (F.col("_upto") - F.col("_c")))
-            .select(*group, "n", "_lo", "_hi", "_r")
-        )
-    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_v"))
-    found = candidates(targets).withColumn("_upto", upto).filter(
-        (F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_c") < F.col("_r"))
-    )
-    return found.groupBy(*keys, "n").agg(
-        *[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in ranks]
+    targets = totals.withColumn("n", F.sum("_c").over(group)).withColumn("_before", upto - F.col("_c"))
+    targets = targets.withColumn("_w", F.explode(wanted)).filter(
+        (F.col("_w.r") > F.col("_before")) & (F.col("_w.r") <= F.col("_before") + F.col("_c"))
+    ).select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), "n", F.col("_w.q").alias("_q"),
+        (F.col("_w.r") - F.col("_before")).alias("_r"),
     )
+    same = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    near = ranged.join(targets, same)
+    reached = F.sum("_c").over(Window.partitionBy(*keys, "_range", "_q").orderBy("_v"))
+    found = near.withColumn("_upto", reached).filter((F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_c") < F.col("_r")))
+    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in ranks])
 
 
 def quantile_exact(df: DataFrame, keys: Sequence[str], value: str, p: float = 0.5, name: str = "quantile") -> DataFrame:

@@ -152,3 +152,19 @@ def test_fingerprint_sees_pairs_and_ignores_order(spark):
     assert compare.fingerprint(df).first() == compare.fingerprint(df.repartition(7)).first()
     extra = df.unionByName(df.limit(1)).unionByName(df.limit(1))
     assert compare.fingerprint(df).first() != compare.fingerprint(extra).first()
+
+
+def test_ranks_of_a_large_group_with_outliers_on_several_scales(spark):
+    import random
+
+    from eventloom.operators import quantiles
+
+    rng = random.Random(2)
+    hot = [rng.random() for _ in range(4000)] + [1e6 * rng.random() for _ in range(40)] + [1e15 * rng.random() for _ in range(4)]
+    rows = [("hot", v) for v in hot] + [(f"g{i % 50}", float(i)) for i in range(500)] + [(None, 5.0), (None, 7.0), ("hot", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(5)
+    got = {r.g: r.q for r in quantiles.quantile_exact(df, ["g"], "v", 0.5, "q").collect()}
+    assert got["hot"] == sorted(hot)[len(hot) // 2] and got[None] == 7.0 and "empty" not in got and len(got) == 52
+    levels = quantiles.nearest_rank(df, [], "v", {"p1": 0.01, "p99": 0.99}).first()
+    values = sorted(v for _, v in rows if v is not None)
+    assert (levels.p1, levels.p99) == (values[-(-len(values) // 100) - 1], values[-(-len(values) * 99 // 100) - 1])
