@@ -233,18 +233,49 @@ def schema_evolution(spark, sf_dir):
 # Catalog and exports ----------------------------------------------------------------------------
 
 
-@query("seed_catalog", with_sql("catalog") + """, n AS (SELECT source_row FROM catalog WHERE country_code = 'AF' ORDER BY source_row LIMIT 36)
-    SELECT 'public_historical' AS name_kind, count(*) AS products, 36::BIGINT AS distinct_products, CAST(sum(source_row) AS BIGINT) AS source_rows FROM n""")
+def _prices(spark, sf_dir):
+    """Three products for each of the first twelve suppliers, priced by the parts of the same number."""
+    n = F.col("p_partkey") - F.lit(1)
+    return table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 36").select(
+        n.alias("n"), tag("restaurant-", F.floor(n / 3) + 1).alias("restaurant_id"), (n % 3 + 1).cast("int").alias("slot"),
+        F.floor("p_retailprice").cast("int").alias("price_minor"),
+    )
+
+
+_PRICES = "p AS (SELECT p_partkey - 1 AS n, CAST(floor(p_retailprice) AS BIGINT) AS price_minor FROM part WHERE p_partkey BETWEEN 1 AND 36)"
+
+
+@query("seed_catalog", with_sql("catalog") + f""", {_PRICES}, n AS (SELECT source_row FROM catalog WHERE country_code = 'AF' ORDER BY source_row LIMIT 36)
+    SELECT 'public_historical' AS name_kind, count(*) AS products, 36::BIGINT AS distinct_products, CAST(sum(source_row) AS BIGINT) AS source_rows,
+    (SELECT CAST(sum(price_minor) AS BIGINT) FROM p) AS prices FROM n""")
 def seed_catalog(spark, sf_dir):
     public = catalog(spark, sf_dir).withColumn("city_code", F.lit("MAD")).withColumn(
         "country_code", F.when(F.col("country_code") == "AF", "ES").otherwise(F.col("country_code"))
     )
-    out = demo_catalog.seed_products(public, 1)
+    out = demo_catalog.seed_products(public, _prices(spark, sf_dir), 1)
     return plain(out.groupBy("name_kind").agg(
-        F.count(F.lit(1)).alias("products"), F.count_distinct("product_id").alias("distinct_products"), F.sum("source_row").alias("source_rows")
+        F.count(F.lit(1)).alias("products"), F.count_distinct("product_id").alias("distinct_products"),
+        F.sum("source_row").alias("source_rows"), F.sum("price_minor").alias("prices"),
     ))
 
 
+@query("seed_catalog_fallback", f"""WITH {_PRICES} SELECT 'restaurant-' || (n // 3 + 1) || '-product-' || (n % 3 + 1) AS product_id,
+    ['Vegetable bowl', 'House menu', 'Salad of the day'][n % 3 + 1] AS product_name, price_minor, 'synthetic' AS name_kind FROM p""")
+def seed_catalog_fallback(spark, sf_dir):
+    """Without a public name for every product all take the fallback names."""
+    public = catalog(spark, sf_dir).withColumn("country_code", F.lit("ES")).withColumn("city_code", F.when(F.col("source_row") <= 10, "MAD"))
+    out = demo_catalog.seed_products(public, _prices(spark, sf_dir), 1)
+    return plain(out.select("product_id", "product_name", "price_minor", "name_kind"))
+
+
+@query("seed_restaurants", "SELECT s_suppkey AS restaurant_id, s_name AS name, 'madrid' AS city_id, s_acctbal AS latitude, 'synthetic' AS location_kind FROM supplier")
+def seed_restaurants(spark, sf_dir):
+    places = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("restaurant_id"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("latitude"), F.lit(0.0).alias("longitude"),
+    )
+    return plain(demo_catalog.seed_restaurants(places, 1).select("restaurant_id", "name", "city_id", "latitude", "location_kind"))
+
+
 @query("catalog_index", """SELECT count(*) AS rows, count(DISTINCT p_partkey) AS distinct_rows, min(p_partkey) AS first_row, max(p_partkey) AS last_row,
     count(*) = max(p_partkey) - min(p_partkey) + 1 AND min(p_partkey) = 0 AS continuous FROM part""")
 def catalog_index(spark, sf_dir):

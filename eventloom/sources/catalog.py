@@ -2,71 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # --- fixed values ------------------------------------------------------------------------
-RESTAURANT_NAMES = [
-    "Casa Río", "Mesa Verde", "Barrio Bento", "La Cocina Azul", "Horno Central", "Taco Patio",
-    "Cuchara Norte", "Pasta de Casa", "Curry del Barrio", "Huerta y Pan", "La Mesa Roja", "Nómada Bowl",
-]
 FALLBACK_PRODUCTS = ["Vegetable bowl", "House menu", "Salad of the day"]
-PRICES_MINOR = [
-    878, 701, 1213, 1151, 1107, 935, 859, 1766, 828, 1514, 715, 711,
-    841, 1097, 1126, 1684, 704, 1799, 1057, 1766, 1509, 1101, 1569, 1219,
-    663, 976, 1515, 1346, 1219, 968, 1090, 1339, 859, 839, 1428, 848,
-]
-LOCATIONS = [
-    (40.409187, -3.707129), (40.415285, -3.695665), (40.419471, -3.695732), (40.420997, -3.694752),
-    (40.409601, -3.706063), (40.420972, -3.699216), (40.409884, -3.695808), (40.420615, -3.701866),
-    (40.421676, -3.693199), (40.415507, -3.699647), (40.415132, -3.699802), (40.414846, -3.702057),
-]
 SLOTS = len(FALLBACK_PRODUCTS)
-WANTED = len(RESTAURANT_NAMES) * SLOTS
 
 
-def seed_restaurants(spark: SparkSession, version: int) -> DataFrame:
-    """The 12 fictional restaurants; places are labelled synthetic."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(f"fictional-madrid-{n}").alias("restaurant_id"), F.lit(name).alias("name"),
-            F.lit(lat).alias("latitude"), F.lit(lon).alias("longitude"),
-        )
-        for n, (name, (lat, lon)) in enumerate(zip(RESTAURANT_NAMES, LOCATIONS), start=1)
-    ])
-    return spark.range(1).select(F.explode(rows).alias("r")).select(
-        "r.restaurant_id", "r.name", F.lit("madrid").alias("city_id"), "r.latitude", "r.longitude",
+def seed_restaurants(places: DataFrame, version: int, city_id: str = "madrid") -> DataFrame:
+    """Fictional restaurants from ``places`` (restaurant_id, name, latitude, longitude), labelled synthetic."""
+    return places.select(
+        "restaurant_id", "name", F.lit(city_id).alias("city_id"), "latitude", "longitude",
         F.lit("synthetic").alias("location_kind"), F.lit("synthetic").alias("source_kind"),
         F.lit(version).cast("bigint").alias("version"),
     )
 
 
-def seed_products(public: DataFrame, version: int) -> DataFrame:
-    """36 products: public names when exactly 36 exist, the fallback names otherwise.
+def seed_products(public: DataFrame, prices: DataFrame, version: int) -> DataFrame:
+    """One product per price: public names when there is one for every product, the fallback names otherwise.
 
-    ``name_kind`` and ``source_row`` record which. Prices are fictional and fixed.
+    ``prices`` has ``n`` (0, 1, 2, ...), ``restaurant_id``, ``slot`` (from 1) and ``price_minor``; the n-th
+    product takes the n-th public name. ``name_kind`` and ``source_row`` record which names were used.
     """
-    spark = public.sparkSession
-    slots = spark.range(WANTED).select(
-        F.col("id").alias("n"),
-        F.concat(F.lit("fictional-madrid-"), (F.floor(F.col("id") / SLOTS) + 1).cast("string")).alias("restaurant_id"),
-        (F.col("id") % SLOTS + 1).cast("int").alias("slot"),
-    )
+    wanted = prices.count()
     first = (
         public.filter((F.col("country_code") == "ES") & (F.col("city_code") == "MAD"))
-        .select("source_row", "product_name").orderBy("source_row").limit(WANTED)
+        .select("source_row", "product_name").orderBy("source_row").limit(wanted)
     )
-    # At most 36 rows reach this window.
+    # As many rows as there are prices reach these windows.
     named = first.withColumn("n", (F.row_number().over(Window.orderBy("source_row")) - 1).cast("bigint"))
     named = named.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy()))
-    named = named.filter(F.col("_found") == WANTED).drop("_found")
-    fallback = F.element_at(F.array(*[F.lit(p) for p in FALLBACK_PRODUCTS]), F.col("slot"))
+    named = named.filter(F.col("_found") == wanted).drop("_found")
+    fallback = F.element_at(F.array(*[F.lit(p) for p in FALLBACK_PRODUCTS]), F.pmod(F.col("slot") - 1, F.lit(SLOTS)).cast("int") + 1)
     product_id = F.concat("restaurant_id", F.lit("-product-"), F.col("slot").cast("string"))
     found = F.col("source_row").isNotNull()
-    return slots.join(named, "n", "left").select(
+    return prices.join(named, "n", "left").select(
         product_id.alias("product_id"),
         "restaurant_id",
         F.coalesce("product_name", fallback).alias("product_name"),
-        F.element_at(F.array(*[F.lit(p) for p in PRICES_MINOR]), (F.col("n") + 1).cast("int")).alias("price_minor"),
+        "price_minor",
         F.lit("EUR").alias("currency"),
         F.lit("synthetic").alias("price_kind"),
         F.when(found, "public_historical").otherwise("synthetic").alias("name_kind"),

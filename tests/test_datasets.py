@@ -155,14 +155,19 @@ def test_catalog_csv(spark, tmp_path):
 
 
 def test_catalog_seed(spark, products):
-    fallback = catalog.seed_products(products, 1)
+    prices = spark.range(36).select(
+        F.col("id").alias("n"), F.concat(F.lit("fictional-madrid-"), (F.floor(F.col("id") / 3) + 1).cast("string")).alias("restaurant_id"),
+        (F.col("id") % 3 + 1).cast("int").alias("slot"), (F.col("id") * 10 + 700).cast("int").alias("price_minor"),
+    )
+    fallback = catalog.seed_products(products, prices, 1)
     assert fallback.count() == 36 and fallback.filter("name_kind = 'synthetic'").count() == 36
     assert fallback.orderBy("product_id").first().source_row is None
     many = frame(spark, "glovo_products", [(i, "ES", "MAD", "s", f"public {i}", "m", "", 0, 0, 0) for i in range(50)])
-    seeded = catalog.seed_products(many, 1)
+    seeded = catalog.seed_products(many, prices, 1)
     assert {r.source_row for r in seeded.collect()} == set(range(36))
     assert seeded.filter("product_id = 'fictional-madrid-1-product-2'").first().product_name == "public 1"
-    assert catalog.seed_restaurants(spark, 1).count() == 12
+    places = spark.createDataFrame([("r1", "One", 40.4, -3.7), ("r2", "Two", 40.5, -3.6)], "restaurant_id STRING, name STRING, latitude DOUBLE, longitude DOUBLE")
+    assert {(r.name, r.location_kind, r.city_id) for r in catalog.seed_restaurants(places, 1).collect()} == {("One", "synthetic", "madrid"), ("Two", "synthetic", "madrid")}
 
 
 def test_uplift_file(spark, tmp_path):
