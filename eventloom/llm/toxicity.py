@@ -16,8 +16,8 @@ from eventloom.session import stage_once
 TRAINING_ROWS = 12_000
 #: Terms of the model: those whose share of a category's rows is furthest from chance, in standard deviations.
 VOCABULARY, MIN_ROWS, MIN_DEVIATIONS = 4096, 3, 4.0
-#: The bounded training rows go to this many partitions.
-PARTS = 6
+#: The bounded training rows go to this many partitions, so few that an iteration is one small stage.
+PARTS = 2
 FOLDS = 3
 PREFIX = 4
 #: Strength of the L1 penalty, which leaves most terms without weight: long texts gather no noise.
@@ -98,7 +98,6 @@ def fit_chain(training: DataFrame, categories: list[str]) -> Chain | None:
         column = f"p_{category}"
         learner = LogisticRegression(
             featuresCol="_features", labelCol=f"is_{category}", regParam=PENALTY, elasticNetParam=1.0, maxIter=ITERATIONS,
-            aggregationDepth=2,
         )
         ready = _assembled(rows, columns)
         links.append(learner.fit(ready))
