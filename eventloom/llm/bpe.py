@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.words import blocks
+
 #: Words whose ids a task remembers; beyond it, the memory is emptied and the words are merged again.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
+#: Bytes of text whose words are numbered and merged at a time.
+BLOCK_BYTES = 4 << 20
 #: Words of one output batch.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 class Ranks:
@@ -40,14 +45,15 @@ class Ranks:
                     pairs[left << 32 | right] = rank
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int32)
         sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.token_starts = np.concatenate([[0], np.cumsum(sizes)])
         self.token_data = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge, -1 if it has none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
@@ -84,15 +90,17 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     n = int(starts[-1])
-    ids = ranks.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-    following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ids = ranks.of_byte[data]
+    following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     filled = sizes > 0
     following[starts[1:][filled] - 1] = -1
     before[starts[:-1][filled]] = -1
     alive = np.ones(n, bool)
-    rank = np.full(n, -1, np.int64)
-    open_ = np.flatnonzero(following >= 0)
-    rank[open_] = ranks.lookup(ids[open_], ids[following[open_]])
+    rank = np.full(n, -1, np.int32)
+    rank[:-1] = ranks.byte_pairs[data[:-1], data[1:]]
+    rank[starts[1:][filled] - 1] = -1
+    del data
     index: dict[int, list[np.ndarray]] = {}
     queue: list[int] = []
     odd: list[np.ndarray] = []
@@ -110,7 +118,7 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
                 index[r] = [part]
                 heapq.heappush(queue, r)
 
-    add(open_)
+    add(np.flatnonzero(rank >= 0))
     while queue:
         r = heapq.heappop(queue)
         listed = index.pop(r)
@@ -135,14 +143,14 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
         if len(early):
             odd.append(early)
         add(touched)
-    firsts = np.concatenate([[0], np.cumsum(alive)])[starts]
+    firsts = np.concatenate([[0], np.cumsum(alive, dtype=np.int32)])[starts].astype(np.int64)
     ids = ids[alive]
     if odd:
         # A merge made a pair of lower rank, which a word must take before its other pairs of the first rank.
         again = np.unique(np.searchsorted(starts, np.concatenate(odd), "right") - 1)
         pieces = [ids[a:b] for a, b in zip(firsts[:-1], firsts[1:])]
         for w in again.tolist():
-            pieces[w] = np.array(ranks.merge_one(words[w]), np.int64)
+            pieces[w] = np.array(ranks.merge_one(words[w]), np.int32)
         firsts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         ids = np.concatenate(pieces)
     return ids, firsts
@@ -167,62 +175,75 @@ def _split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def _encoder(raw, pattern: str):
+def _spelled(ids: np.ndarray, rows: np.ndarray, ranks: Ranks) -> pa.Array:
+    """Bytes of the ids of every row, from their tokens."""
+    starts = ranks.token_starts[ids]
+    data, cuts = _gather(ranks.token_data, starts, ranks.token_starts[ids + 1] - starts)
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(rows) - 1, [None, pa.py_buffer(cuts[rows].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))],
+    ).cast(pa.binary())
+
+
+def _encoder(raw, pattern: str, decoded: bool = False):
     def encode(batches):
         ranks, split = tables(raw.value), _split_pattern(pattern)
         numbers = _Numbers()
-        ids, firsts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        ids, firsts = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
-            if len(numbers) > KEPT_WORDS:
-                numbers, ids, firsts = _Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64)
-            known = len(numbers)
-            at = [
-                np.fromiter(
-                    map(numbers.__getitem__, split.findall(t) if len(t) < 1 << 20 else (m.group() for m in split.finditer(t))), np.int32,
-                )
-                for t in (text.as_py() or "" for text in batch.column(batch.num_columns - 1))
-            ]
-            new, new_firsts = replay([w.encode() for w in list(numbers)[known:]], ranks)
-            firsts = np.concatenate([firsts, new_firsts[1:] + len(ids)])
-            ids = np.concatenate([ids, new])
-            counts = np.fromiter(map(len, at), np.int64, len(at))
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            low = 0
-            while low < len(at):
-                high = max(int(np.searchsorted(bounds, bounds[low] + PIECE, "right")) - 1, low + 1)
-                high = min(high, len(at))
-                numbered = np.concatenate(at[low:high])
-                values, cuts = _gather(ids, firsts[numbered], np.diff(firsts)[numbered])
-                rows = cuts[bounds[low:high + 1] - bounds[low]]
-                lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values.astype(np.int32)))
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*batch.schema.names[:-1], "ids"])
-                low = high
+            for start, stop in blocks(batch.column(batch.num_columns - 1), BLOCK_BYTES):
+                if len(numbers) > KEPT_WORDS:
+                    numbers, ids, firsts = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+                known = len(numbers)
+                block = batch.slice(start, stop - start)
+                at = [
+                    np.fromiter(
+                        map(numbers.__getitem__, split.findall(t) if len(t) < 1 << 20 else (m.group() for m in split.finditer(t))), np.int32,
+                    )
+                    for t in (text.as_py() or "" for text in block.column(block.num_columns - 1))
+                ]
+                new, new_firsts = replay([w.encode() for w in islice(numbers, known, None)], ranks)
+                firsts = np.concatenate([firsts, new_firsts[1:] + len(ids)])
+                ids = np.concatenate([ids, new])
+                del new, new_firsts
+                bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, at), np.int64, len(at)))])
+                low = 0
+                while low < len(at):
+                    high = min(max(int(np.searchsorted(bounds, bounds[low] + PIECE, "right")) - 1, low + 1), len(at))
+                    numbered = np.concatenate(at[low:high])
+                    values, cuts = _gather(ids, firsts[numbered], firsts[numbered + 1] - firsts[numbered])
+                    rows = cuts[bounds[low:high + 1] - bounds[low]]
+                    lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values))
+                    part = block.slice(low, high - low)
+                    columns, names = [*part.columns[:-1], lists], [*batch.schema.names[:-1], "ids"]
+                    if decoded:
+                        columns, names = [*columns, _spelled(values, rows, ranks)], [*names, "decoded"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    low = high
 
     return encode
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, column: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ``column`` replaced by ``ids`` (array of token ids), at the end; other columns pass.
 
     Ids are those of the rank file's tokenizer without special tokens: each match of ``pattern`` is merged
     separately, least rank first. NULL and empty texts have no ids. Repeated rows repeat. A column that is
     already named ``ids`` is replaced. An empty table gives no rows. The rank file is read by the driver and
-    broadcast; its size is the vocabulary's, not the corpus's.
+    broadcast; its size is the vocabulary's, not the corpus's. With ``decoded`` the same pass also decodes the ids, as
+    ``decode`` does, which spares a second set of Python workers.
     """
     with open(rank_file, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    others = [c for c in docs.columns if c not in (column, "ids")]
+    others = [c for c in docs.columns if c not in (column, "ids", *(["decoded"] if decoded else []))]
     text = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so it clashes with none
     picked = docs.select(*[F.col(f"`{c}`") for c in others], F.col(column).alias(text))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "ids ARRAY<INT>"])
-    return picked.mapInArrow(_encoder(raw, pattern), fields)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "ids ARRAY<INT>", *(["decoded BINARY"] if decoded else [])])
+    return picked.mapInArrow(_encoder(raw, pattern, decoded), fields)
 
 
 def _decoder(raw):
     def decode(batches):
         ranks = tables(raw.value)
-        sizes = np.diff(ranks.token_starts)
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             if lists.null_count:
@@ -232,13 +253,9 @@ def _decoder(raw):
             while low < len(lists):
                 high = min(max(int(np.searchsorted(offsets, offsets[low] + PIECE, "right")) - 1, low + 1), len(lists))
                 ids = lists.slice(low, high - low).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, cuts = _gather(ranks.token_data, ranks.token_starts[ids], sizes[ids])
-                rows = cuts[offsets[low:high + 1] - offsets[low]]
-                out = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), high - low, [None, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))],
-                )
+                out = _spelled(ids, offsets[low:high + 1] - offsets[low], ranks)
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], names=[*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*batch.schema.names, "decoded"])
                 low = high
 
     return decode

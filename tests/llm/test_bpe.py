@@ -61,3 +61,12 @@ def test_other_columns_empty_table_and_null_ids(frame, spark):
     assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [])], "k INT, ids ARRAY<INT>")
     assert [bytes(r.decoded) for r in bpe.decode(nulls, RANKS).collect()] == [b"", b""]
+
+
+def test_decoding_in_the_same_pass(frame):
+    docs = frame([(i, t, b"x") for i, t in enumerate([*TEXTS, None])], "doc_id BIGINT, text STRING, decoded BINARY")
+    once = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True)
+    twice = bpe.decode(bpe.encode(docs.drop("decoded"), RANKS, public_tokenizers.PATTERN), RANKS)
+    key = lambda r: r.doc_id
+    assert sorted(once.collect(), key=key) == sorted(twice.collect(), key=key)
+    assert all(bytes(r.decoded) == ([*TEXTS, None][r.doc_id] or "").encode() for r in once.collect())
