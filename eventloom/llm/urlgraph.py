@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from eventloom.session import stage_once
 
 DAMPING = 0.85
+#: Rounds that OP9_SQL unrolls; the operator itself goes on until the scores have settled.
 ROUNDS = 12
+#: Scores have settled when a round changes their sum (of 1 trust and 1 distrust) by no more than this.
+TOLERANCE = 1e-6
+#: Rounds planned as one job between tables; after each the changes of one more round are summed.
+TOGETHER = 7
 #: A host without a rule is blocked if its share of distrust among trust and distrust is over this.
 BLOCK_OVER = 0.5
 #: Absolute and protocol-relative links; group 1 is the host. Relative links stay on their host.
@@ -69,13 +74,20 @@ def host_links(pages: DataFrame) -> DataFrame:
     return counted.unionByName(both).filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(
+    links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE,
+) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from seeds, along links and against them.
 
     ``seeds`` has ``host``, ``trust`` and ``distrust``, each summing to 1 (or all 0). Trust follows links;
     distrust goes back from a host to those that link to it. A host shares its score by link weights; the
-    part of hosts without links returns to the seeds by the restart of the next round only. The scores of
-    each round are written to the shared folder.
+    part of hosts without links returns to the seeds by the restart of the next round only. Scores
+    are written to the shared folder every few rounds.
+
+    Without ``rounds`` the iteration ends with a round that reaches no further host and whose changes sum to
+    ``tolerance`` at most; all later rounds together then move at most damping / (1 - damping) times as much,
+    and every host with a way to a seed has its score, however long the way (up to some thousand links, where
+    doubles end).
     """
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     back = links.groupBy("dst").agg(F.sum("n").alias("total"))
@@ -83,22 +95,50 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     reverse = links.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("trust"), (F.col("n") / F.col("total")).alias("distrust"))
     edges = stage_once(forward.unionByName(reverse).groupBy("host", "to").agg(F.sum("trust").alias("part_t"), F.sum("distrust").alias("part_d")), "host-links")
     seeds = stage_once(seeds.select("host", "trust", "distrust"), "seeds")
-    scores = seeds
-    for _ in range(rounds):
-        moved = scores.join(edges, "host").groupBy("to").agg(
-            F.sum(F.col("trust") * F.col("part_t")).alias("trust"), F.sum(F.col("distrust") * F.col("part_d")).alias("distrust"),
-        ).select(F.col("to").alias("host"), (damping * F.col("trust")).alias("trust"), (damping * F.col("distrust")).alias("distrust"))
-        restart = seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-        scores = stage_once(moved.unionByName(restart).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "scores")
-    return scores
+    restart = seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
+    none = F.lit(0.0)
 
+    def moved(scores: DataFrame) -> DataFrame:
+        steps = scores.join(edges, "host").select(
+            F.col("to").alias("host"), (damping * F.col("trust") * F.col("part_t")).alias("trust"), (damping * F.col("distrust") * F.col("part_d")).alias("distrust"),
+        )
+        return steps.unionByName(restart)
 
-def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds: int = ROUNDS, block_over: float = BLOCK_OVER) -> DataFrame:
+    def after(scores: DataFrame, rounds: int) -> DataFrame:
+        for _ in range(rounds):
+            scores = moved(scores).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        return stage_once(scores, "scores")
+
+    scores = seeds
+    if rounds is not None:
+        for done in range(0, rounds, TOGETHER):
+            scores = after(scores, min(TOGETHER, rounds - done))
+        return scores
+    while True:
+        scores = after(scores, TOGETHER)
+        new = moved(scores).withColumns({"was_t": none, "was_d": none})
+        old = scores.select("host", none.alias("trust"), none.alias("distrust"), F.col("trust").alias("was_t"), F.col("distrust").alias("was_d"))
+        both = new.unionByName(old).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "was_t", "was_d")])
+        scores = stage_once(both, "scores")
+        step = scores.agg(
+            F.sum(F.abs(F.col("trust") - F.col("was_t")) + F.abs(F.col("distrust") - F.col("was_d"))).alias("change"),
+            F.max(((F.col("trust") > 0) & (F.col("was_t") == 0)) | ((F.col("distrust") > 0) & (F.col("was_d") == 0))).alias("further"),
+        ).first()
+        scores = scores.select("host", "trust", "distrust")
+        if not step.further and (step.change or 0.0) <= tolerance:
+            return scores
+
+
+def judge_urls(
+    pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds: int | None = None, block_over: float = BLOCK_OVER,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (``page_id``, ``url``, ``html``).
 
     The longest fitting rule decides. Hosts with allowed pages are trusted seeds and hosts with blocked pages
     blocked seeds, by their numbers of such pages; where no rule fits, a host is blocked if distrust is over
     ``block_over`` of the trust and distrust that reach it, and allowed otherwise, also if neither reaches it.
+    ``rounds`` and ``tolerance`` are those of ``spread``: by default the scores settle.
 
     A NULL url, or one without ``://``, has an empty host and path; empty hosts seed nothing and are allowed.
     NULL html has no links. Repeated rows repeat, and count as pages. Other columns are not read; an empty
@@ -117,7 +157,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, ro
     seeds = counts.filter("allowed + blocked > 0").select(
         "host", (F.col("allowed") / F.lit(float(total.a or 1))).alias("trust"), (F.col("blocked") / F.lit(float(total.b or 1))).alias("distrust"),
     )
-    scores = spread(host_links(placed), seeds, damping, rounds)
+    scores = spread(host_links(placed), seeds, damping, rounds, tolerance)
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
     method = F.when(F.round(share, 9) > block_over, "block").otherwise("allow")
     scored = stage_once(scores.withColumn("method", F.when(F.col("trust") + F.col("distrust") > 0, method).otherwise("allow")), "judged")

@@ -54,3 +54,22 @@ def test_links_carry_the_verdict(frame, spark):
     links = {(r.src, r.dst): r.n for r in urlgraph.host_links(pages.withColumn("host", urlgraph.host_of(F.col("url")))).collect()}
     assert links[("farm.io", "spam.net")] == 1
     assert urlgraph.judge_urls(spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING"), URL_RULES).count() == 0
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(frame):
+    chain = [f"https://farm{i}.io/" for i in range(30)] + ["https://spam.net/x"]
+    pages = [(i, url, f'<a href="{after}">') for i, (url, after) in enumerate(zip(chain, chain[1:]))] + [(30, chain[30], None)]
+    pages += [(40, "https://seed.org/fr/1", '<a href="//friend.io/">'), (41, "https://friend.io/", None), (42, "https://unknown.io/", None)]
+    out = {r.page_id: r.verdict for r in urlgraph.judge_urls(frame(pages, "page_id BIGINT, url STRING, html STRING"), URL_RULES).collect()}
+    assert out == {i: "block" if i <= 30 else "allow" for i in [*range(31), 40, 41, 42]}
+
+
+def test_scores_settle(spark):
+    links = {("a", "b"): 3, ("b", "a"): 1, ("b", "c"): 2, ("c", "b"): 1, ("d", "bad"): 1, ("bad", "d"): 1, ("c", "d"): 1}
+    seeds = {"a": (1.0, 0.0), "bad": (0.0, 1.0)}
+    df = spark.createDataFrame([(s, d, n) for (s, d), n in links.items()], "src STRING, dst STRING, n BIGINT")
+    got = urlgraph.spread(df, spark.createDataFrame([(h, t, d) for h, (t, d) in seeds.items()], "host STRING, trust DOUBLE, distrust DOUBLE"))
+    want = brute_spread(links, seeds, 0.85, 400)
+    found = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert sum(abs(found[h][i] - want[h][i]) for h in want for i in (0, 1)) < urlgraph.TOLERANCE * 0.85 / 0.15
