@@ -37,7 +37,10 @@ def _lists(values: np.ndarray, width: int, bounds: np.ndarray) -> pa.Array:
 
 
 def _send(windows: np.ndarray, block: int, buckets: int):
-    """The block's window hashes, dealt to their buckets: seven bytes each, the lowest is in the bucket's number."""
+    """The block's distinct window hashes, each with its first place, dealt to their buckets: seven bytes each, the
+    lowest is in the bucket's number. Also all places of windows that occur twice or more within the block."""
+    windows, first, of, counts = np.unique(windows, return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(counts[of] > 1)
     bucket = (windows & np.uint64(buckets - 1)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     counts = np.bincount(bucket, minlength=buckets)
@@ -45,17 +48,20 @@ def _send(windows: np.ndarray, block: int, buckets: int):
     bounds = np.concatenate([[0], np.cumsum(counts[used])])
     upper = (windows[order] >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
     none = pa.nulls(len(used), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([
+    sent = pa.RecordBatch.from_arrays([
         pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block)), _lists(upper, 7, bounds),
-        _lists(order.astype("<u2"), 2, bounds), none, none, none,
+        _lists(first[order].astype("<u2"), 2, bounds), none, none, none,
     ], names=["bucket", "block", "hashes", "places", "ids", "keys", "starts"])
+    return sent, again
 
 
-def _describe(block: int, buckets: int, ids: pa.Array, keys: pa.Array, starts: np.ndarray):
-    """Which documents a block's windows belong to: place of each document's first window, by row."""
+def _describe(block: int, buckets: int, ids: pa.Array, keys: pa.Array, starts: np.ndarray, again: np.ndarray):
+    """Which documents a block's windows belong to: place of each document's first window, by row. With the places
+    of windows that the block alone shows to be repeated."""
     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(starts)], pa.int32()), a)
     return pa.RecordBatch.from_arrays([
-        pa.array([-1 - block % buckets], pa.int32()), pa.array([block]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+        pa.array([-1 - (block + (block >> 32)) % buckets], pa.int32()), pa.array([block]), pa.nulls(1, pa.binary()),
+        pa.array([again.astype("<u2").tobytes() if len(again) else None], pa.binary()),
         one(ids), one(keys), one(pa.array(starts.astype(np.int64))),
     ], names=["bucket", "block", "hashes", "places", "ids", "keys", "starts"])
 
@@ -72,8 +78,9 @@ def _scanner(window: int, buckets: int):
                     part = windows[at:at + BLOCK]
                     rows = np.flatnonzero((first[:-1] < at + len(part)) & (first[1:] > at))
                     taken = pa.array(rows)
-                    yield _send(part, block, buckets)
-                    yield _describe(block, buckets, piece.column(0).take(taken), piece.column(1).take(taken), first[rows] - at)
+                    sent, again = _send(part, block, buckets)
+                    yield sent
+                    yield _describe(block, buckets, piece.column(0).take(taken), piece.column(1).take(taken), first[rows] - at, again)
                     block += 1
 
     return scan
@@ -138,10 +145,11 @@ def _covered(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, start, stop): word spans under windows whose sequence starts more than once in the corpus.
 
-    Every window of ``window`` words gets a Rabin-Karp hash. Hashes go to buckets in compact blocks together
-    with their places, a bucket finds those that occur twice or more, and only their places go back to the
-    block they came from, where overlapping windows merge. No key gathers more than its share: buckets hold
-    hashes of all kinds, and a block has at most 65,536 windows, also when one document has many blocks.
+    Every window of ``window`` words gets a Rabin-Karp hash. The distinct hashes of a block go to buckets, each
+    with its first place; a bucket finds those that occur in two blocks or more, and only their places go back to
+    the block they came from. There they join the places of windows repeated within the block, and overlapping
+    windows merge. No key gathers more than its share: buckets hold hashes of all kinds, one window however
+    frequent is one entry per block, and a block has at most 65,536 windows, also when one document has many blocks.
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)

@@ -50,3 +50,12 @@ def test_empty_table_and_clashing_columns(spark, frame):
     assert substrings.remove_repeated(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
     docs = frame([(1, "a b c a b c", 9, "k")], "doc_id BIGINT, text STRING, spans INT, text_key STRING")
     assert [tuple(r) for r in substrings.remove_repeated(docs, 3).collect()] == [(1, 6, 6, "")]
+
+
+def test_a_window_is_sent_once_per_block(frame):
+    docs = frame([(i, "0 " * 100_000 + f"end{i}") for i in range(3)], "doc_id BIGINT, text STRING")
+    rows = docs.selectExpr("doc_id", "doc_id AS text_key", "text")
+    sent = rows.mapInArrow(substrings._scanner(35, 256), substrings.SENT).selectExpr("sum(length(hashes)) / 7 AS n").first()
+    assert sent.n < 100  # three texts of two blocks, each with one window of zeros and the one at the end
+    out = {r.doc_id: r for r in substrings.remove_repeated(docs.union(frame([(9, "x " + "0 " * 35 + "y")], "doc_id BIGINT, text STRING"))).collect()}
+    assert [(out[i].n_removed, out[i].kept_text) for i in (0, 1, 2, 9)] == [(100_000, f"end{i}") for i in range(3)] + [(35, "x y")]
