@@ -116,13 +116,14 @@ def _in_order(docs: DataFrame) -> DataFrame:
         )),
     )
     placed = placed.select("to.chunk", "to.tail", "doc_id", "text_key", "text")
-    return placed.repartition("chunk").sortWithinPartitions("chunk", "tail", F.col("doc_id").asc_nulls_last(), "text_key").drop("text_key")
+    placed = placed.repartition("chunk").sortWithinPartitions("chunk", "tail", F.col("doc_id").asc_nulls_last(), "text_key")
+    return placed.select("chunk", "tail", "doc_id", "text", text_key(F.coalesce("text", F.lit(""))).alias("text_key"))
 
 
 def _pairwise(shingle: int, permutations: int):
     """Each row with its follower; a batch's last row waits for the next batch."""
 
-    def emit(chunk, tail, ids, texts, prints):
+    def emit(chunk, tail, ids, texts, keys, prints):
         texts = [t or "" for t in texts]
         own = [i for i in range(len(ids) - 1) if not tail[i]]
         followers = [i + 1 for i in own]
@@ -136,7 +137,8 @@ def _pairwise(shingle: int, permutations: int):
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
             pa.array(_hex(prints[own]), pa.string()), pa.array(_hex(other), pa.string()),
             pa.array(likeness(prints[own], other)), pa.array(likeness(prints[own], prints[followers])),
-        ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            pa.array([keys[i] for i in own], pa.int64()),
+        ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_key"])
 
     def compare(batches):
         held = None
@@ -164,9 +166,14 @@ def edited_comparison(docs: DataFrame, shingle: int = SHINGLE, permutations: int
     which is like itself (1) and nothing else. Repeated rows follow each other. A single row is its own
     follower. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
     """
+    return _compared(docs, shingle, permutations).drop("text_key")
+
+
+def _compared(docs: DataFrame, shingle: int, permutations: int) -> DataFrame:
+    """The columns of ``edited_comparison`` and the ``text_key`` of the text, empty for NULL."""
     schema = (
         "doc_id BIGINT, n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, edited_fingerprint STRING, "
-        "near_edited DOUBLE, near_next DOUBLE"
+        "near_edited DOUBLE, near_next DOUBLE, text_key BIGINT"
     )
     return _in_order(docs).mapInArrow(_pairwise(shingle, permutations), schema)
 
@@ -222,12 +229,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: the least id among texts linked to the row's, itself included.
+    """(doc_id, component_id) for every row of ``docs``, by the classes of ``near_classes``; repeated rows repeat."""
+    rows, named = near_classes(docs, similarity, shingle, permutations)
+    return rows.join(named, "text_key").select("doc_id", "component_id")
+
+
+def fingerprints(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
+    """The columns of ``edited_comparison`` and ``component_id``, the near-copy class, for every row of ``docs``."""
+    _, named = near_classes(docs, similarity, shingle, permutations)
+    return _compared(docs, shingle, permutations).join(named, "text_key").drop("text_key")
+
+
+def near_classes(docs: DataFrame, similarity: float, shingle: int, permutations: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, bands), and (text_key, component_id): the least id among texts linked to a text, itself included.
 
     Texts whose sets of word shingles have at least the Jaccard similarity are linked. Candidates share a band
     of the signature; their Jaccard similarity is computed from the sets. First every text meets the least of
     each of its bands; what these verified stars connect need not be compared again, so a large group of near
-    copies doesn't yield all its pairs. Then texts of one band that are not yet connected are compared.
+    copies doesn't yield all its pairs. Then texts of one band are compared across its stars, in bands that hold
+    more than one.
 
     Equal texts count once. NULL texts and texts without words are alike. NULL ids stay, and are never the
     least unless alone; repeated rows repeat. Other columns are not read; an empty table gives no rows.
@@ -242,12 +262,17 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     stars = _verified(met.filter("a <> b").select("a", "b"), texts, similarity, shingle)
     star = components(stars).select(F.col("node").alias("a"), F.col("label").alias("star"))
     named = stage_once(met.join(star, "a", "left").select("band", "a", F.coalesce("star", "a").alias("star")), "named")
-    other = named.select("band", F.col("a").alias("b"), F.col("star").alias("star_b"))
-    rest = named.join(other, "band").filter("a < b AND star <> star_b").select("a", "b")
+    mixed = named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("band")
+    mixed = stage_once(named.join(mixed, "band"), "mixed")
+    ends = mixed.select("band", "star").distinct()
+    across = ends.withColumnRenamed("star", "x").join(ends.withColumnRenamed("star", "y"), "band").filter("x < y")
+    rest = across.join(mixed.select("band", F.col("star").alias("x"), F.col("a").alias("p")), ["band", "x"])
+    rest = rest.join(mixed.select("band", F.col("star").alias("y"), F.col("a").alias("q")), ["band", "y"])
+    rest = rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     links = stars.unionByName(_verified(rest, texts, similarity, shingle))
     labels = components(links).select(F.col("node").alias("text_key"), "label")
     of_text = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
     of_text = stage_once(of_text.join(labels, "text_key", "left").select("text_key", "first_id", F.coalesce("label", "text_key").alias("label")), "texts")
     firsts = stage_once(of_text.groupBy("label").agg(F.min("first_id").alias("component_id")), "firsts")
     named = stage_once(of_text.join(firsts, "label").select("text_key", "component_id"), "classes")
-    return rows.join(named, "text_key").select("doc_id", "component_id")
+    return rows, named

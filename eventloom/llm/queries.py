@@ -88,7 +88,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_minhash_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.edited_comparison(table(spark, sf_dir, "documents"))
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
 @query("minhash_near_copies")

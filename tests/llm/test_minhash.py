@@ -82,3 +82,15 @@ def test_near_copies_equal_brute_force(frame, spark):
     got = minhash.near_copies(frame(docs, "doc_id BIGINT, text STRING"))
     assert sorted(map(str, ((r.doc_id, r.component_id) for r in got.collect()))) == sorted(str((d, least[g])) for (d, _), g in zip(docs, label))
     assert minhash.near_copies(spark.createDataFrame([], "doc_id BIGINT, text STRING, bands INT")).count() == 0
+
+
+def test_fingerprints_carry_the_near_copy_class(frame, spark, tmp_path):
+    from eventloom.llm.queries import QUERIES
+
+    words = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(words[:79] + [f"end{i}"])) for i in range(8)] + [(20, "other text of a few words"), (21, None), (22, ""), (22, ""), (None, " ".join(words))]
+    frame(docs, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op6_minhash_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == sorted(
+        [(i, 0) for i in range(8)] + [(20, 20), (21, 21), (22, 21), (22, 21), (None, 0)], key=str)
+    assert all(len(r.fingerprint) == 512 for r in out)
