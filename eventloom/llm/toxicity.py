@@ -41,13 +41,21 @@ def terms_of(text: Column) -> Column:
     return F.array_union(words, F.transform(words, lambda w: F.concat(F.lit("^"), F.substring(w, 1, PREFIX))))
 
 
+def sample_below(rows: int, total: int) -> int | None:
+    """Signed 64-bit hashes below this are about ``rows`` of ``total``; None if all are wanted."""
+    return None if rows >= total else -(1 << 63) + (rows << 64) // total
+
+
+def usable_labels(labels: DataFrame, categories: dict[str, Column]) -> DataFrame:
+    """(doc_id, one 0/1 column per category) of the labels without NULL."""
+    return labels.select("doc_id", *[c.cast("double").alias(f"is_{n}") for n, c in categories.items()]).na.drop()
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = TRAINING_ROWS) -> DataFrame:
     """(fold, terms, one 0/1 column per category) of about ``rows`` labelled documents, whatever their number."""
-    marked = labels.select("doc_id", *[c.cast("double").alias(f"is_{n}") for n, c in categories.items()]).na.drop()
-    total = marked.count()
-    share = min(1.0, rows / max(total, 1))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-    few = marked.filter(drawn).dropDuplicates(["doc_id"])
+    marked = usable_labels(labels, categories)
+    below = sample_below(rows, marked.count())
+    few = (marked if below is None else marked.filter(F.xxhash64("doc_id") < F.lit(below))).dropDuplicates(["doc_id"])
     # The sample has its bound from ``rows``, so it may be broadcast to the scan of the documents.
     found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     return found.select(
@@ -141,11 +149,14 @@ def judge(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     ``docs`` has ``doc_id`` and ``text``; ``labels`` has ``doc_id`` and what ``categories`` reads. Every row is scored
     over its whole text, also those learned from. NULL and empty texts have no terms and get the base rates.
     Labels that are NULL or whose document is missing are not used; a document labelled twice counts once;
-    without any usable label nothing is toxic. Repeated rows repeat; columns named like the results are
+    without any usable label nothing is toxic, and if there are some but none is drawn to learn from, this is
+    an error. Repeated rows repeat; columns named like the results are
     replaced. An empty table gives no rows.
     """
     categories = categories or categories_of_labels()
     training = stage_once(training_rows(docs, labels, categories), "labelled")
+    if training.isEmpty() and not usable_labels(labels, categories).join(docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
+        raise ValueError("No usable label was drawn for training")
     chain = fit_chain(training, list(categories))
     scored = score(docs, chain, list(categories))
     return scored.withColumn("toxic", F.col(f"p_{list(categories)[-1]}") >= threshold)

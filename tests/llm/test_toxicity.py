@@ -58,3 +58,16 @@ def test_training_rows_are_bounded(frame):
     n = toxicity.training_rows(docs, labels, toxicity.categories_of_labels(), rows=500).count()
     assert 350 < n < 650
     assert toxicity.training_rows(docs, labels, {"toxic": F.col("toxic")}, rows=10_000).count() == 4000
+
+
+def test_sample_of_very_many_labels_and_an_empty_sample(frame, monkeypatch):
+    for total in (24_000, 7_000_000_000, 24_000_000_000, 10**15):
+        share = (toxicity.sample_below(12_000, total) + 2**63) / 2**64
+        assert abs(share * total / 12_000 - 1) < 1e-3
+    assert toxicity.sample_below(12_000, 12_000) is None
+    docs = frame([(1, "a"), (2, "b")], "doc_id BIGINT, text STRING")
+    labels = frame([(1, 1, 0), (2, 1, 1)], "doc_id BIGINT, quality INT, toxic INT")
+    drawn = toxicity.training_rows
+    monkeypatch.setattr(toxicity, "training_rows", lambda *a: drawn(*a).limit(0))
+    with pytest.raises(ValueError):
+        toxicity.judge(docs, labels)
