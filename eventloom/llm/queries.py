@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, decontaminate, linededup, minhash, secrets, simhash, substrings, toxicity, urlgraph, warc
+from eventloom.llm import bpe, centroids, decontaminate, linededup, minhash, secrets, simhash, substrings, toxicity, urlgraph, warc
 
-from eventloom.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP4_SQL, OP9_SQL
+from eventloom.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP4_SQL, OP9_SQL, OP11_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,13 @@ URL_RULES = [
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlgraph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_shallot_clusters", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
+    found = centroids.cluster(spark, table(spark, sf_dir, "embeddings"), place)
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256"),
+    )

@@ -195,3 +195,34 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
   sha256(CASE WHEN coalesce(n_kept, 0) = 0 AND coalesce(n_lines, 0) > 0 THEN '' ELSE text END) AS text_sha256
 FROM d LEFT JOIN texts USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
+
+
+def _round(n: int) -> str:
+    """Nearest centroids (equal distances: the smaller number), then the exact floor of every component's mean."""
+    return rf"""
+a{n} AS MATERIALIZED (
+  SELECT r, min({{'d': d, 'c': c}}) AS m
+  FROM (SELECT r, c, sum((x - y) * (x - y)) AS d FROM parts JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r),
+c{n + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce((s - (s % n + n) % n) // n, y) AS y
+  FROM c{n} LEFT JOIN (SELECT m.c AS c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN parts USING (r) GROUP BY 1, 2) USING (c, i)),"""
+
+
+OP11_SQL = (
+    r"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+parts AS MATERIALIZED (SELECT r, i, v[i] AS x FROM kept, range(1, 65) AS t(i)),
+c0 AS MATERIALIZED (
+  SELECT c, i, v[i] AS y
+  FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL), range(1, 65) AS t(i)
+  WHERE c < 16),"""
+    + _round(0) + _round(1) + _round(2) + _round(3) + r"""
+named AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+  CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN named ON c = m.c
+"""
+)
