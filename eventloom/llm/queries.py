@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, centroids, decontaminate, linededup, minhash, secrets, simhash, substrings, toxicity, urlgraph, warc
+from eventloom.llm import bpe, centroids, decontaminate, linededup, minhash, secrets, simhash, substrings, toxicity, trie, urlgraph, warc
 
-from eventloom.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP4_SQL, OP9_SQL, OP11_SQL
+from eventloom.llm.sql import OP1_SQL, OP2_SQL, OP3_SQL, OP4_SQL, OP9_SQL, OP11_SQL, OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
         F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256"),
     )
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = trie.trie_of_conversations(table(spark, sf_dir, "conversations"))
+    empty = F.sha2(F.lit(""), 256)
+    return nodes.join(trie.list_digests(ends), ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", empty)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
+    )

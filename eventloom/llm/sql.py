@@ -226,3 +226,32 @@ SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
 FROM a3 JOIN kept USING (r) JOIN named ON c = m.c
 """
 )
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS u,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(u ORDER BY p) AS us FROM t GROUP BY conv_id),
+shared AS (
+  SELECT conv_id, us, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: ord(d)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h
+  FROM own),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.us[1:h], []), s.us[h + 1:]) AS path FROM shared s LEFT JOIN own b ON b.conv_id = s.base),
+nodes AS MATERIALIZED (
+  SELECT path[1:d] AS prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = d), '') AS ends
+  FROM (SELECT conv_id, path, unnest(generate_series(0, len(path))) AS d FROM rebuilt) GROUP BY 1, 2),
+tree AS MATERIALIZED (
+  SELECT n.*, p.conv_id AS parent_conv_id, CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * strlen(n.prefix[n.depth].t) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM tree WHERE depth > 0 GROUP BY 1, 2),
+full_tree AS MATERIALIZED (SELECT tree.*, coalesce(n_children, 0) AS n_children FROM tree LEFT JOIN kids USING (conv_id, depth))
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves,
+  CAST(sum(b.saved) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM full_tree a JOIN full_tree b ON b.depth >= a.depth AND b.prefix[1:a.depth] = a.prefix
+GROUP BY a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends
+"""
