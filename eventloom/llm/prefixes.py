@@ -11,6 +11,11 @@ from eventloom.operators.scans import running
 from eventloom.session import stage_once
 
 
+def content_hashes() -> list[Column]:
+    """Two 64-bit hashes, ``a`` and ``b``, of the non-null columns ``role`` and ``text``."""
+    return [F.xxhash64(F.lit(1), "role", "text").alias("a"), F.xxhash64(F.lit(2), "text", "role").alias("b")]
+
+
 def ordered_turns(conversations: DataFrame, carry: Mapping[str, Column]) -> DataFrame:
     """(conv_id, position from 1, a, b, carry...): turns in order, and two 64-bit hashes of role and text.
 
@@ -23,7 +28,7 @@ def ordered_turns(conversations: DataFrame, carry: Mapping[str, Column]) -> Data
     )
     hashed = plain.select(
         "conv_id", F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.lit(1).cast("bigint").alias("_one"),
-        F.xxhash64(F.lit(1), "role", "text").alias("a"), F.xxhash64(F.lit(2), "text", "role").alias("b"), *[c.alias(n) for n, c in carry.items()],
+        *content_hashes(), *[c.alias(n) for n, c in carry.items()],
     )
     return running(hashed, ["conv_id"], ["_turn", "_role", "a", "b"], ["conv_id", "a", "b", *carry], {"position": "_one"})
 
