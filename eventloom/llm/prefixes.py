@@ -61,7 +61,8 @@ def prefix_paths(turns: DataFrame, distinct: DataFrame, root: int, carry: list[s
     )
     sums = dict(sums or {})
     walked = running(kept, ["conv_id"], ["depth"], ["conv_id", "depth", "n", *carry], sums, {"x": "_x", "y": "_y"})
-    nodes = walked.groupBy("depth", "x", "y").agg(F.min("conv_id").alias("owner"), F.sum("n").alias("n_convs"))
+    # Written first, so that the join below can split a prefix that most conversations share.
+    nodes = stage_once(walked.groupBy("depth", "x", "y").agg(F.min("conv_id").alias("owner"), F.sum("n").alias("n_convs")), "prefixes")
     named = stage_once(walked.join(nodes, ["depth", "x", "y"]).select("conv_id", "depth", "owner", "n_convs", *carry, *sums), "named")
     above = named.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("owner").alias("parent_owner"))
     out = named.join(above, ["conv_id", "depth"], "left").select(

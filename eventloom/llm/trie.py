@@ -151,13 +151,15 @@ def _roll_small(nodes: DataFrame) -> DataFrame:
     return nodes.select(*_NODE).repartition(*keys).sortWithinPartitions(*keys, "depth").mapInArrow(run, out)
 
 
-def _split(active: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One level for large components: (centroids with their sums done, the other nodes in their new components)."""
+def _split(active: DataFrame, large: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One level for the components in ``large``: (centroids with their sums done, the other nodes in their new components)."""
     top = ["top_conv", "top_depth"]
-    totals = active.groupBy(*top).agg(F.max("size").alias("total"))
-    half = active.join(totals, top).filter(F.col("size") * 2 >= F.col("total"))
-    chosen = half.groupBy(*top).agg(F.min_by(F.struct("conv_id", "depth", "size"), "size").alias("g"))
-    centroids = stage_once(chosen.select(*top, F.col("g.conv_id").alias("g_conv"), F.col("g.depth").alias("g_depth"), F.col("g.size").alias("g_size")), "centroids")
+    active = active.join(large, top)
+    half = active.filter(F.col("size") * 2 >= F.col("total"))  # a path from the top, so sizes differ
+    centroids = stage_once(half.groupBy(*top).agg(
+        F.min_by("conv_id", "size").alias("g_conv"), F.min_by("depth", "size").alias("g_depth"), F.min("size").alias("g_size"),
+    ), "centroids")
+    active = active.drop("total")
     # The path of a node's owner names the node one step below the centroid, and thereby whether the centroid is above.
     step = paths.select(F.col("conv_id"), F.col("depth").alias("step_depth"), F.col("owner").alias("child_conv"), F.col("parent_owner").alias("via_conv"))
     placed = active.join(centroids, top).withColumn("step_depth", F.col("g_depth") + 1).join(step, ["conv_id", "step_depth"], "left")
@@ -189,16 +191,16 @@ def centroid_rollup(nodes: DataFrame, paths: DataFrame, root: int, local: int =
     components at once), then within tasks that get whole small components.
     """
     zero = F.lit(0).cast("bigint")
-    active = nodes.select(
+    active = stage_once(nodes.select(
         "conv_id", "depth", "parent_conv_id", F.lit(root).cast("bigint").alias("top_conv"), zero.alias("top_depth"), "size", "leaf", "saved", zero.alias("n_leaves"), zero.alias("saved_tokens"),
-    )
+    ), "whole")
     done, small, top = [], [], ["top_conv", "top_depth"]
     while True:
-        large = stage_once(active.groupBy(*top).agg(F.max("size").alias("total")).filter(F.col("total") > local).select(*top), "large")
+        large = stage_once(active.groupBy(*top).agg(F.max("size").alias("total")).filter(F.col("total") > local), "large")
         small.append(active.join(large, top, "left_anti"))
         if large.isEmpty():
             break
-        centroids, active = _split(active.join(large, top, "left_semi"), paths)
+        centroids, active = _split(active, large, paths)
         done.append(centroids)
     rest = small[0]
     for more in small[1:]:
