@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.components import components
@@ -81,51 +83,105 @@ def _hex(rows: np.ndarray) -> list[str]:
     return [r.tobytes().hex() for r in rows]
 
 
+# --- one signature per row ------------------------------------------------------------------------------------------
+
+
+def _key() -> Column:
+    return text_key(F.coalesce("text", F.lit("")))
+
+
+def signed_rows(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(doc_id, text_key, print) of every row, in the shared folder: the only pass that signs texts as they stand."""
+
+    def scan(batches):
+        for batch in batches:
+            for low, high in blocks(batch.column(2), 4 << 20):
+                piece = batch.slice(low, high - low)
+                prints = signatures(piece.column(2), shingle, permutations)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array([r.tobytes() for r in prints], pa.binary())], names=["doc_id", "text_key", "print"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("text_key"), "text")
+    return stage_once(rows.mapInArrow(scan, "doc_id BIGINT, text_key BIGINT, print BINARY"), "signed")
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
 # --- documents in order ---------------------------------------------------------------------------------------------
 
 
-def _chunks(docs: DataFrame, chunks: int) -> DataFrame:
-    """``docs`` with ``chunk``: consecutive ranges of ``doc_id`` of about equal size, NULL ids last."""
-    shares = [i / chunks for i in range(1, chunks)]
-    cuts = sorted({float(c) for c in docs.approxQuantile("doc_id", shares, 0.25 / chunks)}) if shares else []
-    splits = [-float("inf"), *(cuts or [0.0]), float("inf")]
-    doubles = docs.withColumn("_at", F.col("doc_id").cast("double"))
+def _placed(rows: DataFrame, doc_cuts: list[float], key_cuts: dict[float, list[int]]) -> DataFrame:
+    """``rows`` with ``chunk`` and ``part``: consecutive ranges of ``doc_id`` (NULL last), and ranges of ``text_key`` within one id."""
+    splits = [-float("inf"), *(doc_cuts or [0.0]), float("inf")]
+    doubles = rows.withColumn("_at", F.col("doc_id").cast("double"))
     placed = Bucketizer(splits=splits, inputCol="_at", outputCol="chunk", handleInvalid="keep").transform(doubles).drop("_at")
-    return placed.withColumn("chunk", F.coalesce("chunk", F.lit(float(len(splits)))))
+    placed = placed.withColumn("chunk", F.coalesce("chunk", F.lit(float(len(splits)))))
+    part = F.lit(0)
+    for chunk, cuts in key_cuts.items():
+        below = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= F.col("text_key")))
+        part = F.when(F.col("chunk") == chunk, below).otherwise(part)
+    return placed.withColumn("part", part)
 
 
-def _in_order(docs: DataFrame) -> DataFrame:
-    """Rows (chunk, tail, doc_id, text) sorted within partitions; each chunk ends with the row that follows it.
+def _cuts(signed: DataFrame, chunks: int) -> tuple[list[float], dict[float, list[int]]]:
+    """Cuts that deal rows out evenly in order of (doc_id, text_key); at most a few per chunk come to the driver.
 
-    Only the first row of each chunk is sent twice, to its own chunk and, as its tail, to the one before;
-    the first of all follows the last.
+    Each cut of the ids is followed by one right behind it, so an id with many rows, or none at all, is a chunk of its
+    own, which is then cut by ``text_key``. Only rows equal in both stay together.
+    """
+    shares = [i / chunks for i in range(1, chunks)]
+    found = signed.approxQuantile("doc_id", shares, 0.25 / chunks) if shares else []
+    doc_cuts = sorted({float(c) for c in found} | {float(c) + 1 for c in found})
+    sizes = _placed(signed.select("doc_id", "text_key"), doc_cuts, {}).groupBy("chunk").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+    ).collect()
+    fair = max(1000, 2 * sum(r.n for r in sizes) // chunks)
+    many = {r.chunk: -(-r.n // fair) for r in sizes if r.n > fair and r.low == r.high}
+    step = lambda n, i: -(1 << 63) + (1 << 64) * i // n
+    return doc_cuts, {chunk: [step(n, i) for i in range(1, n)] for chunk, n in many.items()}
+
+
+def _in_order(docs: DataFrame, signed: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Rows (kind, doc_id, text, print, component_id), sorted within partitions; each piece ends with the row that follows it.
+
+    A document (kind 1) stands right behind a row with its print and class (kind 0). Only the first row of each piece
+    is sent twice: to its own piece and, as its tail (kind 2), to the one before; the first of all follows the last.
     """
     spark = docs.sparkSession
-    count = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), "text"), count)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    heads = rows.groupBy("chunk").agg(F.min(order).alias("head")).select("chunk", "head.doc_id", "head.text_key").orderBy("chunk").collect()
-    # One row per chunk, so at most 4 * shuffle partitions + 1 rows, whatever the input's size.
-    before = [(h.doc_id, h.text_key, heads[i - 1].chunk) for i, h in enumerate(heads)]
-    tails = spark.createDataFrame(before, "_id BIGINT, _key BIGINT, target DOUBLE")
-    match = rows["doc_id"].eqNullSafe(tails["_id"]) & (rows["text_key"] == tails["_key"])
-    placed = rows.join(F.broadcast(tails), match, "left").withColumn(
-        "to", F.explode(F.filter(
-            F.array(F.struct("chunk", F.lit(0).alias("tail")), F.struct(F.col("target").alias("chunk"), F.lit(1).alias("tail"))),
-            lambda t: t["chunk"].isNotNull(),
-        )),
+    cuts = _cuts(signed, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    piece = ["chunk", "part"]
+    heads = _placed(signed.select("doc_id", "text_key"), *cuts).groupBy(*piece).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("head"),
+    ).select(*piece, "head.doc_id", "head.text_key").orderBy(*piece).collect()
+    # One row per piece, so at most a small multiple of the shuffle partitions, whatever the input's size.
+    before = [(h.chunk, h.part, h.doc_id, h.text_key, heads[i - 1].chunk, heads[i - 1].part) for i, h in enumerate(heads)]
+    tails = spark.createDataFrame(before, "chunk DOUBLE, part INT, _id BIGINT, _key BIGINT, to_chunk DOUBLE, to_part INT")
+    rows = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("text_key"), "text"), *cuts).alias("r")
+    match = F.expr("r.chunk = t.chunk AND r.part = t.part AND r.doc_id <=> t._id AND r.text_key = t._key")
+    places = F.filter(
+        F.array(F.struct(F.col("r.chunk"), F.col("r.part"), F.lit(1).alias("kind")), F.struct(F.col("to_chunk").alias("chunk"), F.col("to_part").alias("part"), F.lit(2).alias("kind"))),
+        lambda t: t["chunk"].isNotNull(),
+    )
+    rows = rows.join(F.broadcast(tails).alias("t"), match, "left").withColumn("to", F.explode(places)).select(
+        "to.*", F.col("r.doc_id"), F.col("r.text_key"), "text", F.lit(None).cast("binary").alias("print"), F.lit(None).cast("bigint").alias("component_id"),
     )
-    placed = placed.select("to.chunk", "to.tail", "doc_id", "text_key", "text")
-    placed = placed.repartition("chunk").sortWithinPartitions("chunk", "tail", F.col("doc_id").asc_nulls_last(), "text_key")
-    return placed.select("chunk", "tail", "doc_id", "text", text_key(F.coalesce("text", F.lit(""))).alias("text_key"))
+    about = signed.withColumn("component_id", F.lit(None).cast("bigint")) if classes is None else signed.join(classes, "text_key")
+    about = _placed(about, *cuts).select(*piece, F.lit(0).alias("kind"), "doc_id", "text_key", F.lit(None).cast("string").alias("text"), "print", "component_id")
+    every = rows.unionByName(about).repartition(*piece)
+    every = every.sortWithinPartitions(*piece, F.col("kind") == 2, F.col("doc_id").asc_nulls_last(), "text_key", "kind")
+    return every.select("chunk", "part", "kind", "doc_id", "text", "print", "component_id")
 
 
 def _pairwise(shingle: int, permutations: int):
-    """Each row with its follower; a batch's last row waits for the next batch."""
+    """Each document with its follower; the last document of a block waits for the next block."""
 
-    def emit(chunk, tail, ids, texts, keys, prints):
-        texts = [t or "" for t in texts]
-        own = [i for i in range(len(ids) - 1) if not tail[i]]
+    def emit(rows):
+        own = [i for i in range(len(rows) - 1) if not rows[i][4]]  # a tail only follows
+        ids, texts, _, classes, _ = zip(*rows)
+        prints = np.stack([r[2] for r in rows])
         followers = [i + 1 for i in own]
         edited = []
         for i, j in zip(own, followers):
@@ -137,26 +193,36 @@ def _pairwise(shingle: int, permutations: int):
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
             pa.array(_hex(prints[own]), pa.string()), pa.array(_hex(other), pa.string()),
             pa.array(likeness(prints[own], other)), pa.array(likeness(prints[own], prints[followers])),
-            pa.array([keys[i] for i in own], pa.int64()),
-        ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_key"])
+            pa.array([classes[i] for i in own], pa.int64()),
+        ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
 
     def compare(batches):
-        held = None
+        rows, about = [], (None, None)
         for batch in batches:
-            for low, high in blocks(batch.column(3), 4 << 20):
-                piece = batch.slice(low, high - low)
-                prints = signatures(piece.column(3), shingle, permutations)
-                columns = [c.to_pylist() for c in piece.columns]
-                if held is not None:
-                    columns = [[h, *c] for h, c in zip(held[0], columns)]
-                    prints = np.concatenate([held[1], prints])
-                if len(columns[0]) > 1:
-                    yield emit(*columns, prints)
-                held = [c[-1] for c in columns], prints[-1:]
+            for low, high in blocks(batch.column("text"), 4 << 20):
+                columns = [batch.column(c).slice(low, high - low).to_pylist() for c in ("kind", "doc_id", "text", "print", "component_id")]
+                for kind, doc, text, sig, component in zip(*columns):
+                    if kind == 0:
+                        about = (np.frombuffer(sig, "<u2"), component)
+                    elif kind == 1:
+                        rows.append((doc, text or "", *about, False))
+                    else:
+                        rows.append((doc, text or "", signatures(pa.array([text], pa.string()), shingle, permutations)[0], None, True))
+                if len(rows) > 1:
+                    yield emit(rows)
+                    rows = rows[-1:]
 
     return compare
 
 
+def _compared(docs: DataFrame, signed: DataFrame, classes: DataFrame | None, shingle: int, permutations: int) -> DataFrame:
+    schema = (
+        "doc_id BIGINT, n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, edited_fingerprint STRING, "
+        "near_edited DOUBLE, near_next DOUBLE, component_id BIGINT"
+    )
+    return _in_order(docs, signed, classes).mapInArrow(_pairwise(shingle, permutations), schema)
+
+
 def edited_comparison(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
@@ -166,113 +232,197 @@ def edited_comparison(docs: DataFrame, shingle: int = SHINGLE, permutations: int
     which is like itself (1) and nothing else. Repeated rows follow each other. A single row is its own
     follower. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
     """
-    return _compared(docs, shingle, permutations).drop("text_key")
-
-
-def _compared(docs: DataFrame, shingle: int, permutations: int) -> DataFrame:
-    """The columns of ``edited_comparison`` and the ``text_key`` of the text, empty for NULL."""
-    schema = (
-        "doc_id BIGINT, n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, edited_fingerprint STRING, "
-        "near_edited DOUBLE, near_next DOUBLE, text_key BIGINT"
-    )
-    return _in_order(docs).mapInArrow(_pairwise(shingle, permutations), schema)
+    return _compared(docs, signed_rows(docs, shingle, permutations), None, shingle, permutations).drop("component_id")
 
 
 # --- near copies ----------------------------------------------------------------------------------------------------
 
 
-def _band_keys(shingle: int, permutations: int):
-    """(doc_id, text_key, bands) rows; a text without words has the single band 0."""
-
-    def scan(batches):
-        for batch in batches:
-            for low, high in blocks(batch.column(2), 4 << 20):
-                piece = batch.slice(low, high - low)
-                prints = signatures(piece.column(2), shingle, permutations)[:, :BANDS * ROWS].astype(np.uint64)
-                keys = np.zeros((len(prints), BANDS), np.uint64)
-                for j in range(ROWS):
-                    keys = mix(keys * np.uint64(31) + prints[:, j::ROWS] + np.uint64(1))
-                keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-                flat = pa.array(keys.ravel().view(np.int64))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), bands], names=["doc_id", "text_key", "bands"])
-
-    return scan
-
-
-def _shingle_sets(shingle: int):
-    """(text_key, shingles) rows: the distinct shingle values of each text."""
+def _band_keys(prints: np.ndarray) -> np.ndarray:
+    """BANDS keys per print."""
+    values = prints[:, :BANDS * ROWS].astype(np.uint64)
+    keys = np.zeros((len(values), BANDS), np.uint64)
+    for j in range(ROWS):
+        keys = mix(keys * np.uint64(31) + values[:, j::ROWS] + np.uint64(1))
+    return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _band_rows(batches):
+    """(band, text_key) of every distinct text of a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            keys, at = np.unique(batch.column("text_key").to_numpy(), return_index=True)
+            bands = _band_keys(_prints(batch.column("print").take(pa.array(at))))
+            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(keys, BANDS))], names=["band", "text_key"])
+
+
+def _stars(batches):
+    """(band, a, b, at) per member a of each band with two texts or more, b its first; and per range its first and last band (at: range number)."""
+    here, last, first = TaskContext.get().partitionId(), None, None  # last: band, key, first key of the band
+
+    def rows(band, a, b, at):
+        n = len(band)
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (band, a, b)] + [pa.array([at] * n, pa.int32())], names=["band", "a", "b", "at"])
+
+    for batch in batches:
+        band, key = (batch.column(c).to_numpy() for c in ("band", "text_key"))
+        if not len(band):
+            continue
+        if last is not None:  # the open band's first text goes on at the front
+            band, key = np.concatenate([[last[0]], band]), np.concatenate([[last[2]], key])
+        fresh = np.ones(len(band), bool)
+        fresh[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+        band, key = band[fresh], key[fresh]
+        new = np.ones(len(band), bool)
+        new[1:] = band[1:] != band[:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
+        more = np.flatnonzero(~new & (key != key[start]))
+        centers = np.unique(start[more])
+        yield rows(np.concatenate([band[more], band[centers]]), np.concatenate([key[more], key[centers]]), np.concatenate([key[start[more]], key[centers]]), None)
+        first = first or (band[0], key[0])
+        last = (band[-1], key[-1], key[start[-1]])
+    if last is not None:
+        yield rows([first[0], last[0]], [first[1], last[2]], [first[1], last[2]], here)
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """(band, a, b): members of every band that several texts share, each with the band's first text (itself included).
+
+    Band members are dealt out by ranges of (band, text), so a band of very many texts spreads over tasks, each with a
+    first text of its own; those are linked across the ranges, from one row per end of a range on the driver.
+    """
+    keys = ["band", "text_key"]
+    members = signed.select("text_key", "print").mapInArrow(_band_rows, "band BIGINT, text_key BIGINT")
+    found = members.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_stars, "band BIGINT, a BIGINT, b BIGINT, at INT")
+    found = stage_once(found, "met")
+    ends = defaultdict(list)
+    for r in found.filter("at IS NOT NULL").collect():
+        ends[r.at].append((r.band, r.a))
+    ranges, across = [ends[at] for at in sorted(ends)], []
+    for one, two in zip(ranges, ranges[1:]):
+        for band, a in one:
+            across += [(band, a, a), (band, b, a)] if (b := dict(two).get(band)) is not None and b != a else []
+            across += [(band, b, b)] if b is not None and b != a else []
+    plain = found.filter("at IS NULL").drop("at")
+    return plain.unionByName(signed.sparkSession.createDataFrame([tuple(map(int, r)) for r in across], "band BIGINT, a BIGINT, b BIGINT")) if across else plain
+
+
+#: Bits of the filter that keeps texts out which meet no other; at any number of texts it only saves work.
+FILTER_BITS = 1 << 24
+WORD_BITS = 1 << 15
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(text_key, shingles): the distinct shingle values of the texts with a wanted ``a``, once each."""
+    slot = F.pmod(F.col("a"), F.lit(FILTER_BITS))
+    words = wanted.select(F.floor(slot / WORD_BITS).cast("int").alias("word"), (slot % WORD_BITS).alias("bit")).groupBy("word").agg(
+        F.bitmap_construct_agg("bit").alias("bits"),
+    ).collect()  # at most FILTER_BITS bits
+    filled = np.zeros(FILTER_BITS // 8, np.uint8)
+    for w in words:
+        filled[w.word * WORD_BITS // 8:(w.word + 1) * WORD_BITS // 8] = np.frombuffer(w.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def scan(batches):
         for batch in batches:
-            for low, high in blocks(batch.column(1), 4 << 20):
-                piece = batch.slice(low, high - low)
+            keys = batch.column(0).to_numpy()
+            at = np.mod(keys, FILTER_BITS)
+            mine = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            mine = mine[np.unique(keys[mine], return_index=True)[1]]
+            part = batch.take(pa.array(np.sort(mine)))
+            for low, high in blocks(part.column(1), 4 << 20):
+                piece = part.slice(low, high - low)
                 values, first = shingle_values(piece.column(1), shingle)
-                sets = [np.unique(values[a:b]).astype(np.int64) for a, b in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+                sets = [np.unique(values[a:b]).astype(np.uint32).view(np.int32) for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["text_key", "shingles"])
 
-    return scan
+    found = docs.select(_key().alias("text_key"), "text").mapInArrow(scan, "text_key BIGINT, shingles ARRAY<INT>")
+    return stage_once(found.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the similarity."""
-    pairs = stage_once(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
-    texts = docs.select(text_key("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = stage_once(texts.mapInArrow(_shingle_sets(shingle), "text_key BIGINT, shingles ARRAY<BIGINT>"), "shingles")
+def _likeness_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, alike) of the pairs: the Jaccard similarity of the shingle sets, two empty ones being alike."""
     left = sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     both = F.size("of_a") + F.size("of_b") - shared
-    alike = F.when(both > 0, shared / both).otherwise(1.0)
-    return stage_once(pairs.join(left, "a").join(right, "b").filter(alike >= similarity).select("a", "b"), "verified")
+    return stage_once(pairs.join(left, "a").join(right, "b").select("a", "b", F.when(both > 0, shared / both).otherwise(1.0).alias("alike")), "alike")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``, by the classes of ``near_classes``; repeated rows repeat."""
-    rows, named = near_classes(docs, similarity, shingle, permutations)
-    return rows.join(named, "text_key").select("doc_id", "component_id")
+def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the group of ``column``, itself where it has none."""
+    names = labels.select(F.col("node").alias(column), F.col("label").alias("_label"))
+    return rows.join(names, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
-def fingerprints(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
-    """The columns of ``edited_comparison`` and ``component_id``, the near-copy class, for every row of ``docs``."""
-    _, named = near_classes(docs, similarity, shingle, permutations)
-    return _compared(docs, shingle, permutations).join(named, "text_key").drop("text_key")
+def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) between texts with a common band and at least the similarity, enough to connect all such texts.
 
+    First each text is compared with the text that is first in most of its bands, then with the firsts of its other
+    bands that are not connected to it yet. In bands that still hold several groups the least texts of the groups are
+    compared. Jaccard distance is a metric: two members p, q of groups with least texts x, y are at least
+    d(x, y) - d(p, x) - d(q, y) apart, so only members are compared whom this leaves within reach. A large group of near
+    copies yields a few comparisons per text, and so do two groups that share a band.
+    """
+    met = stage_once(_met(signed), "members")
+    sets = _shingle_sets(docs, met.select("a"), shingle)
+    pairs = met.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = stage_once(pairs, "pairs")
+    good = F.col("alike") >= similarity
+    links = _likeness_of(pairs.groupBy("a").agg(F.max_by("b", "n").alias("b")), sets).filter(good).select("a", "b")
+    labels = components(links)
+    rest = _labelled(_labelled(pairs.select("a", "b"), "a", labels, "x"), "b", labels, "y").filter("x <> y").select("a", "b")
+    more = _likeness_of(rest, sets).filter(good).select("a", "b")
+    links = stage_once(links.unionByName(more), "links")
+    labels = components(links)
+
+    named = stage_once(_labelled(met.select("band", "a").distinct(), "a", labels, "star"), "named")
+    mixed = stage_once(named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("band"), "mixed")
+    mixed = stage_once(named.join(mixed, "band"), "mixed")
+    ends = stage_once(mixed.select("band", "star").distinct(), "ends")
+    across = ends.withColumnRenamed("star", "a").join(ends.withColumnRenamed("star", "b"), "band").filter("a < b")
+    apart = _likeness_of(across.select("a", "b").distinct(), sets)
+    links = links.unionByName(apart.filter(good).select("a", "b"))
+    far = apart.filter(~good).select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("alike")).alias("far"))
+    own = _likeness_of(mixed.filter("a <> star").select("a", F.col("star").alias("b")).distinct(), sets)
+    off = mixed.join(own.select("a", (1 - F.col("alike")).alias("off")), "a", "left").select("band", "a", "star", F.coalesce("off", F.lit(0.0)).alias("off"))
+    off = stage_once(off, "off")
+    wide = off.groupBy("band", "star").agg(F.max("off").alias("wide"))
+    reach = 1 - similarity + 1e-9
+    spans = across.select("band", F.col("a").alias("x"), F.col("b").alias("y")).join(far, ["x", "y"])
+    spans = spans.join(wide.select("band", F.col("star").alias("x"), F.col("wide").alias("wide_x")), ["band", "x"])
+    spans = spans.join(wide.select("band", F.col("star").alias("y"), F.col("wide").alias("wide_y")), ["band", "y"]).filter(F.col("far") - F.col("wide_x") - F.col("wide_y") <= reach)
+    spans = stage_once(spans, "spans")
+    left = spans.join(off.select("band", F.col("star").alias("x"), F.col("a").alias("p"), F.col("off").alias("off_p")), ["band", "x"])
+    left = left.filter(F.col("far") - F.col("off_p") - F.col("wide_y") <= reach)
+    both = left.join(off.select("band", F.col("star").alias("y"), F.col("a").alias("q"), F.col("off").alias("off_q")), ["band", "y"])
+    both = both.filter((F.col("far") - F.col("off_p") - F.col("off_q") <= reach) & ((F.col("p") != F.col("x")) | (F.col("q") != F.col("y"))))
+    last = _likeness_of(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), sets)
+    return links.unionByName(last.filter(good).select("a", "b"))
+
+
+def _classes(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(text_key, component_id): the least id among the texts linked to a text, itself included."""
+    labels = components(_links(docs, signed, similarity, shingle))
+    of_text = _labelled(signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id")), "text_key", labels, "label")
+    of_text = stage_once(of_text.select("text_key", "first_id", "label"), "texts")
+    firsts = stage_once(of_text.groupBy("label").agg(F.min("first_id").alias("component_id")), "firsts")
+    return stage_once(of_text.join(firsts, "label").select("text_key", "component_id"), "classes")
 
-def near_classes(docs: DataFrame, similarity: float, shingle: int, permutations: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, text_key, bands), and (text_key, component_id): the least id among texts linked to a text, itself included.
 
-    Texts whose sets of word shingles have at least the Jaccard similarity are linked. Candidates share a band
-    of the signature; their Jaccard similarity is computed from the sets. First every text meets the least of
-    each of its bands; what these verified stars connect need not be compared again, so a large group of near
-    copies doesn't yield all its pairs. Then texts of one band are compared across its stars, in bands that hold
-    more than one.
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(doc_id, component_id) for every row: the least id among the texts linked to a row's text, itself included.
 
-    Equal texts count once. NULL texts and texts without words are alike. NULL ids stay, and are never the
-    least unless alone; repeated rows repeat. Other columns are not read; an empty table gives no rows.
+    Texts whose sets of word shingles have at least the Jaccard similarity are linked if they share a band of the
+    signature; the similarity is computed from the sets. Equal texts count once. NULL texts and texts without words are
+    alike. NULL ids stay, and are never the least unless alone; repeated rows repeat. Other columns are not read; an
+    empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    rows = rows.mapInArrow(_band_keys(shingle, permutations), "doc_id BIGINT, text_key BIGINT, bands ARRAY<BIGINT>")
-    rows = stage_once(rows, "bands")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    members = rows.select("text_key", F.explode("bands").alias("band")).distinct()
-    least = stage_once(members.groupBy("band").agg(F.min("text_key").alias("b"), F.max("text_key").alias("top")).filter("b <> top"), "heads")
-    met = stage_once(members.join(least.select("band", "b"), "band").select("band", F.col("text_key").alias("a"), "b"), "met")
-    stars = _verified(met.filter("a <> b").select("a", "b"), texts, similarity, shingle)
-    star = components(stars).select(F.col("node").alias("a"), F.col("label").alias("star"))
-    named = stage_once(met.join(star, "a", "left").select("band", "a", F.coalesce("star", "a").alias("star")), "named")
-    mixed = named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("band")
-    mixed = stage_once(named.join(mixed, "band"), "mixed")
-    ends = mixed.select("band", "star").distinct()
-    across = ends.withColumnRenamed("star", "x").join(ends.withColumnRenamed("star", "y"), "band").filter("x < y")
-    rest = across.join(mixed.select("band", F.col("star").alias("x"), F.col("a").alias("p")), ["band", "x"])
-    rest = rest.join(mixed.select("band", F.col("star").alias("y"), F.col("a").alias("q")), ["band", "y"])
-    rest = rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    links = stars.unionByName(_verified(rest, texts, similarity, shingle))
-    labels = components(links).select(F.col("node").alias("text_key"), "label")
-    of_text = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    of_text = stage_once(of_text.join(labels, "text_key", "left").select("text_key", "first_id", F.coalesce("label", "text_key").alias("label")), "texts")
-    firsts = stage_once(of_text.groupBy("label").agg(F.min("first_id").alias("component_id")), "firsts")
-    named = stage_once(of_text.join(firsts, "label").select("text_key", "component_id"), "classes")
-    return rows, named
+    signed = signed_rows(docs, shingle, permutations)
+    return signed.select("doc_id", "text_key").join(_classes(docs, signed, similarity, shingle), "text_key").select("doc_id", "component_id")
+
+
+def fingerprints(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
+    """The columns of ``edited_comparison`` and ``component_id``, the class of ``near_copies``, for every row of ``docs``."""
+    signed = signed_rows(docs, shingle, permutations)
+    return _compared(docs, signed, _classes(docs, signed, similarity, shingle), shingle, permutations)

@@ -94,3 +94,41 @@ def test_fingerprints_carry_the_near_copy_class(frame, spark, tmp_path):
     assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == sorted(
         [(i, 0) for i in range(8)] + [(20, 20), (21, 21), (22, 21), (22, 21), (None, 0)], key=str)
     assert all(len(r.fingerprint) == 512 for r in out)
+
+
+def test_signature_equals_plain_minhash():
+    """All 128 values from universal hashes of every shingle value, one at a time."""
+    texts = ["a b c d e f g a b c d e f", "one two", "", None, "x " * 300 + "end"]
+    a, b = minhash.coefficients(minhash.PERMUTATIONS)
+    values, first = minhash.shingle_values(pa.array(texts, pa.string()), minhash.SHINGLE)
+    got = minhash.signatures(pa.array(texts, pa.string()))
+    for row, (low, high) in enumerate(zip(first, first[1:])):
+        for p in range(minhash.PERMUTATIONS):
+            hashed = [(int(a[p]) * int(v) + int(b[p])) % (1 << 64) for v in values[low:high]]
+            assert got[row, p] == ((min(hashed) >> 32) & 0xFFFF if hashed else 0xFFFF)
+
+
+def test_two_groups_that_share_bands_yield_pairs_in_proportion(spark, frame, monkeypatch):
+    made = []
+    plain = minhash._likeness_of
+    monkeypatch.setattr(minhash, "_likeness_of", lambda pairs, sets: (made.append(pairs.count()), plain(pairs, sets))[1])
+    common = [f"c{i}" for i in range(200)]
+    left, right = common + [f"l{i}" for i in range(70)], common + [f"r{i}" for i in range(70)]
+    bands = [set(minhash._band_keys(minhash.signatures(pa.array([" ".join(w)])))[0].tolist()) for w in (left, right)]
+    assert bands[0] & bands[1]  # else the test shows nothing
+    counts = []
+    for n in (40, 160):
+        made.clear()
+        docs = [(i, " ".join(left + [f"e{i}"])) for i in range(n)] + [(n + i, " ".join(right + [f"f{i}"])) for i in range(n)]
+        labels = {r.doc_id: r.component_id for r in minhash.near_copies(frame(docs, "doc_id BIGINT, text STRING")).collect()}
+        assert all(labels[i] == (0 if i < n else n) for i in range(2 * n))
+        counts.append(sum(made))
+    assert counts[1] < 6 * counts[0]
+
+
+def test_hot_and_missing_ids_are_cut_by_text(spark):
+    docs = spark.range(0, 6000, 1, 6).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 77, id)) AS doc_id", "concat('w', id % 2500, ' x y z') AS text")
+    signed = minhash.signed_rows(docs, permutations=128)
+    placed = minhash._placed(signed, *minhash._cuts(signed, 16))
+    assert placed.groupBy("chunk", "part").count().agg({"count": "max"}).first()[0] < 1500
+    assert minhash.edited_comparison(docs).count() == 6000
