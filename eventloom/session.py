@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,8 +70,33 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_once(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back, its size then known."""
+#: Folders written by ``stage_once`` inside the ``passing_stages`` blocks that are open, the innermost last.
+_OPEN_BLOCKS: list[list[str]] = []
+
+
+@contextmanager
+def passing_stages(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``stage_once`` wrote in the block when it ends, so that disk holds one step's tables at a time.
+
+    Whatever is needed later must be staged after the block, or inside it by ``stage_once(..., keep=True)``.
+    """
+    _OPEN_BLOCKS.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN_BLOCKS.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage_once(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, its size then known.
+
+    ``keep`` leaves it to the block around the innermost ``passing_stages``, if there is one.
+    """
     path = scratch_path(df.sparkSession, name)
+    block = len(_OPEN_BLOCKS) - (2 if keep else 1)
+    if block >= 0:
+        _OPEN_BLOCKS[block].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -168,3 +168,19 @@ def test_ranks_of_a_large_group_with_outliers_on_several_scales(spark):
     levels = quantiles.nearest_rank(df, [], "v", {"p1": 0.01, "p99": 0.99}).first()
     values = sorted(v for _, v in rows if v is not None)
     assert (levels.p1, levels.p99) == (values[-(-len(values) // 100) - 1], values[-(-len(values) * 99 // 100) - 1])
+
+
+def test_passing_stages_removes_its_tables_only(spark):
+    from eventloom.session import passing_stages, stage_once
+
+    before = stage_once(spark.range(3), "before")
+    with passing_stages(spark):
+        inner = stage_once(before.selectExpr("id + 1 AS id"), "inner")
+        kept = stage_once(inner, "kept", keep=True)
+        with passing_stages(spark):
+            handed = stage_once(kept, "handed", keep=True)
+        assert handed.count() == 3
+    assert [df.count() for df in (before, kept)] == [3, 3]
+    for gone in (inner, handed):
+        files = gone.inputFiles()
+        assert files and not any(spark._jvm.java.io.File(f.removeprefix("file://")).exists() for f in files)
