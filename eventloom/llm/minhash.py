@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.components import components
 from eventloom.llm.simhash import text_key
 from eventloom.llm.words import blocks, mix, printed_table, split_words, window_hashes, word_hashes
-from eventloom.session import stage_once
+from eventloom.session import passing_stages, stage_once
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -147,8 +147,8 @@ def _cuts(signed: DataFrame, chunks: int) -> tuple[list[float], dict[float, list
 def _in_order(docs: DataFrame, signed: DataFrame, classes: DataFrame | None) -> DataFrame:
     """Rows (kind, doc_id, text, print, component_id), sorted within partitions; each piece ends with the row that follows it.
 
-    A document (kind 1) stands right behind a row with its print and class (kind 0). Only the first row of each piece
-    is sent twice: to its own piece and, as its tail (kind 2), to the one before; the first of all follows the last.
+    A document (kind 2) stands right behind rows with its print (kind 0) and class (kind 1). Only the first row of each
+    piece is sent twice: to its own piece and, as its tail (kind 3), to the one before; the first of all follows the last.
     """
     spark = docs.sparkSession
     cuts = _cuts(signed, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -162,16 +162,21 @@ def _in_order(docs: DataFrame, signed: DataFrame, classes: DataFrame | None) ->
     rows = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("text_key"), "text"), *cuts).alias("r")
     match = F.expr("r.chunk = t.chunk AND r.part = t.part AND r.doc_id <=> t._id AND r.text_key = t._key")
     places = F.filter(
-        F.array(F.struct(F.col("r.chunk"), F.col("r.part"), F.lit(1).alias("kind")), F.struct(F.col("to_chunk").alias("chunk"), F.col("to_part").alias("part"), F.lit(2).alias("kind"))),
+        F.array(F.struct(F.col("r.chunk"), F.col("r.part"), F.lit(2).alias("kind")), F.struct(F.col("to_chunk").alias("chunk"), F.col("to_part").alias("part"), F.lit(3).alias("kind"))),
         lambda t: t["chunk"].isNotNull(),
     )
     rows = rows.join(F.broadcast(tails).alias("t"), match, "left").withColumn("to", F.explode(places)).select(
         "to.*", F.col("r.doc_id"), F.col("r.text_key"), "text", F.lit(None).cast("binary").alias("print"), F.lit(None).cast("bigint").alias("component_id"),
     )
-    about = signed.withColumn("component_id", F.lit(None).cast("bigint")) if classes is None else signed.join(classes, "text_key")
-    about = _placed(about, *cuts).select(*piece, F.lit(0).alias("kind"), "doc_id", "text_key", F.lit(None).cast("string").alias("text"), "print", "component_id")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    about = _placed(signed, *cuts).select(*piece, F.lit(0).alias("kind"), "doc_id", "text_key", nothing("string").alias("text"), "print", nothing("bigint").alias("component_id"))
+    if classes is not None:
+        of_class = _placed(signed.select("doc_id", "text_key").join(classes, "text_key"), *cuts)
+        about = about.unionByName(of_class.select(
+            *piece, F.lit(1).alias("kind"), "doc_id", "text_key", nothing("string").alias("text"), nothing("binary").alias("print"), "component_id",
+        ))
     every = rows.unionByName(about).repartition(*piece)
-    every = every.sortWithinPartitions(*piece, F.col("kind") == 2, F.col("doc_id").asc_nulls_last(), "text_key", "kind")
+    every = every.sortWithinPartitions(*piece, F.col("kind") == 3, F.col("doc_id").asc_nulls_last(), "text_key", "kind")
     return every.select("chunk", "part", "kind", "doc_id", "text", "print", "component_id")
 
 
@@ -197,15 +202,17 @@ def _pairwise(shingle: int, permutations: int):
         ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
 
     def compare(batches):
-        rows, about = [], (None, None)
+        rows, sig_of, class_of = [], None, None
         for batch in batches:
             for low, high in blocks(batch.column("text"), 4 << 20):
                 columns = [batch.column(c).slice(low, high - low).to_pylist() for c in ("kind", "doc_id", "text", "print", "component_id")]
                 for kind, doc, text, sig, component in zip(*columns):
                     if kind == 0:
-                        about = (np.frombuffer(sig, "<u2"), component)
+                        sig_of = np.frombuffer(sig, "<u2")
                     elif kind == 1:
-                        rows.append((doc, text or "", *about, False))
+                        class_of = component
+                    elif kind == 2:
+                        rows.append((doc, text or "", sig_of, class_of, False))
                     else:
                         rows.append((doc, text or "", signatures(pa.array([text], pa.string()), shingle, permutations)[0], None, True))
                 if len(rows) > 1:
@@ -340,6 +347,50 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     return stage_once(found.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
 
 
+#: Slots in which shingles are counted to order them; any order gives the same links, a good one fewer comparisons.
+COUNT_SLOTS = 1 << 20
+
+
+def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """(band, a, star): the shingles of each set that are rarest in a common order, one more than it may lack.
+
+    Two sets of Jaccard similarity t share at least t * n shingles of the n of either, so also one of the first
+    n - ceil(t * n) + 1 shingles of each, whatever the order. Rare ones come first: those of a passage that very many
+    texts hold hardly ever count. Sets without shingles have the shingle 0, so that they meet.
+    """
+    def counted(batches):
+        counts = np.zeros(COUNT_SLOTS, np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy().view(np.uint32)
+            counts += np.bincount(values % COUNT_SLOTS, minlength=COUNT_SLOTS)
+        slots = np.flatnonzero(counts)
+        for at in range(0, len(slots), 1 << 16):
+            part = slots[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(counted, "slot BIGINT, n BIGINT").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(COUNT_SLOTS, np.int64)
+    for batch in found.toArrow().to_batches():  # at most COUNT_SLOTS rows
+        counts[batch.column("slot").to_numpy()] = batch.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches):
+        for batch in batches:
+            bands, rows = [], []
+            for i, cell in enumerate(batch.column("shingles")):
+                values = cell.values.to_numpy().view(np.uint32)
+                n = len(values)
+                first = n - int(np.ceil(n * similarity - 1e-9)) + 1
+                order = np.lexsort((values, shared.value[values % COUNT_SLOTS]))[:first]
+                bands.append(values[order].astype(np.int64) if n else np.zeros(1, np.int64))
+                rows.append(np.full(len(bands[-1]), i))
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), batch.column("a").take(at), batch.column("star").take(at)], names=["band", "a", "star"])
+
+    return sets.select("a", "star", "shingles").mapInArrow(rarest, "band BIGINT, a BIGINT, star BIGINT")
+
+
 def _likeness_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, alike) of the pairs: the Jaccard similarity of the shingle sets, two empty ones being alike."""
     left = sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("of_a"))
@@ -358,13 +409,19 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
 def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links (a, b) between texts with a common band and at least the similarity, enough to connect all such texts.
 
-    First each text is compared with the text that is first in most of its bands, then with the firsts of its other
-    bands that are not connected to it yet. In bands that still hold several groups the least texts of the groups are
-    compared. Jaccard distance is a metric: two members p, q of groups with least texts x, y are at least
+    A band's first is the text that shares the most bands with others. First each text is compared with the first of
+    most of its bands, then with the firsts of its other bands that are not connected to it yet. Members of bands that still hold several groups are compared further if they
+    share one of their rarest shingles (see ``_rare_shingles``; without that two sets are less alike): first the least
+    texts of their groups. Jaccard distance is a metric: two members p, q of groups with least texts x, y are at least
     d(x, y) - d(p, x) - d(q, y) apart, so only members are compared whom this leaves within reach. A large group of near
-    copies yields a few comparisons per text, and so do two groups that share a band.
+    copies yields a few comparisons per text, and so do many texts that have a passage in common and little else.
     """
-    met = stage_once(_met(signed), "members")
+    met = _met(signed)
+    # A text of which the others are edited copies is in more of their bands than they are in each other's.
+    known = stage_once(met.groupBy("a").agg(F.count("*").alias("n")), "degrees")
+    met = stage_once(met.select("band", "a").join(known, "a"), "members")
+    firsts = stage_once(met.groupBy("band").agg(F.max_by("a", "n").alias("b")), "firsts")
+    met = stage_once(met.select("band", "a").join(firsts, "band"), "met")
     sets = _shingle_sets(docs, met.select("a"), shingle)
     pairs = met.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
     pairs = stage_once(pairs, "pairs")
@@ -377,6 +434,9 @@ def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int)
     labels = components(links)
 
     named = stage_once(_labelled(met.select("band", "a").distinct(), "a", labels, "star"), "named")
+    mixed = named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("band")
+    open_ = stage_once(named.join(mixed, "band").select("a", "star").distinct(), "open")
+    named = stage_once(_rare_shingles(stage_once(sets.withColumnRenamed("text_key", "a").join(open_, "a"), "sets"), similarity), "rare")
     mixed = stage_once(named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("band"), "mixed")
     mixed = stage_once(named.join(mixed, "band"), "mixed")
     ends = stage_once(mixed.select("band", "star").distinct(), "ends")
@@ -403,11 +463,15 @@ def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int)
 
 def _classes(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(text_key, component_id): the least id among the texts linked to a text, itself included."""
-    labels = components(_links(docs, signed, similarity, shingle))
+    with passing_stages(docs.sparkSession):
+        return _named(signed, components(_links(docs, signed, similarity, shingle)))
+
+
+def _named(signed: DataFrame, labels: DataFrame) -> DataFrame:
     of_text = _labelled(signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id")), "text_key", labels, "label")
     of_text = stage_once(of_text.select("text_key", "first_id", "label"), "texts")
     firsts = stage_once(of_text.groupBy("label").agg(F.min("first_id").alias("component_id")), "firsts")
-    return stage_once(of_text.join(firsts, "label").select("text_key", "component_id"), "classes")
+    return stage_once(of_text.join(firsts, "label").select("text_key", "component_id"), "classes", keep=True)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
