@@ -65,13 +65,13 @@ spread AS (
   SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, lang)) AS repositories
   FROM found JOIN d USING (row_id) GROUP BY value),
 judged AS (
-  SELECT found.*, owners, owners = 1 AND {_LIVE} AS live, kind < 3 AS is_base FROM found JOIN spread USING (value)),
+  SELECT found.*, owners >= 3 OR repositories >= 4 AS copied, owners = 1 AND repositories <= 2 AND {_LIVE} AS live, kind < 3 AS is_base FROM found JOIN spread USING (value)),
 rows AS (
   SELECT row_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (is_base) AS base,
     string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)
       FILTER (is_base OR live) AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= 3) AS n_copied
+    count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
   FROM judged GROUP BY row_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
@@ -177,14 +177,12 @@ lines AS (SELECT * FROM (SELECT doc_id, unnest(parts) AS line, generate_subscrip
 firsts AS (
   SELECT *, row_number() OVER (ORDER BY doc_id, place) AS rank FROM (
     SELECT line, min(doc_id) AS doc_id, arg_min(place, (doc_id, place)) AS place FROM lines GROUP BY line)),
-variants AS (
-  SELECT rank, hash(line) AS v FROM firsts WHERE length(line) >= 20
-  UNION
-  SELECT rank, hash(substr(line, 1, i - 1) || substr(line, i + 1))
-  FROM (SELECT rank, line, unnest(generate_series(1, length(line))) AS i FROM firsts WHERE length(line) >= 20)),
-pairs AS (SELECT DISTINCT x.rank AS x, y.rank AS y FROM variants x JOIN variants y ON x.v = y.v AND x.rank < y.rank),
+shorter AS (
+  SELECT rank, i, substr(line, 1, i - 1) || substr(line, i + 1) AS v FROM (SELECT rank, line, unnest(generate_series(1, length(line))) AS i FROM firsts)),
 late AS (
-  SELECT DISTINCT y.rank FROM pairs JOIN firsts a ON a.rank = pairs.x JOIN firsts y ON y.rank = pairs.y WHERE levenshtein(a.line, y.line) <= 1),
+  SELECT y.rank FROM shorter x JOIN shorter y ON x.v = y.v AND x.i = y.i AND x.rank < y.rank
+  UNION
+  SELECT greatest(f.rank, s.rank) FROM firsts f JOIN shorter s ON s.v = f.line),
 kept AS (SELECT doc_id, place, line FROM firsts WHERE rank NOT IN (SELECT rank FROM late)),
 blanks AS (SELECT * FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM d) WHERE trim(line) = ''),
 texts AS (

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from eventloom.llm import linededup
 
 
@@ -22,7 +24,7 @@ def brute(docs):
                 first.setdefault(line, (len(first), doc, place))
     late = set()
     for line, at in first.items():
-        if len(line) >= 20 and any(len(o) >= 20 and first[o] < at and near(o, line) for o in first if o != line):
+        if any(first[o] < at and near(o, line) for o in first if o != line):
             late.add(line)
     kept = {(doc, place) for line, (_, doc, place) in first.items() if line not in late}
     out = []
@@ -49,7 +51,7 @@ def change(rng, line):
 
 def test_equals_brute_force(frame):
     rng = random.Random(4)
-    base = ["".join(rng.choice("ab cé") for _ in range(n)) + "z" for n in (3, 10, 19, 20, 21, 40, 127, 128, 129, 255, 256, 257, 300) for _ in range(3)]
+    base = ["".join(rng.choice("ab cé") for _ in range(n)) + "z" for n in (0, 1, 2, 3, 10, 19, 20, 21, 40, 127, 128, 129, 255, 256, 257, 300) for _ in range(3)]
     docs = []
     for i in range(25):
         lines = [rng.choice(base) for _ in range(rng.randint(0, 6))]
@@ -78,3 +80,24 @@ def test_long_lines_empty_table_and_columns(frame, spark):
     assert out.columns == docs.columns
     assert sorted(tuple(r) for r in out.collect() if r.text is not None) == [(1, long, 1, "x"), (2, "", 2, "y"), (3, "short line\nanother", 3, None)]
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
+
+
+def test_lines_of_any_length_are_near(frame):
+    docs = [(1, "abcdefghijklmnopqrs"), (2, "abcdefghijklmnopqrst"), (3, "abcdefghijklmnopqrstu"), (4, "x"), (5, "y"), (6, "xyz"), (7, "xy")]
+    out = {r.doc_id: r.n_kept for r in linededup.dedup_lines(frame(docs, "doc_id BIGINT, text STRING")).collect()}
+    assert out == {1: 1, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0}
+
+
+def test_edit_bound_is_a_parameter(frame):
+    docs = frame([(1, "abcdef"), (2, "abXdYf"), (3, "abXdef"), (4, "zzzz"), (5, "abcdef")], "doc_id BIGINT, text STRING")
+    kept = lambda edits: {r.doc_id for r in linededup.dedup_lines(docs, edits=edits).filter("n_kept = 1").collect()}
+    assert kept(0) == {1, 2, 3, 4} and kept(1) == {1, 2, 4} and kept(2) == {1, 4}
+    assert kept(4) == {1, 4}
+
+
+def test_many_lines_of_one_variant_are_not_paired(frame, spark):
+    lines = [f"{chr(0x4E00 + i)}same ending" for i in range(3000)]
+    docs = frame([(i, line) for i, line in enumerate(lines)], "doc_id BIGINT, text STRING")
+    texts = docs.select(F.struct("doc_id").alias("first"), *linededup._hash("text"), F.col("text").alias("line"))
+    assert linededup._met_within_one(texts).distinct().count() < 2 * len(lines)
+    assert linededup.dedup_lines(docs).filter("n_kept = 1").count() == 1

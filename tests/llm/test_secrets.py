@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from eventloom.llm import secrets
 
@@ -48,3 +51,25 @@ def test_one_value_in_a_third_of_rows_and_empty_table(frame, spark):
     out = secrets.find_secrets(frame(docs, "doc_id BIGINT, text STRING, source STRING, lang STRING"))
     assert out.filter("size(copied) = 1").count() == 300 and out.filter("size(base) = 1").count() == 900
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id BIGINT, text STRING, source STRING, lang STRING, base INT, hash INT")).count() == 0
+
+
+def test_repositories_decide_within_one_owner(frame):
+    spread, few, between = "Ab3dEf6hIj9kLm2nOp", "Zx8cVb5nMq1wEr4tYu", "Qw7eRt2yUi5oPa9sDf"
+    docs = [(i, f"see {spread} here", "owner1", f"l{i}") for i in range(50)]
+    docs += [(100 + i, f"see {few}AA here", "owner1", f"l{i}") for i in range(2)] + [(200 + i, f"see {between}AA here", "owner1", f"l{i}") for i in range(3)]
+    docs += [(300 + i, f"password={few}", f"owner{i + 2}", "en") for i in range(2)]
+    out = {r.doc_id: r for r in secrets.find_secrets(frame([(i, t.replace(spread, spread + "AA"), s, g) for i, t, s, g in docs], "doc_id BIGINT, text STRING, source STRING, lang STRING")).collect()}
+    assert all(out[i].copied and not out[i].live and not out[i].spans for i in range(50))
+    assert all(out[100 + i].live and out[100 + i].spans for i in range(2))
+    assert not any(out[200 + i].live or out[200 + i].copied for i in range(3))
+    assert not any(out[300 + i].live or out[300 + i].copied for i in range(2))  # two owners: neither
+
+
+def test_text_with_many_matches_takes_time_in_proportion(frame):
+    text = " ".join(f"password=hunter{i:08d} see Qw7eRt2yUi5oPa{i:08d}" for i in range(32_000))
+    docs = frame([(1, text, "s", "en")], "doc_id BIGINT, text STRING, source STRING, lang STRING").coalesce(1).cache()
+    docs.count()
+    began = time.time()
+    r = secrets.find_secrets(docs).select("doc_id", "base", F.size("spans").alias("n")).first()
+    assert time.time() - began < 25
+    assert sorted((s.start, s.stop, s.kind) for s in r.base) == brute_base(text) and r.n == 64_000
