@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom import schemas
 from eventloom.functions.scalars import is_uuid
-from eventloom.session import pin
+from eventloom.session import pin, stage_once
 
 Rule = tuple[str, Column]
 
@@ -286,7 +286,13 @@ def settle_requests(
     )
     known = ledger.select(key, F.col(digest).alias("_known")).join(batch.select(key).distinct(), key, "left_semi").distinct()
     broken = F.coalesce((F.col("_min") != F.col("_max")) | (F.col("_known") != F.col("_min")), F.lit(False))
-    mine = pin(mine.join(known, key, "left").withColumn("_broken", broken))
+    mine = stage_once(mine.join(known, key, "left").withColumn("_broken", broken), "claims")
+    contents = mine.groupBy(key).agg(F.min("_min").alias("_a"), F.max("_min").alias("_b"), F.bool_or("_broken").alias("_c"), F.min(request).alias("_taker"))
+    if contents.filter("_c OR _a <> _b").isEmpty():
+        # Nothing contradicts: every request is accepted.
+        taken = mine.join(contents.select(key, "_taker"), key)
+        first = F.col("_known").isNull() & (F.col("_taker") == F.col(request))
+        return taken.select(request, key, "_row.*", "copies", F.when(first, "new").otherwise("duplicate").alias("status"))
     rejected = mine.filter("_broken").select(request).distinct()
     fair = mine.join(rejected, request, "left_anti").select(request, key, F.col("_min").alias("_content"))
     disputed = fair.groupBy(key).agg(F.min("_content").alias("_a"), F.max("_content").alias("_b")).filter("_a <> _b").select(key)

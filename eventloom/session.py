@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -70,8 +71,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Folders written by ``stage_once`` inside the ``passing_stages`` blocks that are open, the innermost last.
-_OPEN_BLOCKS: list[list[str]] = []
+class _Blocks(threading.local):
+    """Folders written by ``stage_once`` inside a thread's open ``passing_stages`` blocks, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_BLOCKS = _Blocks()
 
 
 @contextmanager
@@ -80,11 +87,11 @@ def passing_stages(spark: SparkSession) -> Iterator[None]:
 
     Whatever is needed later must be staged after the block, or inside it by ``stage_once(..., keep=True)``.
     """
-    _OPEN_BLOCKS.append([])
+    _BLOCKS.open.append([])
     try:
         yield
     finally:
-        for path in _OPEN_BLOCKS.pop():
+        for path in _BLOCKS.open.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -95,8 +102,8 @@ def stage_once(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     ``keep`` leaves it to the block around the innermost ``passing_stages``, if there is one.
     """
     path = scratch_path(df.sparkSession, name)
-    block = len(_OPEN_BLOCKS) - (2 if keep else 1)
+    block = len(_BLOCKS.open) - (2 if keep else 1)
     if block >= 0:
-        _OPEN_BLOCKS[block].append(path)
+        _BLOCKS.open[block].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ from eventloom.operators.contracts import (
 from eventloom.operators.rollups import id_rollup, write_batch_state
 from eventloom.operators.versioning import partial_state
 from eventloom.paths import table_exists, write_text
-from eventloom.session import pin, stage_once
+from eventloom.session import passing_stages, stage_once
 
 #: The ledger lies in folders by a hash of the identity, so that a batch reads only those its identities fall in.
 LEDGER_BUCKETS = 64
@@ -148,6 +148,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, lake: Lake, as_of: Column | No
     request) are accepted or rejected together: a conflict, the same identity with other content, sends its
     request to quarantine, and no other. What is stored doesn't depend on how many requests a micro-batch holds.
     """
+    with passing_stages(batch.sparkSession):
+        return _accept(batch, batch_id, lake, as_of)
+
+
+def _accept(batch: DataFrame, batch_id: int, lake: Lake, as_of: Column | None) -> dict:
     spark = batch.sparkSession
     clock = F.lit(batch_clock(spark, lake, batch_id))
     as_of = clock if as_of is None else as_of
@@ -164,14 +169,16 @@ def ingest_batch(batch: DataFrame, batch_id: int, lake: Lake, as_of: Column | No
             parsed.append(digested.select(
                 F.lit(stream).alias("stream"), "request", "event_id", "digest", "reasons", "payload", F.to_json(F.struct(*data)).alias("row")
             ))
-        stamped = pin(reduce(DataFrame.unionByName, parsed).withColumn("ingested_at", clock))
+        stamped = stage_once(reduce(DataFrame.unionByName, parsed).withColumn("ingested_at", clock), "stamped")
     finally:
         routed.unpersist()
     bad = stamped.filter(F.size("reasons") > 0)
     good = stamped.filter(F.size("reasons") == 0).drop("reasons", "payload")
-    touched = [r[0] for r in good.select(ledger_bucket("event_id").alias("b")).distinct().collect()]  # at most LEDGER_BUCKETS
-    ledger = lake.read_ledger(spark).filter(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
-    settled = pin(settle_requests(good, ledger))
+    ledger = lake.read_ledger(spark)
+    if table_exists(spark, lake.ledger):
+        touched = [r[0] for r in good.select(ledger_bucket("event_id").alias("b")).distinct().collect()]  # at most LEDGER_BUCKETS
+        ledger = ledger.filter(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
+    settled = stage_once(settle_requests(good, ledger), "settled")
     counters = request_summary(settled).first().asDict()
     refused = settled.filter(F.col("status").isin("conflict", "rejected"))
     _write_batch(
