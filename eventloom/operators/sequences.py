@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom.functions.scalars import metres_between
+from eventloom.operators.scans import running
 
 
 def with_previous(
@@ -32,20 +33,21 @@ def with_previous(
     ).drop("_inside", "_edge", "_slot")
 
 
-def gaps(df: DataFrame, keys: Sequence[str], number: str, width: int = 1_000_000) -> DataFrame:
-    """Missing stretches of an integer sequence per key."""
-    distinct = df.select(*keys, F.col(number).cast("bigint").alias(number)).distinct()
-    held = list(keys)
-    if not held:
-        held, distinct = ["_all"], distinct.withColumn("_all", F.lit(1))
-    slot = F.floor(F.col(number) / F.lit(width))
-    steps = with_previous(distinct, held, [number], [number], slot)
-    before = F.col("previous")[number]
-    return steps.filter(F.col(number) - before > 1).select(
-        *keys,
-        (before + 1).alias("gap_start"),
-        (F.col(number) - 1).alias("gap_end"),
-        (F.col(number) - before - 1).alias("missing"),
+def gaps(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+    """Missing stretches of an integer sequence per key; keys must not be NULL, a NULL number is no number.
+
+    Numbers that follow one another differ from their rank by the same amount, so each unbroken stretch is one group;
+    a gap lies between the stretch that ends at a rank and the one that starts at the next. Ranks come from running
+    totals over ranges, so neither a table without keys nor a key with most rows meets in one task.
+    """
+    distinct = df.select(*keys, F.col(number).cast("bigint").alias("_number")).filter("_number IS NOT NULL").distinct()
+    ranked = running(distinct.withColumn("_one", F.lit(1).cast("bigint")), list(keys), ["_number"], [*keys, "_number"], {"_rank": "_one"})
+    stretches = ranked.groupBy(*keys, (F.col("_number") - F.col("_rank")).alias("_stretch")).agg(
+        F.min("_number").alias("_low"), F.max("_number").alias("_high"), F.min("_rank").alias("_first"), F.max("_rank").alias("_last"),
+    )
+    before = stretches.select(*keys, (F.col("_last") + 1).alias("_first"), (F.col("_high") + 1).alias("gap_start"))
+    return stretches.join(before, [*keys, "_first"]).select(
+        *keys, "gap_start", (F.col("_low") - 1).alias("gap_end"), (F.col("_low") - F.col("gap_start")).alias("missing"),
     )
 
 

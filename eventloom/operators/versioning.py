@@ -25,6 +25,19 @@ def newest(df: DataFrame, keys: Sequence[str], version: str, ties: Sequence[str]
     return merged.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def newest_of_repeated(df: DataFrame, keys: Sequence[str], version: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``newest``, at the cost of the repeated keys only.
+
+    A hash aggregate over the keys finds those with more than one copy; all other rows pass without being sorted or
+    merged. The repeated keys are written to the shared folder first, so the joins know their size: few are broadcast,
+    many are shuffled with splittable parts. NULL keys are one key. ``df`` is read three times, once for its keys alone.
+    """
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = stage_once(repeated.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]), "repeated")
+    same = [df[k].eqNullSafe(repeated[f"_{i}"]) for i, k in enumerate(keys)]
+    return df.join(repeated, same, "left_anti").unionByName(newest(df.join(repeated, same, "left_semi"), keys, version, ties))
+
+
 def newest_of(table: str, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``newest`` with the key and version of a known table.
 

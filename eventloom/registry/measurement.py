@@ -160,7 +160,7 @@ def gap_check(spark, sf_dir):
     SELECT before + 1 AS gap_start, key - 1 AS gap_end, key - before - 1 AS missing FROM p WHERE key - before > 1""")
 def gap_list(spark, sf_dir):
     """Orders without lines, as stretches of missing keys."""
-    return plain(gaps(table(spark, sf_dir, "lineitem"), [], "l_orderkey", width=1000))
+    return plain(gaps(table(spark, sf_dir, "lineitem"), [], "l_orderkey"))
 
 
 @query("path_length", with_sql("pos") + """, p AS (SELECT *, lag(latitude) OVER w AS la, lag(longitude) OVER w AS lo FROM pos

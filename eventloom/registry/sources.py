@@ -170,11 +170,10 @@ def staged_publish(spark, sf_dir):
     SELECT src, count(*) AS remaining, min(r) AS first_row FROM n WHERE src <> 0 AND r > 100 OR src = 0 GROUP BY src""")
 def resume_prefix(spark, sf_dir):
     """Sources with a proven prefix continue after it; one with a hole starts over."""
-    from pyspark.sql import Window
+    from eventloom.operators.scans import running
 
-    ranked = ev(spark, sf_dir).select(
-        (F.col("user_id") % 4).alias("src"), F.row_number().over(Window.partitionBy(F.col("user_id") % 4).orderBy("event_id")).alias("source_row")
-    )
+    rows = ev(spark, sf_dir).select((F.col("user_id") % 4).alias("src"), "event_id", F.lit(1).cast("bigint").alias("one"))
+    ranked = running(rows, ["src"], ["event_id"], ["src"], {"source_row": "one"})
     staged = ranked.filter((F.col("source_row") <= 100) & ~((F.col("src") == 0) & (F.col("source_row") == 50)))
     points = tables.resume_point(staged, ["src"])
     rest = tables.resume_after(ranked, points, ["src"])
@@ -234,19 +233,19 @@ def schema_evolution(spark, sf_dir):
 
 
 def _prices(spark, sf_dir):
-    """Three products for each of the first twelve suppliers, priced by the parts of the same number."""
-    n = F.col("p_partkey") - F.lit(1)
-    return table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 36").select(
+    """Three products for each of as many restaurants as it takes, priced by the parts of the same number."""
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
         n.alias("n"), tag("restaurant-", F.floor(n / 3) + 1).alias("restaurant_id"), (n % 3 + 1).cast("int").alias("slot"),
         F.floor("p_retailprice").cast("int").alias("price_minor"),
     )
 
 
-_PRICES = "p AS (SELECT p_partkey - 1 AS n, CAST(floor(p_retailprice) AS BIGINT) AS price_minor FROM part WHERE p_partkey BETWEEN 1 AND 36)"
+_PRICES = "p AS (SELECT p_partkey AS n, CAST(floor(p_retailprice) AS BIGINT) AS price_minor FROM part)"
 
 
-@query("seed_catalog", with_sql("catalog") + f""", {_PRICES}, n AS (SELECT source_row FROM catalog WHERE country_code = 'AF' ORDER BY source_row LIMIT 36)
-    SELECT 'public_historical' AS name_kind, count(*) AS products, 36::BIGINT AS distinct_products, CAST(sum(source_row) AS BIGINT) AS source_rows,
+@query("seed_catalog", with_sql("catalog") + f""", {_PRICES}, n AS (SELECT source_row FROM catalog WHERE country_code = 'AF' ORDER BY source_row LIMIT (SELECT count(*) FROM part))
+    SELECT 'public_historical' AS name_kind, count(*) AS products, (SELECT count(*) FROM p) AS distinct_products, CAST(sum(source_row) AS BIGINT) AS source_rows,
     (SELECT CAST(sum(price_minor) AS BIGINT) FROM p) AS prices FROM n""")
 def seed_catalog(spark, sf_dir):
     public = catalog(spark, sf_dir).withColumn("city_code", F.lit("MAD")).withColumn(

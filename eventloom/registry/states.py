@@ -11,7 +11,7 @@ from eventloom.operators.rollups import (
     hll_rollup, id_rollup, read_hll_rollup, read_id_rollup, read_sum_rollup, rollup_check, sum_rollup,
 )
 from eventloom.operators.versioning import (
-    latest_from_long_history, latest_of, latest_state, merge_states, newest, newest_of, partial_state, read_state, with_tombstones,
+    latest_from_long_history, latest_of, latest_state, merge_states, newest, newest_of, newest_of_repeated, partial_state, read_state, with_tombstones,
 )
 from eventloom.plans import audits, measurement
 from eventloom.registry import query
@@ -49,7 +49,7 @@ def final_activity(spark, sf_dir):
     ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1""")
 def final_lineitem(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").drop("l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rows = newest(li, ["l_orderkey", "l_linenumber"], "l_shipdate", ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    rows = newest_of_repeated(li, ["l_orderkey", "l_linenumber"], "l_shipdate", ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     return plain(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
 
 

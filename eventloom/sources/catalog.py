@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from eventloom.operators.scans import running
 
 # --- fixed values ------------------------------------------------------------------------
 FALLBACK_PRODUCTS = ["Vegetable bowl", "House menu", "Salad of the day"]
@@ -25,14 +27,12 @@ def seed_products(public: DataFrame, prices: DataFrame, version: int) -> DataFra
     product takes the n-th public name. ``name_kind`` and ``source_row`` record which names were used.
     """
     wanted = prices.count()
-    first = (
-        public.filter((F.col("country_code") == "ES") & (F.col("city_code") == "MAD"))
-        .select("source_row", "product_name").orderBy("source_row").limit(wanted)
-    )
-    # As many rows as there are prices reach these windows.
-    named = first.withColumn("n", (F.row_number().over(Window.orderBy("source_row")) - 1).cast("bigint"))
-    named = named.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy()))
-    named = named.filter(F.col("_found") == wanted).drop("_found")
+    places = public.filter((F.col("country_code") == "ES") & (F.col("city_code") == "MAD"))
+    places = places.select("source_row", "product_name", F.lit(1).cast("bigint").alias("_one"))
+    numbered = running(places, [], ["source_row", "product_name"], ["source_row", "product_name"], {"n": "_one"})
+    named = numbered.filter(F.col("n") <= wanted).withColumn("n", F.col("n") - 1)
+    if named.count() < wanted:
+        named = named.limit(0)
     fallback = F.element_at(F.array(*[F.lit(p) for p in FALLBACK_PRODUCTS]), F.pmod(F.col("slot") - 1, F.lit(SLOTS)).cast("int") + 1)
     product_id = F.concat("restaurant_id", F.lit("-product-"), F.col("slot").cast("string"))
     found = F.col("source_row").isNotNull()

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from eventloom.operators.scans import running
 
-def ordered_slice(archive: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` events in time order, numbered from 0.
 
-    The limit is the size of the replay, so the numbering window holds no more.
-    """
+def ordered_slice(archive: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` events in time order, numbered from 0 by running totals over ranges of the order."""
     order = ["event_time", "session_id", "event_position"]
-    first = archive.orderBy(*order).limit(limit)
-    return first.withColumn("seq", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    first = archive.orderBy(*order).limit(limit).withColumn("_one", F.lit(1).cast("bigint"))
+    numbered = running(first, [], order, archive.columns, {"seq": "_one"})
+    return numbered.withColumn("seq", F.col("seq") - 1)
 
 
 def replay_stream(spark: SparkSession, prepared: DataFrame, rate: int, test_batches: bool = False) -> DataFrame:

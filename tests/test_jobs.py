@@ -271,7 +271,7 @@ def test_previous_rows_over_slots(spark):
 
 def test_gaps_and_continuity(spark, collect):
     df = spark.createDataFrame([(n,) for n in (1, 2, 5, 6, 6, 9)], "n INT")
-    assert collect(sequences.gaps(df, [], "n", width=2)) == [(3, 4, 2), (7, 8, 2)]
+    assert collect(sequences.gaps(df, [], "n")) == [(3, 4, 2), (7, 8, 2)]
     assert not sequences.continuity(df, [], "n").first().continuous
     assert sequences.continuity(spark.range(2, 6), [], "id").first().continuous
     assert not sequences.continuity(spark.range(3, 6), [], "id").first().continuous
