@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,12 +38,22 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
+def lowered_headers(headers: Column) -> Column:
+    """Headers with names in lower case; of names that differ in case only the one that sorts first counts. NULL is empty."""
+    entries = F.array_sort(F.transform(
+        F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value")),
+    ))
+    # The inner array is bound once, so that its elements can be compared with their predecessors.
+    firsts = F.transform(F.array(entries), lambda z: F.filter(z, lambda e, i: (i == 0) | (F.get(z, i - 1)["name"] != e["name"])))[0]
+    plain = F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["name"].alias("key"), e["value"].alias("value"))))
+    return F.coalesce(plain, F.create_map().cast("map<string,string>"))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """Headers of the stored response, with the permitted ones of the 304 answer in their place (names lower-cased)."""
-    lowered = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    update = F.filter(lowered(fresh), lambda e: e["key"].isin(*UPDATED_HEADERS))
+    """Headers of the stored response, with the permitted ones of the 304 answer in their place; names in lower case."""
+    update = F.filter(F.map_entries(fresh), lambda e: e["key"].isin(*UPDATED_HEADERS))
     names = F.transform(update, lambda e: e["key"])
-    stays = F.filter(lowered(stored), lambda e: ~F.array_contains(names, e["key"]))
+    stays = F.filter(F.map_entries(stored), lambda e: ~F.array_contains(names, e["key"]))
     return F.map_from_entries(F.array_sort(F.concat(stays, update)))
 
 
@@ -50,7 +61,7 @@ def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Every revisit of ``records`` with the response it stands for.
 
     ``records``: ``record_id`` BIGINT, ``kind`` ('response' or 'revisit'), ``url``, ``time`` BIGINT,
-    ``status`` INT, ``headers`` MAP<STRING, STRING> (lower-case names), ``digest``. The result has, per revisit,
+    ``status`` INT, ``headers`` MAP<STRING, STRING> (names in any case, see ``lowered_headers``), ``digest``. The result has, per revisit,
     ``record_id``, ``canonical_url``, ``outcome``, ``resolved_id``, ``digest`` (of the stored body),
     ``headers`` (merged; the revisit's own if unresolved).
 
@@ -61,18 +72,20 @@ def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     response. A NULL url or time matches nothing; NULL headers are empty; repeated records stay, each with its
     answer. Other columns are not read. No records give no rows.
 
-    One URL's records are split into ``slots`` ranges of time: a range looks back within itself, and only its
-    first revisits take what the last earlier range left, one row per URL and range.
+    One URL's records are split into ``slots`` ranges of time, cut at quantiles so that a few times far off do not empty
+    the others: a range looks back within itself, and only its first revisits take what the last earlier range left, one
+    row per URL and range.
     """
     rows = records.select(
         "record_id", "kind", canonical_url(F.col("url")).alias("canonical_url"), F.col("time").cast("long").alias("time"), "status",
-        F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest",
+        lowered_headers(F.col("headers")).alias("headers"), "digest",
     )
-    span = rows.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
-    low, width = span.low or 0, ((span.high or 0) - (span.low or 0)) // slots + 1
+    found = records.select(F.col("time").cast("long").alias("time")).approxQuantile("time", [i / slots for i in range(1, slots)], 0.25 / slots) if slots > 1 else []
+    splits = [-float("inf"), *(sorted(set(found)) or [0.0]), float("inf")]
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("canonical_url").isNotNull() & F.col("time").isNotNull()
     answer = F.struct("time", "record_id", "digest", "headers")
-    rows = rows.filter(full | (F.col("kind") == "revisit")).withColumn("slot", F.floor((F.col("time") - low) / width))
+    rows = rows.filter(full | (F.col("kind") == "revisit")).withColumn("_at", F.col("time").cast("double"))
+    rows = Bucketizer(splits=splits, inputCol="_at", outputCol="slot", handleInvalid="keep").transform(rows).drop("_at")
     rows = rows.withColumn("answer", F.when(full, answer))
     key = ["canonical_url", "slot"]
     # Rows of one time stand together in the frame, and a range frame up to the moment before leaves them out.

@@ -60,3 +60,16 @@ def test_headers_ties_and_repeats(frame, spark):
     assert three[0].headers == {"content-type": "text/plain", "etag": 'W/"1"', "date": "new"}
     assert [r.outcome for r in out if r.record_id == 4] == ["no_response"]
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_header_names_in_any_case_and_times_far_off(frame):
+    records = [
+        (1, "response", "http://h/x", 5, 200, {"ETag": '"1"', "Server": "a", "server": "b", "Date": "old"}, "body1"),
+        (2, "revisit", "http://h/x", 6, 304, {"ETAG": '"1"', "date": "new", "Date": "newer"}, None),
+        (3, "response", "http://h/z", -(1 << 60), 200, {}, "bogus"), (4, "response", "http://h/z", 1 << 60, 200, {}, "bogus"),
+    ]
+    out = warc.resolve_revisits(frame(records, SCHEMA)).collect()
+    assert [(r.record_id, r.outcome, r.resolved_id) for r in out] == [(2, "resolved", 1)]
+    assert out[0].headers == {"etag": '"1"', "server": "a", "date": "newer"}
+    hot = [(i, "response" if i % 2 else "revisit", "http://h/x", i, 200, {"etag": "1"}, "d") for i in range(2000)] + [(9999, "response", "http://h/x", 1 << 60, 200, {}, "d")]
+    assert warc.resolve_revisits(frame(hot, SCHEMA)).filter("outcome = 'resolved'").count() == 999
