@@ -208,7 +208,10 @@ def recent(spark, sf_dir):
     return plain(recent_queries(_query_log(spark, sf_dir), "select").drop("event_time"))
 
 
-_TABLES = ["events", "lineitem", "orders", "customer", "supplier", "part", "nation", "region", "documents"]
+_TABLES = [
+    "events", "lineitem", "orders", "customer", "supplier", "part", "nation", "region", "documents", "embeddings", "pages", "benchmark", "labels",
+    "conversations",
+]
 
 
 @query("storage_rows", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS physical_rows FROM {t}" for t in _TABLES))
