@@ -352,12 +352,15 @@ COUNT_SLOTS = 1 << 20
 
 
 def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """(band, a, star): the shingles of each set that are rarest in a common order, one more than it may lack.
+    """(band, a, star, n, short): the shingles of each set that are rarest in a common order, one more than it may lack.
 
     Two sets of Jaccard similarity t share at least t * n shingles of the n of either, so also one of the first
-    n - ceil(t * n) + 1 shingles of each, whatever the order. Rare ones come first: those of a passage that very many
-    texts hold hardly ever count. Sets without shingles have the shingle 0, so that they meet.
+    n - ceil(t * n) + 1 shingles of each, whatever the order. They share at least 2t / (1 + t) of the smaller set, so
+    the first shingle they share is among still fewer of that one; those are ``short``. Rare ones come first: those of a
+    passage that very many texts hold hardly ever count. Sets without shingles have the shingle 0, so that they meet.
     """
+    of_smaller = 2 * similarity / (1 + similarity)
+
     def counted(batches):
         counts = np.zeros(COUNT_SLOTS, np.int64)
         for batch in batches:
@@ -376,7 +379,7 @@ def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
 
     def rarest(batches):
         for batch in batches:
-            bands, rows = [], []
+            bands, rows, short, sizes = [], [], [], []
             for i, cell in enumerate(batch.column("shingles")):
                 values = cell.values.to_numpy().view(np.uint32)
                 n = len(values)
@@ -384,20 +387,26 @@ def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
                 order = np.lexsort((values, shared.value[values % COUNT_SLOTS]))[:first]
                 bands.append(values[order].astype(np.int64) if n else np.zeros(1, np.int64))
                 rows.append(np.full(len(bands[-1]), i))
+                short.append(np.arange(len(bands[-1])) <= n - int(np.ceil(n * of_smaller - 1e-9)))
+                sizes.append(np.full(len(bands[-1]), n, np.int32))
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), batch.column("a").take(at), batch.column("star").take(at)], names=["band", "a", "star"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(bands)), batch.column("a").take(at), batch.column("star").take(at),
+                    pa.array(np.concatenate(sizes)), pa.array(np.concatenate(short)),
+                ], names=["band", "a", "star", "n", "short"])
 
-    return sets.select("a", "star", "shingles").mapInArrow(rarest, "band BIGINT, a BIGINT, star BIGINT")
+    return sets.select("a", "star", "shingles").mapInArrow(rarest, "band BIGINT, a BIGINT, star BIGINT, n INT, short BOOLEAN")
 
 
 def _likeness_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, alike) of the pairs: the Jaccard similarity of the shingle sets, two empty ones being alike."""
+    """(a, b, alike, gap) of the pairs: Jaccard similarity of the shingle sets, two empty ones being alike; shingles in one set only."""
     left = sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     both = F.size("of_a") + F.size("of_b") - shared
-    return stage_once(pairs.join(left, "a").join(right, "b").select("a", "b", F.when(both > 0, shared / both).otherwise(1.0).alias("alike")), "alike")
+    alike = F.when(both > 0, shared / both).otherwise(1.0)
+    return stage_once(pairs.join(left, "a").join(right, "b").select("a", "b", alike.alias("alike"), (both - shared).alias("gap")), "alike")
 
 
 def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
@@ -411,10 +420,12 @@ def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int)
 
     A band's first is the text that shares the most bands with others. First each text is compared with the first of
     most of its bands, then with the firsts of its other bands that are not connected to it yet. Members of bands that still hold several groups are compared further if they
-    share one of their rarest shingles (see ``_rare_shingles``; without that two sets are less alike): first the least
-    texts of their groups. Jaccard distance is a metric: two members p, q of groups with least texts x, y are at least
-    d(x, y) - d(p, x) - d(q, y) apart, so only members are compared whom this leaves within reach. A large group of near
-    copies yields a few comparisons per text, and so do many texts that have a passage in common and little else.
+    share one of their rarest shingles (see ``_rare_shingles``; without that two sets are less alike) and neither is too
+    small for the other: first the least texts of their groups. The number of shingles that stand in one of two sets only
+    is a metric: for members p, q of groups with least texts x, y it is at least g(x, y) - g(p, x) - g(q, y), and sets as
+    alike as asked differ in a share of their sizes at most. So groups whose widest members stay out of reach are done,
+    and of the others only members are compared whom this leaves within reach. A large group of near copies yields a few
+    comparisons per text, and so do many texts that have a passage in common and little else.
     """
     met = _met(signed)
     # A text of which the others are edited copies is in more of their bands than they are in each other's.
@@ -437,26 +448,42 @@ def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int)
     mixed = named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("band")
     open_ = stage_once(named.join(mixed, "band").select("a", "star").distinct(), "open")
     named = stage_once(_rare_shingles(stage_once(sets.withColumnRenamed("text_key", "a").join(open_, "a"), "sets"), similarity), "rare")
-    mixed = stage_once(named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high")).filter("low <> high").select("band"), "mixed")
-    mixed = stage_once(named.join(mixed, "band"), "mixed")
-    ends = stage_once(mixed.select("band", "star").distinct(), "ends")
-    across = ends.withColumnRenamed("star", "a").join(ends.withColumnRenamed("star", "b"), "band").filter("a < b")
-    apart = _likeness_of(across.select("a", "b").distinct(), sets)
+    several = named.groupBy("band").agg(F.min("star").alias("low"), F.max("star").alias("high"), F.max("short").alias("short"))
+    mixed = stage_once(named.join(stage_once(several.filter("low <> high AND short").select("band"), "mixed"), "band"), "mixed")
+    ends = mixed.groupBy("band", "star").agg(F.max("short").alias("short"), F.min("n").alias("low"), F.max("n").alias("high"))
+    ends = stage_once(ends, "ends")
+
+    def end(side: str) -> DataFrame:
+        return ends.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("star", "short", "low", "high")])
+
+    def fits(low_x: str, high_x: str, low_y: str, high_y: str) -> Column:
+        return (F.col(high_x) + 1e-6 >= F.col(low_y) * similarity) & (F.col(high_y) + 1e-6 >= F.col(low_x) * similarity)
+
+    meet = (F.col("star_x") < F.col("star_y")) & (F.col("short_x") | F.col("short_y")) & fits("low_x", "high_x", "low_y", "high_y")
+    across = end("x").join(end("y"), "band").filter(meet)
+    across = across.withColumnsRenamed({"star_x": "x", "star_y": "y"})
+    apart = _likeness_of(across.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
     links = links.unionByName(apart.filter(good).select("a", "b"))
-    far = apart.filter(~good).select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("alike")).alias("far"))
     own = _likeness_of(mixed.filter("a <> star").select("a", F.col("star").alias("b")).distinct(), sets)
-    off = mixed.join(own.select("a", (1 - F.col("alike")).alias("off")), "a", "left").select("band", "a", "star", F.coalesce("off", F.lit(0.0)).alias("off"))
+    off = mixed.join(own.select("a", F.col("gap").alias("off")), "a", "left").withColumn("off", F.coalesce("off", F.lit(0)))
     off = stage_once(off, "off")
-    wide = off.groupBy("band", "star").agg(F.max("off").alias("wide"))
-    reach = 1 - similarity + 1e-9
-    spans = across.select("band", F.col("a").alias("x"), F.col("b").alias("y")).join(far, ["x", "y"])
-    spans = spans.join(wide.select("band", F.col("star").alias("x"), F.col("wide").alias("wide_x")), ["band", "x"])
-    spans = spans.join(wide.select("band", F.col("star").alias("y"), F.col("wide").alias("wide_y")), ["band", "y"]).filter(F.col("far") - F.col("wide_x") - F.col("wide_y") <= reach)
-    spans = stage_once(spans, "spans")
-    left = spans.join(off.select("band", F.col("star").alias("x"), F.col("a").alias("p"), F.col("off").alias("off_p")), ["band", "x"])
-    left = left.filter(F.col("far") - F.col("off_p") - F.col("wide_y") <= reach)
-    both = left.join(off.select("band", F.col("star").alias("y"), F.col("a").alias("q"), F.col("off").alias("off_q")), ["band", "y"])
-    both = both.filter((F.col("far") - F.col("off_p") - F.col("off_q") <= reach) & ((F.col("p") != F.col("x")) | (F.col("q") != F.col("y"))))
+    # Sets of n and m shingles that are as alike as asked differ in (1 - t) / (1 + t) * (n + m) shingles at most.
+    share = (1 - similarity) / (1 + similarity)
+    reach = lambda n, m: share * (F.col(n) + F.col(m)) + 1e-6
+    widest = stage_once(off.groupBy("star").agg(F.max("off").alias("wide"), F.max("n").alias("most")), "widest")
+    far = apart.filter(~good).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("gap").alias("far"))
+    for side in "xy":
+        far = far.join(widest.select(F.col("star").alias(side), F.col("wide").alias(f"wide_{side}"), F.col("most").alias(f"most_{side}")), side)
+    far = far.filter("wide_x > 0 OR wide_y > 0").filter(F.col("far") - F.col("wide_x") - F.col("wide_y") <= reach("most_x", "most_y"))
+    far = stage_once(far, "far")
+    spans = stage_once(across.join(far, ["x", "y"]).select("band", "x", "y", "far", "wide_y", "short_y", "low_y", "high_y"), "spans")
+    member = lambda star, name, side: off.select(
+        "band", F.col("star").alias(star), F.col("a").alias(name), *[F.col(c).alias(f"{c}_{side}") for c in ("off", "n", "short")],
+    )
+    near = (F.col("short_p") | F.col("short_y")) & fits("n_p", "n_p", "low_y", "high_y")
+    left = spans.join(member("x", "p", "p"), ["band", "x"]).filter(near & (F.col("far") - F.col("off_p") - F.col("wide_y") <= reach("n_p", "high_y")))
+    near = (F.col("short_p") | F.col("short_q")) & fits("n_p", "n_p", "n_q", "n_q") & ((F.col("p") != F.col("x")) | (F.col("q") != F.col("y")))
+    both = left.join(member("y", "q", "q"), ["band", "y"]).filter(near & (F.col("far") - F.col("off_p") - F.col("off_q") <= reach("n_p", "n_q")))
     last = _likeness_of(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), sets)
     return links.unionByName(last.filter(good).select("a", "b"))
 
