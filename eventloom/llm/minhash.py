@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.llm.components import components
 from eventloom.llm.simhash import text_key
@@ -415,6 +416,44 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
     return rows.join(names, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
 
+def _by_differences(inner: DataFrame, outer: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of a text ``inner`` and a text ``outer`` of one center that can still be alike; columns center, a.
+
+    Texts p and q that differ from any common set in the shingles P and Q differ from each other in |P| + |Q| - 2 |P & Q|,
+    which may be ``share`` of the sum of their sizes at most: so P & Q has no less than half of (|P| + |Q| - share *
+    (|p| + |q|)). The least of P & Q in a common order stands early enough in both to leave that many. The common set
+    holds the shingles of most inner texts, so that what a text changed differs, and rare differences come first: edits
+    of a text's own do not meet, and many near copies of one original yield few pairs. The inner texts of a center are
+    connected, so an outer text that needs no common difference with the one nearest to the common set meets it alone.
+    """
+    of_text = sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("own"))
+    inner = inner.join(of_text, "a")
+    votes = inner.select("center", F.explode("own").alias("shingle")).groupBy("center", "shingle").agg(F.count("*").alias("n"))
+    votes = votes.join(inner.groupBy("center").agg(F.count("*").alias("texts")), "center").filter("2 * n > texts")
+    # A set of majorities has at most twice the mean size of its texts.
+    common = votes.groupBy("center").agg(F.collect_list("shingle").alias("common"))
+    rows = inner.withColumn("inside", F.lit(True)).unionByName(outer.join(of_text, "a").withColumn("inside", F.lit(False)))
+    rows = rows.join(common, "center", "left").withColumn("common", F.coalesce("common", F.array().cast("array<int>")))
+    differ = F.array_union(F.array_except("own", "common"), F.array_except("common", "own"))
+    rows = rows.select("center", "a", "inside", differ.alias("differ"), (F.size(differ) - share * F.size("own")).alias("over"))
+    rows = stage_once(rows.select("center", "a", "inside", "over", F.size("differ").alias("size"), F.explode_outer("differ").alias("shingle")), "differences")
+    inside, over = F.col("inside"), F.col("over")
+    least = rows.groupBy("center").agg(
+        F.min(F.when(inside, over)).alias("of_inner"), F.min(F.when(~inside, over)).alias("of_outer"), F.min_by("a", F.when(inside, over)).alias("nearest"),
+    )
+    rows = rows.join(stage_once(least, "least"), "center").withColumn("needed", (over + F.when(inside, F.col("of_outer")).otherwise(F.col("of_inner"))) / 2 - 1e-6)
+    near = rows.filter("NOT inside AND needed <= 0").select(F.col("nearest").alias("a"), F.col("a").alias("b"))
+    rows = rows.filter("(inside OR needed > 0) AND shingle IS NOT NULL")
+    counts = rows.groupBy("center", "shingle").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("center", "a", "inside").orderBy("n", "shingle"))
+    ranked = rows.join(counts, ["center", "shingle"]).withColumn("rest", F.col("size") - place + 1).filter("rest >= needed")
+    ranked = stage_once(ranked.select("center", "shingle", "a", "inside", "over", "rest"), "rare")
+    left, right = ranked.filter("inside").alias("p"), ranked.filter("NOT inside").alias("q")
+    meet = F.expr("p.center = q.center AND p.shingle = q.shingle") & (F.least("p.rest", "q.rest") >= (F.col("p.over") + F.col("q.over")) / 2 - 1e-6)
+    pairs = left.join(right, meet).select(F.col("p.a").alias("a"), F.col("q.a").alias("b"))
+    return stage_once(pairs.unionByName(near).distinct(), "differ")
+
+
 def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links (a, b) between texts with a common band and at least the similarity, enough to connect all such texts.
 
@@ -423,9 +462,9 @@ def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int)
     share one of their rarest shingles (see ``_rare_shingles``; without that two sets are less alike) and neither is too
     small for the other: first the least texts of their groups. The number of shingles that stand in one of two sets only
     is a metric: for members p, q of groups with least texts x, y it is at least g(x, y) - g(p, x) - g(q, y), and sets as
-    alike as asked differ in a share of their sizes at most. So groups whose widest members stay out of reach are done,
-    and of the others only members are compared whom this leaves within reach. A large group of near copies yields a few
-    comparisons per text, and so do many texts that have a passage in common and little else.
+    alike as asked differ in a share of their sizes at most. So groups whose widest members stay out of reach are done.
+    The others' members are compared with the least text of the wider group, and then with those of its members that
+    differ from it in the same shingles (see ``_by_differences``).
     """
     met = _met(signed)
     # A text of which the others are edited copies is in more of their bands than they are in each other's.
@@ -464,27 +503,32 @@ def _links(docs: DataFrame, signed: DataFrame, similarity: float, shingle: int)
     across = across.withColumnsRenamed({"star_x": "x", "star_y": "y"})
     apart = _likeness_of(across.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
     links = links.unionByName(apart.filter(good).select("a", "b"))
-    own = _likeness_of(mixed.filter("a <> star").select("a", F.col("star").alias("b")).distinct(), sets)
-    off = mixed.join(own.select("a", F.col("gap").alias("off")), "a", "left").withColumn("off", F.coalesce("off", F.lit(0)))
-    off = stage_once(off, "off")
+    members = mixed.select("a", "star", "n").distinct()
+    own = _likeness_of(members.filter("a <> star").select("a", F.col("star").alias("b")), sets)
+    members = members.join(own.select("a", F.col("gap").alias("off")), "a", "left").withColumn("off", F.coalesce("off", F.lit(0)))
+    members = stage_once(members, "off")
     # Sets of n and m shingles that are as alike as asked differ in (1 - t) / (1 + t) * (n + m) shingles at most.
     share = (1 - similarity) / (1 + similarity)
     reach = lambda n, m: share * (F.col(n) + F.col(m)) + 1e-6
-    widest = stage_once(off.groupBy("star").agg(F.max("off").alias("wide"), F.max("n").alias("most")), "widest")
+    widest = stage_once(members.groupBy("star").agg(F.max("off").alias("wide"), F.max("n").alias("most")), "widest")
     far = apart.filter(~good).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("gap").alias("far"))
     for side in "xy":
         far = far.join(widest.select(F.col("star").alias(side), F.col("wide").alias(f"wide_{side}"), F.col("most").alias(f"most_{side}")), side)
     far = far.filter("wide_x > 0 OR wide_y > 0").filter(F.col("far") - F.col("wide_x") - F.col("wide_y") <= reach("most_x", "most_y"))
-    far = stage_once(far, "far")
-    spans = stage_once(across.join(far, ["x", "y"]).select("band", "x", "y", "far", "wide_y", "short_y", "low_y", "high_y"), "spans")
-    member = lambda star, name, side: off.select(
-        "band", F.col("star").alias(star), F.col("a").alias(name), *[F.col(c).alias(f"{c}_{side}") for c in ("off", "n", "short")],
-    )
-    near = (F.col("short_p") | F.col("short_y")) & fits("n_p", "n_p", "low_y", "high_y")
-    left = spans.join(member("x", "p", "p"), ["band", "x"]).filter(near & (F.col("far") - F.col("off_p") - F.col("wide_y") <= reach("n_p", "high_y")))
-    near = (F.col("short_p") | F.col("short_q")) & fits("n_p", "n_p", "n_q", "n_q") & ((F.col("p") != F.col("x")) | (F.col("q") != F.col("y")))
-    both = left.join(member("y", "q", "q"), ["band", "y"]).filter(near & (F.col("far") - F.col("off_p") - F.col("off_q") <= reach("n_p", "n_q")))
-    last = _likeness_of(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), sets)
+    wider = F.col("wide_x") >= F.col("wide_y")
+    turned = lambda one, two: F.when(wider, F.col(one)).otherwise(F.col(two))
+    far = stage_once(far.select(
+        turned("x", "y").alias("center"), turned("y", "x").alias("other"), "far", turned("wide_x", "wide_y").alias("wide"), turned("most_x", "most_y").alias("most"),
+    ), "far")
+    outer = far.join(members.withColumnRenamed("star", "other"), "other").filter(F.col("far") - F.col("off") - F.col("wide") <= reach("n", "most"))
+    outer = stage_once(outer.select("center", "other", "a"), "outer")
+    seen = _likeness_of(outer.select("a", F.col("center").alias("b")), sets)
+    links = links.unionByName(seen.filter(good).select("a", "b"))
+    seen = outer.join(seen.withColumnRenamed("b", "center"), ["a", "center"])
+    met = seen.filter(good).select("center", "other").distinct()
+    outer = stage_once(seen.join(met, ["center", "other"], "left_anti").select("center", "a").distinct(), "outer")
+    inner = members.filter("a <> star").withColumnRenamed("star", "center").join(outer.select("center").distinct(), "center", "left_semi").select("center", "a")
+    last = _likeness_of(_by_differences(inner, outer, sets, share), sets)
     return links.unionByName(last.filter(good).select("a", "b"))
 
 

@@ -132,3 +132,28 @@ def test_hot_and_missing_ids_are_cut_by_text(spark):
     placed = minhash._placed(signed, *minhash._cuts(signed, 16))
     assert placed.groupBy("chunk", "part").count().agg({"count": "max"}).first()[0] < 1500
     assert minhash.edited_comparison(docs).count() == 6000
+
+
+def test_outer_texts_meet_their_like_by_differences(spark):
+    """Brute force over edited copies of two originals, an empty set and sets far from all: who has a like, meets one."""
+    rng = random.Random(21)
+    sets = {}
+    for center in (0, 1):
+        base = [rng.randint(0, 10**6) for _ in range(60)]
+        for k in range(60):
+            own = [v for v in base if rng.random() > 0.04 * (k % 5)] + [rng.randint(0, 40) for _ in range(k % 7)]
+            sets[len(sets)] = set(own)
+    sets[len(sets)] = set()
+    sets[len(sets)] = {5_000_000 + v for v in range(30)}
+    inner = [(c, a) for c in (0, 1) for a in range(60 * c, 60 * c + 60) if a % 2]
+    outer = [(c, a) for c in (0, 1) for a in sets if a % 2 == 0] + [(0, 121), (1, 121)]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    frame = spark.createDataFrame([(a, sorted(v)) for a, v in sets.items()], "text_key BIGINT, shingles ARRAY<INT>")
+    ends = [spark.createDataFrame(rows, "center BIGINT, a BIGINT") for rows in (inner, outer)]
+    met = {(r.a, r.b) for r in minhash._by_differences(*ends, frame, 0.2 / 1.8).collect()}
+    found = 0
+    for center, b in outer:
+        mates = [a for c, a in inner if c == center and alike(a, b)]
+        found += bool(mates)
+        assert not mates or any((a, b) in met for a in mates), b
+    assert 20 < found < len(outer) and len(met) < len(inner) * len(outer) / 4
