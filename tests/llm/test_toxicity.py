@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,57 @@ def test_sample_of_very_many_labels_and_an_empty_sample(frame, monkeypatch):
     monkeypatch.setattr(toxicity, "training_rows", lambda *a: drawn(*a).limit(0))
     with pytest.raises(ValueError):
         toxicity.judge(docs, labels)
+
+
+def test_labels_that_disagree_and_rows_that_share_an_id(frame):
+    docs = frame([(1, f"text {i}") for i in range(400)] + [(2, None), (3, "c"), (3, "c")], "doc_id BIGINT, text STRING")
+    labels = [(1, 1, 0), (1, 0, 0), (2, 1, 1), (2, 1, 0), (3, 1, 0), (3, 1, 0)]
+    taught = []
+    for given in (labels, labels[::-1]):
+        rows = toxicity.training_rows(docs, frame(given, "doc_id BIGINT, quality INT, toxic INT"), toxicity.categories_of_labels())
+        taught.append(sorted((sorted(r.terms), r.is_low_quality, r.is_toxic) for r in rows.collect()))
+    assert taught[0] == taught[1] and len(taught[0]) == 3
+    assert [t[1:] for t in taught[0] if not t[0]] == [(0.0, 1.0)]
+    assert [t[1:] for t in taught[0] if "c" in t[0]] == [(0.0, 0.0)]
+    assert [t[1:] for t in taught[0] if "text" in t[0]] == [(1.0, 0.0)]
+
+
+def test_labels_of_a_fold_have_no_part_in_its_probabilities(frame, corpus):
+    docs, labels = corpus
+    categories = ["low_quality", "toxic"]
+    given = toxicity.training_rows(
+        frame(docs, "doc_id BIGINT, text STRING"), frame(labels, "doc_id BIGINT, quality INT, toxic INT"), toxicity.categories_of_labels(),
+    ).withColumnRenamed("terms", "_terms_text")
+    turned = given.withColumns({f"is_{c}": F.when(F.col("fold") == 1, 1 - F.col(f"is_{c}")).otherwise(F.col(f"is_{c}")) for c in categories})
+    found = []
+    for rows in (given, turned):
+        out = toxicity.out_of_fold(rows.coalesce(1), "low_quality", categories, [])
+        found.append({tuple(sorted(r._terms_text)): (r.fold, r.p_low_quality) for r in out.collect()})
+    assert len(found[0]) == len(labels)
+    gap = {f: max(abs(p - found[1][k][1]) for k, (g, p) in found[0].items() if g == f) for f in range(3)}
+    assert gap[1] < 1e-9 < gap[0] and gap[2] > 1e-9
+    alone = toxicity.out_of_fold(given.filter("fold = 2"), "low_quality", categories, []).select("p_low_quality").distinct().collect()
+    assert [r[0] for r in alone] == [0.5]
+
+
+def test_scores_equal_a_plain_computation_of_the_chain(frame, corpus):
+    docs, labels = corpus
+    frame_docs = frame(docs, "doc_id BIGINT, text STRING")
+    categories = toxicity.categories_of_labels()
+    training = toxicity.training_rows(frame_docs, frame(labels, "doc_id BIGINT, quality INT, toxic INT"), categories)
+    chain = toxicity.fit_chain(training, list(categories))
+    terms = chain.terms.vocabulary
+
+    def plain(text):
+        words = {w for w in re.split(r"[^\w]+|_", text.lower()) if w}
+        known = words | {"^" + w[:toxicity.PREFIX] for w in words}
+        values, out = [float(t in known) for t in terms], []
+        for link in chain.links:
+            z = link.intercept + sum(w * x for w, x in zip(link.coefficients.toArray(), values + out))
+            out.append(1 / (1 + math.exp(-z)))
+        return out
+
+    scored = toxicity.score(frame_docs, chain, list(categories)).collect()
+    assert len(scored) == len(docs)
+    for r in scored:
+        assert [r.p_low_quality, r.p_toxic] == pytest.approx(plain(r.text), abs=1e-9)
