@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.simhash import text_key
@@ -15,6 +15,9 @@ from eventloom.session import stage_once
 WINDOW = 35
 #: Windows of one block; their places in it fit two bytes.
 BLOCK = 1 << 16
+#: A bucket gets the hashes of about so many bytes of text, at whatever size of the input; the lowest byte of a hash is
+#: told by its bucket, so there are 256 buckets at least.
+BUCKET_BYTES, MIN_BUCKETS = 64 << 20, 256
 
 SENT = (
     "bucket INT, block BIGINT, hashes BINARY, places BINARY, ids ARRAY<BIGINT>, keys ARRAY<BIGINT>, starts ARRAY<BIGINT>"
@@ -22,10 +25,13 @@ SENT = (
 FOUND = "block BIGINT, places BINARY, ids ARRAY<BIGINT>, keys ARRAY<BIGINT>, starts ARRAY<BIGINT>"
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets of hashes: a power of two, at least 256, four per shuffle partition as the session sizes them."""
-    wanted = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return 1 << (wanted - 1).bit_length()
+def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets of hashes, a power of two: so many that one task holds a bucket, however large the input is.
+
+    Words take a byte and a space at least, so ``bucket_bytes`` of text have at most half as many windows.
+    """
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return 1 << (max(MIN_BUCKETS, -(-size // bucket_bytes)) - 1).bit_length()
 
 
 def _lists(values: np.ndarray, width: int, bounds: np.ndarray) -> pa.Array:
@@ -86,20 +92,26 @@ def _scanner(window: int, buckets: int):
     return scan
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column's rows one after another, in however many chunks it comes, and each row's size."""
+    parts, sizes = [], []
+    for chunk in column.chunks:
+        if len(chunk):
+            offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0]:offsets[-1]])
+            sizes.append(np.diff(offsets).astype(np.int64))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
 def _repeated(table: pa.Table) -> pa.Table:
     """Places of the bucket's hashes that occur more than once, by block; descriptions pass."""
     if table.column("bucket")[0].as_py() < 0:
         return table.select(["block", "places", "ids", "keys", "starts"])
-    table = table.combine_chunks()
-    column = table.column("hashes").chunk(0)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    upper = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, 7)
-    wide = np.zeros((len(upper), 8), np.uint8)
-    wide[:, :7] = upper
+    upper, sizes = _flat(table.column("hashes"))
+    wide = np.zeros((len(upper) // 7, 8), np.uint8)
+    wide[:, :7] = upper.reshape(-1, 7)
     values = wide.view("<u8").ravel()
-    column = table.column("places").chunk(0)
-    starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    places = np.frombuffer(column.buffers()[2], np.uint8)[starts[0]:starts[-1]].view("<u2")
+    places = _flat(table.column("places"))[0].view("<u2")
     # the bits of the bucket's number above its lowest byte are in the upper bytes too, so equal values are equal hashes
     order = np.argsort(values, kind="stable")
     ordered = values[order]
@@ -107,11 +119,11 @@ def _repeated(table: pa.Table) -> pa.Table:
     again = np.zeros(len(values), bool)
     again[order[1:][twin]] = True
     again[order[:-1][twin]] = True
-    counts = np.add.reduceat(again, (offsets[:-1] - offsets[0]) // 7, dtype=np.int64)
+    counts = np.add.reduceat(again, (np.cumsum(sizes) - sizes) // 7, dtype=np.int64)
     rows = np.flatnonzero(counts)
     none = pa.nulls(len(rows), pa.list_(pa.int64()))
     return pa.Table.from_arrays([
-        table.column("block").take(pa.array(rows)).combine_chunks(),
+        pa.array(table.column("block").to_numpy()[rows]),
         _lists(places[again], 2, np.concatenate([[0], np.cumsum(counts[rows])])), none, none, none,
     ], names=["block", "places", "ids", "keys", "starts"])
 
@@ -148,11 +160,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Every window of ``window`` words gets a Rabin-Karp hash. The distinct hashes of a block go to buckets, each
     with its first place; a bucket finds those that occur in two blocks or more, and only their places go back to
     the block they came from. There they join the places of windows repeated within the block, and overlapping
-    windows merge. No key gathers more than its share: buckets hold hashes of all kinds, one window however
+    windows merge. The number of buckets follows the bytes of text (``bucket_count``). No key gathers more than its share: buckets hold hashes of all kinds, one window however
     frequent is one entry per block, and a block has at most 65,536 windows, also when one document has many blocks.
     """
-    spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), "text")
     sent = rows.mapInArrow(_scanner(window, buckets), SENT)
     found = sent.groupBy("bucket").applyInArrow(_repeated, FOUND)

@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from eventloom.llm import substrings
 
 
@@ -59,3 +62,22 @@ def test_a_window_is_sent_once_per_block(frame):
     assert sent.n < 100  # three texts of two blocks, each with one window of zeros and the one at the end
     out = {r.doc_id: r for r in substrings.remove_repeated(docs.union(frame([(9, "x " + "0 " * 35 + "y")], "doc_id BIGINT, text STRING"))).collect()}
     assert [(out[i].n_removed, out[i].kept_text) for i in (0, 1, 2, 9)] == [(100_000, f"end{i}") for i in range(3)] + [(35, "x y")]
+
+
+def test_buckets_follow_the_bytes_of_text(frame, monkeypatch):
+    docs = corpus(random.Random(9), 60) + [(100, None), (101, "")]
+    rows = frame(docs, "doc_id BIGINT, text STRING")
+    size = sum(len((t or "").encode()) for _, t in docs)
+    assert substrings.bucket_count(rows) == substrings.bucket_count(rows.limit(0)) == 256
+    assert substrings.bucket_count(rows, size // 900) == 1024 and substrings.bucket_count(rows, size // 5000) == 8192
+    counted = substrings.bucket_count
+    monkeypatch.setattr(substrings, "bucket_count", lambda d: counted(d, size // 5000))
+    assert sorted((tuple(r) for r in substrings.remove_repeated(rows, 5).collect()), key=str) == brute(docs, 5)
+
+
+def test_a_bucket_in_several_chunks():
+    words = [np.array([0x1003, 0x2003, 0x3003], np.uint64), np.array([0x4003, 0x2003], np.uint64), np.array([0x3003, 0x5003], np.uint64)]
+    table = pa.Table.from_batches([substrings._send(w, block, 256)[0] for block, w in enumerate(words)])
+    assert table.column("hashes").num_chunks == 3
+    found = substrings._repeated(table).to_pylist()
+    assert [(r["block"], np.frombuffer(r["places"], "<u2").tolist()) for r in found] == [(0, [1, 2]), (1, [1]), (2, [0])]
