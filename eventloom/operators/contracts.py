@@ -358,8 +358,11 @@ def price_baskets(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     product_id, restaurant_id, price_minor.
     """
     prices = catalog.select("product_id", F.col("restaurant_id").alias("_shop"), "price_minor")
-    # One row per (order, product) first: repeats are found without a distinct count.
-    products = lines.groupBy("order_id", "restaurant_id", "product_id").agg(
+    # One row per (order, product) first: repeats are found without a distinct count. Lines are dealt before they are
+    # grouped, as few of them repeat: a scan holds no groups, and each of all shuffle partitions only its share.
+    keys = ["order_id", "restaurant_id", "product_id"]
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    products = lines.repartition(parts, *keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_lines"),
         F.sum("quantity").cast("bigint").alias("_units"),
         F.min("quantity").alias("_min"),

@@ -162,6 +162,16 @@ def test_baskets(spark):
     assert price(spark, [("meal", 10), ("soup", 11)])[1] == {"quantity", "units"}
 
 
+def test_lines_are_dealt_before_they_are_grouped(spark):
+    """A scan of lines that hardly repeat builds no groups: its memory would grow with its share of the file."""
+    lines = spark.range(40).selectExpr("id % 9 AS order_id", "id % 9 % 2 AS restaurant_id", "id % 6 AS product_id", "1 AS quantity")
+    catalog = spark.range(6).selectExpr("id AS product_id", "id % 2 AS restaurant_id", "CAST(100 AS INT) AS price_minor")
+    priced = contracts.price_baskets(lines, catalog)
+    plan = priced._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("hashpartitioning(order_id")[-1], plan
+    assert sorted(tuple(r)[:4] for r in priced.collect())[:2] == [(0, 5, 5, 500), (1, 5, 5, 500)]
+
+
 def test_purchase_links(spark, after):
     buy = dict(order_id="o", session_id="s", checkout_event_id="e", amount_minor=900, items=[("meal", 1, 900)])
     ddl = "order_id STRING, session_id STRING, checkout_event_id STRING, amount_minor INT, items ARRAY<STRUCT<product_id: STRING, quantity: SMALLINT, unit_price_minor: INT>>"
