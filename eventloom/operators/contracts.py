@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom import schemas
 from eventloom.functions.scalars import is_uuid
@@ -242,9 +242,12 @@ def table_rules(table: str) -> list[Rule]:
     }[table]
 
 
-def with_digest(df: DataFrame, columns: Sequence[str], name: str = "digest") -> DataFrame:
-    """SHA-256 over the canonical JSON of the named columns, in name order."""
-    return df.withColumn(name, F.sha2(F.to_json(F.struct(*sorted(columns))), 256))
+def with_digest(df: DataFrame, columns: Sequence[str], name: str = "digest", text: str | None = None) -> DataFrame:
+    """SHA-256 over the canonical JSON of the named columns, in name order; ``text`` names a column that keeps this JSON."""
+    canonical = F.to_json(F.struct(*sorted(columns)))
+    if text is None:
+        return df.withColumn(name, F.sha2(canonical, 256))
+    return df.withColumn(text, canonical).withColumn(name, F.sha2(text, 256))
 
 
 def classify_batch(batch: DataFrame, ledger: DataFrame, key: str = "event_id", digest: str = "digest") -> DataFrame:
@@ -280,21 +283,25 @@ def settle_requests(
     request contradicts is accepted, and rejects those who contradict it.
     """
     rest = [c for c in batch.columns if c not in (key, request)]
-    mine = batch.groupBy(request, key).agg(
-        F.count(F.lit(1)).alias("copies"), F.min(digest).alias("_min"), F.max(digest).alias("_max"),
-        F.min_by(F.struct(*rest), digest).alias("_row"),
-    )
     known = ledger.select(key, F.col(digest).alias("_known")).join(batch.select(key).distinct(), key, "left_semi").distinct()
     broken = F.coalesce((F.col("_min") != F.col("_max")) | (F.col("_known") != F.col("_min")), F.lit(False))
-    mine = stage_once(mine.join(known, key, "left").withColumn("_broken", broken), "claims")
-    contents = mine.groupBy(key).agg(F.min("_min").alias("_a"), F.max("_min").alias("_b"), F.bool_or("_broken").alias("_c"), F.min(request).alias("_taker"))
-    if contents.filter("_c OR _a <> _b").isEmpty():
+    # All claims to an identity meet once: copies, ledger and rival requests are compared without dealing rows again.
+    of_key = Window.partitionBy(key)
+    mine = batch.repartition(key).groupBy(key, request).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(digest).alias("_min"), F.max(digest).alias("_max"),
+        *([F.min_by(F.struct(*rest), digest).alias("_row")] if rest != [digest] else []),
+    ).join(known, key, "left").withColumn("_broken", broken)
+    row = [F.col("_min").alias(digest)] if rest == [digest] else [F.col(f"_row.{c}").alias(c) for c in rest]
+    mine = stage_once(mine.select(
+        request, key, *row, "copies", F.col("_known").isNotNull().alias("_old"), "_broken",
+        (F.min("_min").over(of_key) != F.max("_min").over(of_key)).alias("_rivals"), F.min(request).over(of_key).alias("_taker"),
+    ), "claims", compression="zstd")
+    if mine.filter("_broken OR _rivals").isEmpty():
         # Nothing contradicts: every request is accepted.
-        taken = mine.join(contents.select(key, "_taker"), key)
-        first = F.col("_known").isNull() & (F.col("_taker") == F.col(request))
-        return taken.select(request, key, "_row.*", "copies", F.when(first, "new").otherwise("duplicate").alias("status"))
+        first = ~F.col("_old") & (F.col("_taker") == F.col(request))
+        return mine.select(request, key, *rest, "copies", F.when(first, "new").otherwise("duplicate").alias("status"))
     rejected = mine.filter("_broken").select(request).distinct()
-    fair = mine.join(rejected, request, "left_anti").select(request, key, F.col("_min").alias("_content"))
+    fair = mine.filter("_rivals").join(rejected, request, "left_anti").select(request, key, F.col(digest).alias("_content"))
     disputed = fair.groupBy(key).agg(F.min("_content").alias("_a"), F.max("_content").alias("_b")).filter("_a <> _b").select(key)
     claims = pin(fair.join(disputed, key))
     lost = claims.limit(0)
@@ -309,15 +316,15 @@ def settle_requests(
         out = pin(claims.join(winners, request, "left_anti").join(settled, key).filter("_content <> _settled").select(request, key, "_content"))
         lost = lost.unionByName(out)
         claims = pin(claims.join(winners, request, "left_anti").join(out.select(request).distinct(), request, "left_anti"))
-    lost = lost.select(request, key).distinct().withColumn("_lost", F.lit(True))
-    out_of = rejected.unionByName(lost.select(request)).distinct().withColumn("_out", F.lit(True))
-    judged = mine.join(lost, [request, key], "left").join(out_of, request, "left")
-    taken = judged.filter("_out IS NULL").groupBy(key).agg(F.min(request).alias("_taker"))
-    judged = judged.join(taken, key, "left")
+    # Staged, so that few refusals are known to be few and travel to the claims.
+    lost = stage_once(lost.select(request, key).distinct().withColumn("_lost", F.lit(True)), "lost")
+    out_of = stage_once(rejected.unionByName(lost.select(request)).distinct().withColumn("_out", F.lit(True)), "refused")
+    judged = mine.drop("_taker").join(lost, [request, key], "left").join(out_of, request, "left")
+    judged = judged.withColumn("_taker", F.min(F.when(F.col("_out").isNull(), F.col(request))).over(of_key))
     status = F.when(F.col("_broken") | F.col("_lost").isNotNull(), "conflict").when(F.col("_out").isNotNull(), "rejected").when(
-        F.col("_known").isNotNull() | (F.col("_taker") != F.col(request)), "duplicate",
+        F.col("_old") | (F.col("_taker") != F.col(request)), "duplicate",
     ).otherwise("new")
-    return judged.select(request, key, "_row.*", "copies", status.alias("status"))
+    return stage_once(judged.select(request, key, *rest, "copies", status.alias("status")), "judged", compression="zstd")
 
 
 def request_summary(settled: DataFrame) -> DataFrame:

@@ -62,12 +62,19 @@ class Lake:
         ddl = schemas.TABLES[name] + ", event_month INT, batch_id BIGINT"
         return spark.read.schema(ddl).parquet(path).drop("batch_id")
 
+    def read_batch(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
+        """Rows that one batch stored in a table."""
+        ddl = schemas.TABLES[name] + ", event_month INT, batch_id BIGINT"
+        rows = spark.read.schema(ddl).parquet(self.table(name)).filter(F.col("batch_id") == batch_id)
+        return rows.select(*schemas.schema(name).fieldNames())
+
     def clock(self, batch_id: int) -> str:
         return f"{self.root}/clocks/{batch_id}"
 
     def read_ledger(self, spark: SparkSession) -> DataFrame:
         if not table_exists(spark, self.ledger):
-            return spark.createDataFrame([], LEDGER_SCHEMA)
+            # Seen to be empty when planned, so that a first batch is not dealt to meet it.
+            return spark.range(1).filter(F.lit(False)).select(F.from_json(F.lit(None), LEDGER_SCHEMA).alias("_row")).select("_row.*")
         return spark.read.schema(LEDGER_SCHEMA).parquet(self.ledger)
 
 
@@ -78,7 +85,9 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, partitions: Sequence[s
         rows = rows.hint("rebalance", *[F.col(p) for p in partitions])
     if order:
         rows = rows.sortWithinPartitions(*partitions, *order)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(
+        path, compression="zstd"
+    )
 
 
 def ledger_bucket(event_id: Column | str) -> Column:
@@ -131,12 +140,15 @@ def route(batch: DataFrame, payload: str = "value") -> DataFrame:
 
     An unknown route stops the batch; browsing events need no route.
     """
-    stream = F.coalesce(F.get_json_object(payload, "$._stream"), F.lit("app_events"))
+    # Only a text that holds the field's name, plain or escaped, can name a route.
+    named = F.contains(payload, F.lit("_stream")) | F.contains(payload, F.lit("\\"))
+    stream = F.coalesce(F.when(named, F.get_json_object(payload, "$._stream")), F.lit("app_events"))
     known = F.when(stream.isin(schemas.STREAMS), stream).otherwise(
         F.raise_error(F.concat(F.lit("Unknown publishing route: "), stream)).cast("string")
     )
     # The routing field is the only one dropped; the rest of the text stays as received.
-    plain = F.regexp_replace(payload, r'"_stream"\s*:\s*"[a-z_]*"\s*,\s*|,\s*"_stream"\s*:\s*"[a-z_]*"', "")
+    cut = F.regexp_replace(payload, r'"_stream"\s*:\s*"[a-z_]*"\s*,\s*|,\s*"_stream"\s*:\s*"[a-z_]*"', "")
+    plain = F.when(F.contains(payload, F.lit('"_stream"')), cut).otherwise(F.col(payload))
     extra = ["request"] if "request" in batch.columns else []
     return batch.select(known.alias("stream"), plain.alias("payload"), *extra)
 
@@ -158,29 +170,33 @@ def _accept(batch: DataFrame, batch_id: int, lake: Lake, as_of: Column | None) -
     as_of = clock if as_of is None else as_of
     if "request" not in batch.columns:
         batch = batch.withColumn("request", F.lit(""))
-    routed = route(batch).persist()
-    try:
-        present = {r[0] for r in routed.select("stream").distinct().collect()}  # at most one per table
-        parsed = []
-        for stream in sorted(present) or schemas.STREAMS[:1]:
-            rows = parse_stream(routed.filter(F.col("stream") == stream), stream, as_of)
-            data = [c for c in rows.columns if c not in ("payload", "request", "reasons")]
-            digested = with_digest(rows, data)
-            parsed.append(digested.select(
-                F.lit(stream).alias("stream"), "request", "event_id", "digest", "reasons", "payload", F.to_json(F.struct(*data)).alias("row")
-            ))
-        stamped = stage_once(reduce(DataFrame.unionByName, parsed).withColumn("ingested_at", clock), "stamped")
-    finally:
-        routed.unpersist()
+    routed = route(batch)
+    present = {r[0] for r in routed.select("stream").distinct().collect()}  # at most one per table
+    parsed = []
+    for stream in sorted(present) or schemas.STREAMS[:1]:
+        mine = routed if present == {stream} else routed.filter(F.col("stream") == stream)
+        rows = parse_stream(mine, stream, as_of)
+        data = [c for c in rows.columns if c not in ("payload", "request", "reasons")]
+        digested = with_digest(rows, data, text="row")
+        fine = F.size("reasons") == 0
+        # Good rows go on as their typed content, the others as the text they came as.
+        parsed.append(digested.select(
+            F.lit(stream).alias("stream"), "request", F.when(fine, F.col("event_id")).alias("event_id"), F.when(fine, F.col("digest")).alias("digest"),
+            "reasons", F.when(~fine, F.col("payload")).alias("payload"), F.when(fine, F.col("row")).alias("row"),
+        ))
+    stamped = stage_once(reduce(DataFrame.unionByName, parsed).withColumn("ingested_at", clock), "stamped", compression="zstd")
     bad = stamped.filter(F.size("reasons") > 0)
     good = stamped.filter(F.size("reasons") == 0).drop("reasons", "payload")
     ledger = lake.read_ledger(spark)
     if table_exists(spark, lake.ledger):
         touched = [r[0] for r in good.select(ledger_bucket("event_id").alias("b")).distinct().collect()]  # at most LEDGER_BUCKETS
         ledger = ledger.filter(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
-    settled = stage_once(settle_requests(good, ledger), "settled")
+    # Digests are compared in 32 bytes; the stored ledger keeps their text.
+    digest = F.unhex("digest").alias("digest")
+    settled = settle_requests(good.select("request", "event_id", digest), ledger.select("event_id", digest))
     counters = request_summary(settled).first().asDict()
-    refused = settled.filter(F.col("status").isin("conflict", "rejected"))
+    stored = settled_rows(good, settled)
+    refused = stored.filter(F.col("status").isin("conflict", "rejected"))
     _write_batch(
         bad.select("stream", "payload", "reasons", "ingested_at").unionByName(refused.select(
             "stream", F.col("row").alias("payload"),
@@ -190,13 +206,39 @@ def _accept(batch: DataFrame, batch_id: int, lake: Lake, as_of: Column | None) -
     )
     counters["invalid"] = bad.count()
     if counters["accepted"]:
-        publish(settled.filter(F.col("status") == "new"), sorted(present), batch_id, lake)
+        publish(stored.filter(F.col("status") == "new"), sorted(present), batch_id, lake)
+        # The ledger comes last: what it holds is stored.
+        new = settled.filter(F.col("status") == "new").select(
+            "event_id", F.lower(F.hex("digest")).alias("digest"), ledger_bucket("event_id").alias("bucket")
+        )
+        _write_batch(new, lake.ledger, batch_id, ["bucket"], ["event_id"])
     _write_batch(spark.createDataFrame([counters], "received BIGINT, accepted BIGINT, duplicates BIGINT, conflicts BIGINT, state STRING, invalid BIGINT"), lake.metrics, batch_id)
     return counters
 
 
+def settled_rows(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """Whole rows of what is to be stored, accepted or refused, each identity of a request once, with its status.
+
+    Requests that bring nothing but duplicates are left out, and requests of nothing but new identities, each
+    given once, are taken as they are; only the rest is matched with its statuses row by row.
+    """
+    fresh = F.col("status") == "new"
+    requests = stage_once(settled.groupBy("request").agg(
+        F.bool_and(fresh & (F.col("copies") == 1)).alias("_whole"), F.bool_or(F.col("status") != "duplicate").alias("_any"),
+    ).filter("_any").drop("_any"), "requests")
+    rows = rows.join(requests, "request")
+    whole = rows.filter("_whole").drop("_whole").withColumn("status", F.lit("new"))
+    if requests.filter("NOT _whole").isEmpty():
+        return whole
+    wanted = settled.filter(F.col("status") != "duplicate").join(requests.filter("NOT _whole"), "request", "left_semi")
+    wanted = wanted.select("request", "event_id", F.col("digest").alias("_digest"), "status")
+    matched = rows.filter("NOT _whole").drop("_whole").join(wanted, ["request", "event_id"]).filter("unhex(digest) = _digest").drop("_digest")
+    matched = stage_once(matched.dropDuplicates(["request", "event_id"]), "matched", compression="zstd")
+    return whole.unionByName(matched)
+
+
 def publish(accepted: DataFrame, streams: Sequence[str], batch_id: int, lake: Lake) -> None:
-    """Append accepted rows to their tables and states, then to the ledger."""
+    """Append accepted rows to their tables and, from there, to the states."""
     for stream in streams:
         rows = accepted.filter(F.col("stream") == stream).select(
             F.from_json("row", schemas.schema(stream)).alias("_row"), "ingested_at"
@@ -207,9 +249,7 @@ def publish(accepted: DataFrame, streams: Sequence[str], batch_id: int, lake: La
             else F.col(f"_row.{c}").alias(c) for c in names
         ])
         _write_batch(typed.withColumn("event_month", month_key("event_time")), lake.table(stream), batch_id, ["event_month"], schemas.KEYS[stream])
-        update_states(stream, typed, batch_id, lake)
-    ledger = accepted.select("event_id", "digest", ledger_bucket("event_id").alias("bucket"))
-    _write_batch(ledger, lake.ledger, batch_id, ["bucket"], ["event_id"])
+        update_states(stream, lake.read_batch(typed.sparkSession, stream, batch_id), batch_id, lake)
 
 
 def update_states(stream: str, rows: DataFrame, batch_id: int, lake: Lake) -> None:

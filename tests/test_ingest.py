@@ -231,3 +231,73 @@ def test_ledger_scan_is_pruned_to_the_buckets_of_the_batch(spark, lake):
     plan = ledger._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
     assert 0 < ledger.count() < 39
+
+
+def batch_of(spark, requests):
+    rows = [(name, json.dumps(e)) for name, events in requests.items() for e in events]
+    return spark.createDataFrame(rows, "request STRING, value STRING")
+
+
+def test_a_batch_is_not_kept_in_memory_while_it_is_parsed(spark, lake, monkeypatch):
+    def refuse(self, *args):
+        raise AssertionError("a batch of any size would be held by the executors")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", refuse)
+    assert send(spark, lake, 0, app(1), gps(1), app(2, colour="red"))["accepted"] == 2
+
+
+def test_routes_are_found_however_their_name_is_written(spark, lake):
+    plain, texts = app(1), [json.dumps(gps(1)).replace('"_stream"', '"\\u005fstream"'), json.dumps(app(1, user_id="_stream"))]
+    df = spark.createDataFrame([(t,) for t in [json.dumps(plain), *texts]], "value STRING")
+    assert [r.stream for r in ingest.route(df).collect()] == ["app_events", "courier_positions", "app_events"]
+    assert ingest.route(df).collect()[2].payload == texts[1]
+
+
+def test_rows_do_not_travel_to_be_settled(spark, lake, monkeypatch):
+    """Identities and digests decide; texts stay where they are, the received one only of refused rows."""
+    seen, staged, settle, stage = {}, {}, ingest.settle_requests, ingest.stage_once
+    monkeypatch.setattr(ingest, "settle_requests", lambda batch, ledger: seen.update(columns=batch.columns) or settle(batch, ledger))
+    monkeypatch.setattr(ingest, "stage_once", lambda df, name, **how: staged.setdefault(name, stage(df, name, **how)))
+    monkeypatch.setattr(ingest, "publish", lambda *args: staged.update(rows=staged["stamped"].select("reasons", "payload", "row").collect()))
+    send(spark, lake, 0, app(1), app(2), app(3, colour="red"))
+    assert seen["columns"] == ["request", "event_id", "digest"]
+    assert sorted((bool(r.reasons), r.payload is None, r.row is None) for r in staged["rows"]) == [(False, True, False)] * 2 + [(True, False, True)]
+    assert "matched" not in staged
+
+
+def test_requests_of_every_kind_are_stored_by_their_statuses(spark, lake):
+    send(spark, lake, 0, app(1), app(2))
+    change = lambda n, city: dict(app(n), city_id=city)
+    requests = {
+        "a": [app(10), gps(1)], "b": [app(1), app(2)], "c": [app(11), app(11), app(1), app(10)], "d": [change(2, "sevilla"), app(12)],
+        "e": [change(11, "bilbao"), app(13)], "f": [app(12), app(10)],
+    }
+    counters = ingest.ingest_batch(batch_of(spark, requests), 1, lake, F.lit(AS_OF).cast("timestamp"))
+    # new: 10, gps 1, 11, 12 of f; again: 1 and 2 of b, the copy of 11, 1 and 10 of c, 10 of f; refused: d and e
+    assert {k: counters[k] for k in ("received", "accepted", "duplicates", "conflicts", "invalid")} == dict(received=14, accepted=4, duplicates=6, conflicts=2, invalid=0)
+    assert sorted(r.event_id for r in lake.read(spark, "app_events").collect()) == sorted(uid(f"a{n}") for n in (1, 2, 10, 11, 12))
+    assert {r.city_id for r in lake.read(spark, "app_events").collect()} == {"madrid"} and lake.read(spark, "courier_positions").count() == 1
+    refused = spark.read.parquet(lake.quarantine).select(F.get_json_object("payload", "$.event_id"), F.get_json_object("payload", "$.city_id"), F.col("reasons")[0])
+    assert sorted(map(tuple, refused.collect())) == sorted([
+        (uid("a2"), "sevilla", "conflicting_content"), (uid("a12"), "madrid", "batch_rejected"),
+        (uid("a11"), "bilbao", "conflicting_content"), (uid("a13"), "madrid", "batch_rejected"),
+    ])
+    ledger = {r.event_id: r.digest for r in lake.read_ledger(spark).collect()}
+    assert ledger.keys() == {uid(f"a{n}") for n in (1, 2, 10, 11, 12)} | {uid("gk1")} and all(len(d) == 64 and d == d.lower() for d in ledger.values())
+
+
+def test_a_request_of_many_is_settled_without_dealing_rows_twice(spark):
+    """Copies, ledger and rivals of an identity are compared after one exchange of the claims."""
+    from eventloom.operators import contracts
+
+    plans, real = [], contracts.stage_once
+    ledger = spark.range(5).selectExpr("CAST(id AS STRING) AS event_id", "'x' AS digest")
+    batch = spark.range(20).selectExpr("CAST(id % 7 AS STRING) AS event_id", "CAST(id % 3 AS STRING) AS request", "'x' AS digest")
+    try:
+        contracts.stage_once = lambda df, name, **how: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name, **how)
+        settled = contracts.settle_requests(batch, ledger)
+    finally:
+        contracts.stage_once = real
+    assert len(plans) == 1 and sum("Exchange hashpartitioning" in line and "request" in line for line in plans[0].split("\n")) == 0
+    assert sorted((r.event_id, r.request, r.status) for r in settled.filter("status = 'new'").collect()) == [("5", "0", "new"), ("6", "0", "new")]
+    assert settled.agg(F.sum("copies")).first()[0] == 20
