@@ -22,10 +22,10 @@ def _zoned(column):
     return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
 
 
-def app_payloads(spark, sf_dir):
-    """Browsing events as JSON text; some rows break one rule or another."""
+def app_payloads(spark, sf_dir, *dealt):
+    """Browsing events as JSON text; some rows break one rule or another. ``dealt``: what ``repartition`` takes, before the texts are made."""
     c = F.col
-    e = ev(spark, sf_dir)
+    e = ev(spark, sf_dir).repartition(*dealt) if dealt else ev(spark, sf_dir)
     kinds = F.when(c("k") % 2 == 0, "synthetic").otherwise("public_historical")
     action = F.when(c("event_type") == "click", "product_opened").when(c("event_type") == "error", "paid").otherwise("search")
     payload = F.to_json(F.struct(

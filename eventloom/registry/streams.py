@@ -153,12 +153,13 @@ def stream_conflicts(spark, sf_dir):
     """All events arrive once, then again in 40 files, some of which change an event: only those files are refused."""
     ensure_utc(spark)
     source = scratch_path(spark, "json")
-    events = app_payloads(spark, sf_dir)
-    first = events.select(F.col("payload").alias("value"), F.lit(1000).alias("part"))
-    first.repartition(FILES).write.partitionBy("part").text(source)
+    # Dealt as short rows; the texts are made where they are written.
+    first = app_payloads(spark, sf_dir, FILES, "event_id").select(F.col("payload").alias("value"), F.lit(1000).alias("part"))
+    first.write.partitionBy("part").text(source)
     other = F.replace("payload", F.lit('"city_id":"madrid"'), F.lit('"city_id":"other"'))
-    again = events.select(F.when(F.col("event_id") % 1000 == 0, other).otherwise(F.col("payload")).alias("value"), (F.col("event_id") % 40).alias("part"))
-    again.repartition(40, "part").write.partitionBy("part").mode("append").text(source)
+    part = F.col("event_id") % 40
+    again = app_payloads(spark, sf_dir, 40, part).select(F.when(F.col("event_id") % 1000 == 0, other).otherwise(F.col("payload")).alias("value"), part.alias("part"))
+    again.write.partitionBy("part").mode("append").text(source)
     lake = ingest.Lake(scratch_path(spark, "lake"))
     ingest.start_ingest(spark, source, lake, scratch_path(spark, "ck"), files_per_trigger=100, interval=None).awaitTermination()
     sums = spark.read.parquet(lake.metrics).select("accepted", "duplicates", "conflicts", F.lit(0).cast("bigint").alias("stored"))
