@@ -120,10 +120,10 @@ _OK = ("NOT (k IN (1, 2, 3, 4, 5, 6, 9) OR event_type = 'error' OR k % 4 = 1 OR
 def _ingested(spark, sf_dir):
     ensure_utc(spark)
     source = scratch_path(spark, "json")
-    payloads = app_payloads(spark, sf_dir).select(F.col("payload").alias("value"))
-    payloads.repartition(FILES).write.text(source)
-    # The same files again: retries of everything.
-    payloads.repartition(2).write.mode("append").text(source)
+    # Dealt as short rows; the texts are made where they are written.
+    app_payloads(spark, sf_dir, FILES, "event_id").select(F.col("payload").alias("value")).write.text(source)
+    # The same lines again, in two files: retries of everything.
+    spark.read.text(source).coalesce(2).write.mode("append").text(source)
     lake = ingest.Lake(scratch_path(spark, "lake"))
     ingest.start_ingest(spark, source, lake, scratch_path(spark, "ck"), files_per_trigger=3, interval=None).awaitTermination()
     return lake
